@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, token_store
+from factloom.llm import bpe, mixing, secret_scan, token_store
 from factloom.llm.common import fresh_path, table
 
 VOCABULARY, END_ID = 50_257, 2
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     path, file = fresh_path(spark, "token-store"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     token_store.write(table(spark, sf_dir, "documents"), path, lambda: token_store.tokenizer(file), END_ID, VOCABULARY)
@@ -24,7 +32,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
+    "op4_secret_scan": op4_secret_scan,
     "op7_token_store": op7_token_store,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": mixing.SQL,
+    "op4_secret_scan": secret_scan.SQL,
+}
