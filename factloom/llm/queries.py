@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe, mixing, secret_scan, token_store
+from factloom.llm import bpe, language_id, mixing, secret_scan, token_store
 from factloom.llm.common import fresh_path, table
 
 VOCABULARY, END_ID = 50_257, 2
@@ -21,6 +22,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~held))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     path, file = fresh_path(spark, "token-store"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     token_store.write(table(spark, sf_dir, "documents"), path, lambda: token_store.tokenizer(file), END_ID, VOCABULARY)
@@ -34,6 +43,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_secret_scan": op4_secret_scan,
+    "op5_language_id": op5_language_id,
     "op7_token_store": op7_token_store,
     "op9_byte_bpe": op9_byte_bpe,
 }
