@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, language_id, mixing, secret_scan, token_store
+from factloom.llm import bpe, language_id, mixing, ngram_join, secret_scan, token_store
 from factloom.llm.common import fresh_path, table
 
 VOCABULARY, END_ID = 50_257, 2
@@ -18,6 +18,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_ngram_join": op3_ngram_join,
     "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
     "op7_token_store": op7_token_store,
