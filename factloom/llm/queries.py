@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, language_id, mixing, ngram_join, secret_scan, token_store
+from factloom.llm import bpe, embedding_join, language_id, mixing, ngram_join, secret_scan, token_store, topk_search
 from factloom.llm.common import fresh_path, table
 
 VOCABULARY, END_ID = 50_257, 2
 
 
+def op1_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.join(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     path, file = fresh_path(spark, "token-store"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     token_store.write(table(spark, sf_dir, "documents"), path, lambda: token_store.tokenizer(file), END_ID, VOCABULARY)
@@ -45,14 +54,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_join": op1_embedding_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_ngram_join": op3_ngram_join,
     "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
+    "op6_topk_search": op6_topk_search,
     "op7_token_store": op7_token_store,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_join": embedding_join.SQL,
+    "op6_topk_search": topk_search.SQL,
     "op2_mix_sources": mixing.SQL,
     "op4_secret_scan": secret_scan.SQL,
 }
