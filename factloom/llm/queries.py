@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, embedding_join, language_id, mixing, ngram_join, secret_scan, token_store, topk_search
+from factloom.llm import bpe, context_tree, embedding_join, language_id, mixing, ngram_join, secret_scan, token_store, topk_search
 from factloom.llm.common import fresh_path, table
 
 VOCABULARY, END_ID = 50_257, 2
@@ -49,6 +49,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return token_store.read(spark, path, VOCABULARY)
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_topk_search": op6_topk_search,
     "op7_token_store": op7_token_store,
+    "op8_context_tree": op8_context_tree,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
