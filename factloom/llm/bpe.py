@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.common import PieceCache
@@ -204,6 +205,23 @@ def decode(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids",
     return docs.mapInArrow(run, with_columns(docs.schema, [(text_col, "binary")]))
 
 
+def encode_checked(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids, exact (the ids decode to the text) of docs (doc_id, source, text)."""
+
+    def run(batches):
+        bpe = load(rank_path, pattern)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(2).to_pylist()]
+            ids = list(bpe.encode_all(texts))
+            exact = [bpe.decode(i) == t.encode() for i, t in zip(ids, texts)]
+            n = np.array([len(i) // 4 for i in ids], np.int64)
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), lists, pa.array(exact, pa.bool_())], ["doc_id", "source", "n_tokens", "ids", "exact"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, exact boolean")
+
+
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Encode and decode each text in one pass; returns id_col, n_tokens, ids_sha256, decoded_sha256, n_bytes, exact.
 

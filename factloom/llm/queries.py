@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, context_tree, embedding_join, language_id, mixing, ngram_join, secret_scan, token_store, topk_search
+from factloom.llm import bpe, context_tree, embedding_join, language_id, mixing, ngram_join, secret_scan, token_store, topk_search, warc
 from factloom.llm.common import fresh_path, table
 
 VOCABULARY, END_ID = 50_257, 2
@@ -57,6 +57,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None)
     return bpe.round_trip(table(spark, sf_dir, "documents"), rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.records(table(spark, sf_dir, "pages")).write.option("compression", "zstd").parquet(path)
+    return warc.read(spark.read.parquet(path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_join": op1_embedding_join,
     "op2_mix_sources": op2_mix_sources,
@@ -67,10 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_store": op7_token_store,
     "op8_context_tree": op8_context_tree,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_join": embedding_join.SQL,
     "op6_topk_search": topk_search.SQL,
+    "op10_warc": warc.SQL,
     "op2_mix_sources": mixing.SQL,
     "op4_secret_scan": secret_scan.SQL,
 }
