@@ -54,13 +54,20 @@ _BEFORE_A_RUN = re.compile(f"(?<=[^{SPACES}])(?= )")
 def pieces(text: str) -> list[str]:
     """Cut text before blanks where a byte-level pre-tokenizer always cuts, so that pieces encode independently.
 
-    Such a pre-tokenizer keeps at most the last blank of a run with the word that follows, so a cut before a blank
-    that follows a non-space is safe. All pieces but the first begin with a blank, which is left out of them:
-    " ".join(pieces(text)) == text."""
-    if "  " in text or "\n " in text or " \n" in text or (_ODD.search(text) and _INSIDE_A_RUN.search(text)):
+    Such a pre-tokenizer keeps at most the last blank of a run with the word that follows, so a cut before a blank or a
+    line feed that stands alone between non-spaces is safe, and so is one before any blank that follows a non-space. The
+    first piece is returned as it is; piece_text gives the others' text."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\0" in text or text[-1:] in " \n" or (_ODD.search(text) and _INSIDE_A_RUN.search(text)):
         first, *rest = _BEFORE_A_RUN.split(text)
-        return [first, *(x[1:] for x in rest)]
-    return text.split(" ")
+        return [first, *("\0" + x for x in rest)]
+    return text.replace("\n", " \n").split(" ")
+
+
+def piece_text(piece: str) -> str:
+    """The text of a piece other than the first: the blank before it is left out, but not the line feed."""
+    if piece[:1] == "\0":
+        return piece[1:]
+    return piece if piece[:1] == "\n" else " " + piece
 
 
 def blocks(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
@@ -90,16 +97,23 @@ class PieceCache:
         return self.encode_text(text).astype("<u4").tobytes() if text else b""
 
     def together(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each of words, a blank before it."""
-        out = {w: self.alone(f" {w}") for w in words if not w or w[-1] in SPACES}
-        words = [w for w in words if w not in out]
-        for i, j in blocks(words, 1 << 19):
-            some = words[i:j]
-            ids = self.encode_text(" " + " ".join(some))
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+        """Ids of new pieces. A letter and a mark at the end of a piece are always parted, so such a piece's ids are
+        those of the rest and of the mark."""
+        marks = {m: self.alone(m) for m in ",.;:!?"}
+        stems = {w: w[:-1] for w in words if w and w[-1] in marks and w[-2:-1].isalpha()}
+        out = {s: self.known[s] for s in stems.values() if s in self.known}
+        todo = list({w for w in words if w not in stems}.union(s for s in stems.values() if s not in out))
+        texts = {w: piece_text(w) for w in todo}
+        out |= {w: self.alone(t) for w, t in texts.items() if t[-1] in SPACES}
+        todo = [w for w in todo if w not in out]
+        for i, j in blocks(todo, 1 << 19):
+            some = [texts[w] for w in todo[i:j]]
+            ids = self.encode_text("".join(some))
+            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in some])
             cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
             data = ids.astype("<u4").tobytes()
-            out.update((w, data[s:e]) for w, s, e in zip(some, [0, *cuts.tolist()], cuts.tolist()))
+            out.update((w, data[s:e]) for w, s, e in zip(todo[i:j], [0, *cuts.tolist()], cuts.tolist()))
+        out.update((w, out[s] + marks[w[-1]]) for w, s in stems.items())
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
