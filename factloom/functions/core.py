@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INSUFFICIENT = "insufficient_evidence"
-ANSWER_TYPES = ("NUMERIC", "PERCENT", "INTEGER", "DATE", "STRING", "CATEGORY", "INSUFFICIENT_EVIDENCE")
+ANSWER_TYPES = ("NUMERIC", "PERCENT", "INTEGER", "STRING", "DATE", "CATEGORICAL", "INSUFFICIENT_EVIDENCE")
 TOKEN = r"(?U)\w+|[^\w\s]"
 
 

@@ -28,6 +28,8 @@ ORDER, SAMPLE, CALIBRATION = 4, 1500, 400
 #: N-grams of a language and order that are kept at most, the most frequent ones: bounds the model to ORDER * MOST_GRAMS * languages probabilities.
 MOST_GRAMS = 1 << 18
 DISCOUNT = 0.75
+#: Tables of at most this many languages are broadcast.
+FEW_LANGUAGES = 10_000
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,8 +145,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
     """docs: doc_id, text, lang (non-null). At most sample rows of each language are counted and calibration others
     set the scale and the rejection limit; ids choose them by hash, so the same rows are taken at every run."""
     order = F.xxhash64(F.lit("language-id"), F.col("doc_id"))
-    top = Window.partitionBy("lang").orderBy(order, "doc_id")
-    ids = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.row_number().over(top).alias("k")).filter(F.col("k") <= sample + calibration)
+    top = Window.partitionBy("lang").orderBy("h", "doc_id")
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", order.alias("h"))
+    # Hashes below a line that leaves twice the rows wanted; only those are ranked, so no task gets a language's texts.
+    lines = labelled.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(float(1 << 20)) * 2 * (sample + calibration) / F.col("n")).alias("line"))
+    few = labelled.join(F.broadcast(lines) if lines.count() <= FEW_LANGUAGES else lines, "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.col("line"))
+    ids = few.select("lang", "text", F.row_number().over(top).alias("k")).filter(F.col("k") <= sample + calibration)
     chosen = ids.repartition("lang", F.col("k") % 16).persist()
     try:
         share = F.col("k") % 5 == 0  # a fifth at most is left out of the counts

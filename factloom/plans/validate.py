@@ -25,7 +25,7 @@ from factloom.operators import calc, conditions, distractors
 Tables = dict[str, DataFrame]
 CHECKS: dict[str, tuple[str, str, Callable[[Tables], DataFrame]]] = {}
 # Fixed values.
-QUESTION_TYPES = ("DIRECT_RETRIEVAL", "RETRIEVAL_CALCULATION", "TEMPORAL_VERSION", "ENTITY_FIELD_BINDING", "UNANSWERABLE")
+QUESTION_TYPES = ("DIRECT_RETRIEVAL", "RETRIEVAL_CALCULATION", "TEMPORAL_VERSION", "ENTITY_UNIT_BINDING", "UNANSWERABLE")
 VERSION_TEMPLATES = ("SEC_QUARTER_VS_ANNUAL_FRAME", "SEC_FILING_VERSION_SELECTION", "FDA_ORIGINAL_VS_SUPPLEMENT", "FRED_VINTAGE_SELECTION", "WB_TEMPORAL_MAX_YEAR")
 CAP = 25
 
