@@ -167,6 +167,8 @@ def kneser_ney(counts) -> Model:
     """The model of a table lang, gram, n of ORDER-gram counts."""
     languages = sorted(counts["lang"].unique().tolist())
     model = Model(languages)
+    if not languages:
+        return model
     grams = [str(g) for g in counts["gram"]]
     rows = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
     lang = np.searchsorted(languages, counts["lang"].to_numpy().astype(str)) if len(rows) else np.zeros(0, np.int64)
