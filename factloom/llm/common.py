@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: White space by either Python's or Unicode's definition.
 SPACES = "\t-\r\x1c-\x20\x85\xa0 ᠎ -​    　﻿"
-_INSIDE_A_RUN = re.compile(f" [{SPACES}]|[{SPACES}] ")
+_INSIDE_A_RUN = re.compile(f"[{SPACES}]{{2}}")
 _ODD = re.compile("[\t\x0b-\r\x1c-\x1f" + SPACES[SPACES.index("\x85") :] + "]")
 _BEFORE_A_RUN = re.compile(f"(?<=[^{SPACES}])(?= )")
 
