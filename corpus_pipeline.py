@@ -14,12 +14,17 @@ from factloom.llm import bpe, language_id, mixing, ngram_join, secret_scan
 from factloom.llm.common import cut, fresh_path, table
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """docs with each row also as one column, so that no column of a document clashes with an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *[F.col(c) for c in ("doc_id", "text", "lang", "source")])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents rejected as no text in a learned language; with nothing to learn from, all stay."""
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
-    return language_id.predict(docs, model, keep=docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    return language_id.predict(_whole(docs), model, keep=["_row"]).filter(~F.col("rejected")).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +43,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of the scan becomes [SECRET]; n_chars follows the text."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    masked = secret_scan.redact(_whole(docs).select("_row", "text"))
+    return masked.select(F.col("_row").withField("text", F.col("text")).withField("n_chars", F.char_length("text").cast("long")).alias("_row")).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks."""
-    others = [c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "repeats", "taken")]
-    mixed = mixing.mix(docs, keep=others)
-    return mixed.filter("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    mixed = mixing.mix(_whole(docs), keep=["_row"])
+    return mixed.filter("repeats > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("_row.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,6 +121,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     found = scan(docs, keep=docs.columns)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substr(F.col("_text"), a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).alias("out"))
+    if {"base", "more", "_text"} & {c.lower() for c in docs.columns}:
+        raise ValueError("base, more and _text are taken; pass such columns within a struct")
     masked = F.aggregate(F.array_sort(F.concat("base", "more")), start, step, lambda a: F.concat(a["out"], F.substr(F.col("_text"), a["at"] + 1, F.char_length("_text"))))
     text = F.when(F.size("base") + F.size("more") > 0, masked).otherwise(F.col("text"))
     return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
