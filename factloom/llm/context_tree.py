@@ -18,6 +18,7 @@ each on its own; extra columns are ignored; with nothing to learn from every dec
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -110,7 +111,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         shift += np.log(y)
         y += 1
     z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y - shift
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -227,6 +228,34 @@ def most(df: DataFrame, column: str, limit: int) -> DataFrame:
     return df.filter(F.floor(F.log2(F.col(column) + 1) * 8) >= line) if line is not None else df.limit(0)
 
 
+def packed(df: DataFrame, key: str, value: str) -> list[tuple[bytes, bytes]]:
+    """(keys, values as doubles) of each partition: numbers as 64-bit integers, words joined by line feeds."""
+
+    def run(batches):
+        keys, values = [], []
+        for batch in batches:
+            k = batch.column(0)
+            keys.append(b"".join(w + b"\n" for w in k.to_pylist()) if pa.types.is_binary(k.type) else k.to_numpy().astype("<u8").tobytes())
+            values.append(batch.column(1).to_numpy().astype("<f8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(keys)], pa.binary()), pa.array([b"".join(values)], pa.binary())], ["k", "v"])
+
+    return [(bytes(r.k), bytes(r.v)) for r in df.select(key, value).mapInArrow(run, "k binary, v binary").toLocalIterator()]
+
+
+_UNPACKED: dict[str, tuple] = {}
+
+
+def unpacked(name: str, words: list[tuple[bytes, bytes]], grams: list[tuple[bytes, bytes]]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(word -> log10 of its count and a half, sorted strings, their log10 probabilities), kept for the worker's next tasks."""
+    if name not in _UNPACKED:
+        _UNPACKED.clear()
+        known = {w: x for k, v in words for w, x in zip(k.split(b"\n"), np.log10(np.frombuffer(v, "<f8") + 0.5).tolist())}
+        keys, logs = np.frombuffer(b"".join(k for k, _ in grams), "<u8"), np.frombuffer(b"".join(v for _, v in grams), "<f8")
+        order = np.argsort(keys)
+        _UNPACKED[name] = known, keys[order], logs[order]
+    return _UNPACKED[name]
+
+
 def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
@@ -239,12 +268,11 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
     n_train = docs.filter(~held).count()
     n_words, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, v = n_words + n_train, kinds + (1 if n_train else 0)
-    words = {bytes(r.word): math.log10(r.n + 0.5) for r in most(vocabulary, "n", hot_words).toLocalIterator()}
-    table = most(model, "seen", hot_grams).select("gram", "logp").toPandas().sort_values("gram")
-    hot = spark.sparkContext.broadcast((words, table["gram"].to_numpy().astype(np.uint64), table["logp"].to_numpy().astype(np.float64)))
+    # Both tables come packed, a few bytes a row; workers make dictionaries of them.
+    hot = spark.sparkContext.broadcast((uuid.uuid4().hex, packed(most(vocabulary, "n", hot_words), "word", "n"), packed(most(model, "seen", hot_grams), "gram", "logp")))
 
     def run(batches):
-        known, keys, logs = hot.value
+        known, keys, logs = unpacked(*hot.value)
         get, n_row = known.get, TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, out, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
