@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -220,8 +221,6 @@ def failure_class(message: Column, is_value_error: Column) -> Column:
 
 def python_round(c: Column, decimals: int) -> Column:
     """Rounding of the binary value, halves to even, as Python does; a pandas UDF, for results that must agree with it."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def rounded(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None or v != v else round(v, decimals))
