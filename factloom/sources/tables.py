@@ -28,8 +28,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """file, line: the lines that a schema cannot read, instead of an error."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_bad").alias("line")).filter("line is not null")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).filter("trim(line) <> ''")
+    parsed = F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return rows.filter(parsed["_bad"].isNotNull())
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
