@@ -96,8 +96,9 @@ def candidates(facts: DataFrame, targets: DataFrame, limit: int, seed: str = "di
 
     The last tier can fill a target's list alone, so limit facts of each domain, by seeded hash, stand for it."""
     found = strongest(related(facts, targets))
+    # at most 2 * limit rows of each domain, so a bounded broadcast
     rest = selection.top_by(facts, ["domain"], limit * 2, core.order_key(seed, F.col("record_id"))).select("domain", "record_id")
-    others = targets.select("target_id", "domain", F.col("record_id").alias("own")).join(rest, "domain").filter("own <> record_id").select("target_id", "record_id").distinct()
+    others = targets.select("target_id", "domain", F.col("record_id").alias("own")).join(F.broadcast(rest), "domain").filter("own <> record_id").select("target_id", "record_id").distinct()
     others = others.join(found, ["target_id", "record_id"], "left_anti").withColumn("tier", F.lit("OTHER_SAME_DOMAIN"))
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
     weight = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])

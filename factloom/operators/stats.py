@@ -13,20 +13,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _distinct_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, times, first and last rank (from 0) of its rows, n: equal values are summed up before they are ranked."""
+    at = Window.partitionBy(*keys)
+    v = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times"))
+    last = F.sum("times").over(at.orderBy(value)) - 1
+    return v.withColumn("last", last).withColumn("first", F.col("last") - F.col("times") + 1).withColumn("_n", F.sum("times").over(at))
+
+
 def describe_nearest_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, min, p25, median, p75, max, mean; a percentile is the value at rank round(p * (n - 1)), halves to even.
+    """n, min, p25, median, p75, max, mean; a percentile is the value at rank round(p * (n - 1)), halves to even."""
+    v = _distinct_values(df, keys, value)
 
-    Ranks are found by a window, so no group's values are gathered in one row."""
-    at = Window.partitionBy(*keys)
-    r = df.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(at.orderBy(value)) - 1).withColumn("_n", F.count("*").over(at))
-    pick = lambda p: F.max(F.when(F.col("_r") == F.bround(F.lit(p) * (F.col("_n") - 1)), F.col(value)))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    def pick(p: float) -> Column:
+        rank = F.bround(F.lit(p) * (F.col("_n") - 1))
+        return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col(value)))
+
+    return v.groupBy(*keys).agg(F.sum("times").alias("n"), F.min(value).alias("min"), pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    at = Window.partitionBy(*keys)
-    r = df.withColumn("_r", F.row_number().over(at.orderBy(value)) - 1).withColumn("_n", F.count("*").over(at))
-    return r.groupBy(*keys).agg(F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2), F.col(value))).alias("upper_median"))
+    v, middle = _distinct_values(df, keys, value), F.floor(F.col("_n") / 2)
+    return v.groupBy(*keys).agg(F.max(F.when((F.col("first") <= middle) & (middle <= F.col("last")), F.col(value))).alias("upper_median"))
 
 
 def latency(df: DataFrame, keys: list[str], value: str) -> DataFrame:

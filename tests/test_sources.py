@@ -168,8 +168,8 @@ def test_tables(spark, tmp_path):
     with pytest.raises(Exception):
         tables.read_jsonl(spark, f"{tmp_path}/bad.json", "k int").collect()
     assert tables.malformed_lines(spark, f"{tmp_path}/bad.json", "k int").count() == 1
-    h = tables.content_hash(df, "k")
-    assert h == tables.content_hash(df.withColumn("retrieved_at", F.lit("later")).orderBy(F.desc("k")).repartition(3), "k") != tables.content_hash(df.withColumn("v", F.lit("b")), "k")
+    h = tables.content_hash(df)
+    assert h == tables.content_hash(df.withColumn("retrieved_at", F.lit("later")).orderBy(F.desc("k")).repartition(3)) != tables.content_hash(df.withColumn("v", F.lit("b")))
     (tmp_path / "f").mkdir()
     (tmp_path / "f/x.txt").write_bytes(b"a\r\nb")
     (tmp_path / "f/y.txt").write_bytes(b"a\nb")
