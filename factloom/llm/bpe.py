@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import PieceCache
+from factloom.llm.common import PieceCache, slices
 
 NONE = np.int32(2**31 - 1)
 
@@ -47,7 +47,10 @@ class PairTable:
 
     def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged ids; NONE for pairs that don't merge or hold padding (-1)."""
-        keys = (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        return self.find((left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF)))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys; NONE for those that aren't there."""
         slot = self.slot(keys)
         found = self.keys[slot]
         out = np.where(found == keys, self.values[slot], NONE)
@@ -75,7 +78,7 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         lengths = np.zeros(max(self.tokens) + 1, np.int64)
         lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
-        self.cache = PieceCache(self.encode_text, lengths)
+        self.cache = PieceCache(self.encode_text, lengths, limit=300_000)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, by rounds of merges over padded matrices of words of similar length."""
@@ -185,7 +188,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
 
     def run(batches):
         bpe = load(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_all(texts)]
             yield pa.RecordBatch.from_pydict(without(batch, [ids_col]) | {ids_col: pa.array(ids, pa.list_(pa.int32()))})
@@ -198,7 +201,7 @@ def decode(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids",
 
     def run(batches):
         bpe = load(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(ids_col).to_pylist()
             yield pa.RecordBatch.from_pydict(without(batch, [text_col]) | {text_col: pa.array([bpe.decode(np.array(x or [], "<u4").tobytes()) for x in ids], pa.binary())})
 
@@ -210,7 +213,7 @@ def encode_checked(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = load(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(2).to_pylist()]
             ids = list(bpe.encode_all(texts))
             exact = [bpe.decode(i) == t.encode() for i, t in zip(ids, texts)]
@@ -229,7 +232,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "t
 
     def run(batches):
         bpe = load(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             rows = []
             for text, ids in zip(texts, bpe.encode_all(texts)):

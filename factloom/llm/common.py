@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -83,6 +84,13 @@ def blocks(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Record batches in parts of some rows, so that only those become Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 class PieceCache:
     """Ids of texts as little-endian unsigned 32-bit integers, by the pieces they are cut into.
 

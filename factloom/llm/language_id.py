@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks
+from factloom.llm.common import blocks, slices
 
 ORDER, SAMPLE, CALIBRATION = 4, 1500, 400
 #: N-grams of a language and order that are kept at most, the most frequent ones: bounds the model to ORDER * MOST_GRAMS * languages probabilities.
@@ -31,6 +31,7 @@ DISCOUNT = 0.75
 #: Tables of at most this many languages are broadcast.
 FEW_LANGUAGES = 10_000
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,7 +97,7 @@ class Model:
         for i, j in blocks(texts, 1 << 18):
             rows = [k for k in range(i, j) if texts[k] is not None]
             codes = [codes_of(texts[k]) for k in rows]
-            some = [(k, c) for k, c in zip(rows, codes) if (c != 32).any()]
+            some = [(k, c) for k, c in zip(rows, codes) if _LETTER.search(texts[k])]
             if not some:
                 continue
             ends = np.cumsum([len(c) + ORDER - 1 for _, c in some])
@@ -125,7 +126,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     """lang, gram (ORDER code points as one string), n: summed in the worker for each batch, then by Spark."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             by: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = np.concatenate([np.full(ORDER - 1, 32, np.uint32), codes_of(text or "")])
@@ -245,7 +246,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             if m.languages:
                 ce, size = m.cross_entropies(texts)

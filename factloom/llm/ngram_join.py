@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks, cut
+from factloom.llm.common import blocks, cut, slices
 from factloom.llm.components import components
 
 N, THRESHOLD = 5, 0.8
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, n: int, depth: int, trees: int) -> DataFrame:
     """doc_id, set_key, nodes: one row for each row of docs; key and nodes are null without n-grams."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for i, j in blocks(texts, 1 << 20):
                 sets = shingles(texts[i:j], n)
