@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, language_id, mixing, ngram_join, secret_scan
-from factloom.llm.common import cut, fresh_path, table
+from factloom.llm.common import cut, drop_path, fresh_path, table
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -70,9 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            drop_path(spark, last)
+        last = path
     return docs
