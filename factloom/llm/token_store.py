@@ -3,11 +3,12 @@
 A rolling hash over the last WINDOW ids cuts each document's id stream into chunks, so equal passages give equal chunks
 wherever they stand. A chunk's key is the BLAKE2b digest of its bytes; each key is stored once. A recipe row lists the
 keys of a document in order; recipes stand in ascending document order with the running start of the stream. A Merkle
-root over the recipes' leaf digests, per file part and over all, is kept in a manifest, and reading back checks every
-chunk against its key and every recipe against the manifest.
+root over the recipes of each part is kept in a manifest, and one over the manifest's rows beside it. Reading back
+checks every chunk against its key, every recipe against its leaf digest, and every part's recipes against the manifest.
 
-Layout under path: parts/is_chunk=true (key, payload), recipes/ (doc_id, start, n_tokens, keys, leaf), manifest/ (part, first_start,
-n_docs, n_tokens, root). Payloads are little-endian unsigned 16-bit ids where the vocabulary allows it, else 32-bit.
+Layout under path: parts/is_chunk=true (key, payload), recipes/ (part, doc_id, start, n_tokens, keys, leaf), manifest/ (part,
+first_start, n_docs, n_tokens, root), root/ (n_parts, root). Payloads are little-endian unsigned 16-bit ids where the
+vocabulary allows it, else 32-bit.
 
 Null and empty texts give one document of the end id alone. Repeated rows, also of one doc_id, each get a recipe; rows
 of equal doc_id follow each other in the order of their leaf digests. Null ids sort first. Extra columns are ignored.
@@ -138,8 +139,11 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], PieceCache], end_id:
             start = int(begin[-1] + n[-1])
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(begin), batch.column("n_tokens"), batch.column("keys"), batch.column("leaf")], ["part", "doc_id", "start", "n_tokens", "keys", "leaf"])
 
-    ordered.mapInArrow(with_starts, "part int, doc_id long, start long, n_tokens long, keys binary, leaf string").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    merkle(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    placed = ordered.mapInArrow(with_starts, "part int, doc_id long, start long, n_tokens long, keys binary, leaf string")
+    placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    merkle(spark.read.parquet(f"{path}/recipes"), parts).write.parquet(f"{path}/manifest")
+    stated = spark.read.parquet(f"{path}/manifest").collect()  # as many rows as partitions
+    spark.createDataFrame([(len(stated), root_over(stated))], "n_parts long, root binary").coalesce(1).write.parquet(f"{path}/root")
 
 
 def _parts(spark: SparkSession, path: str, chunks: bool) -> DataFrame:
@@ -147,17 +151,75 @@ def _parts(spark: SparkSession, path: str, chunks: bool) -> DataFrame:
     return rows.filter(F.col("is_chunk") == chunks)
 
 
-def merkle(recipes: DataFrame) -> DataFrame:
-    """For each part a root over its leaf digests: levels of pairs, hashed together, the last one alone if odd.
+class Tree:
+    """Merkle root of digests given one by one: levels of pairs, hashed together, the last one alone if odd moves up.
 
-    A leaf's place is its rank in the part; sums of leaves within blocks of 4,096 keep every group bounded."""
-    at = Window.partitionBy("part").orderBy("start", "leaf")
-    level = recipes.select("part", F.row_number().over(at).alias("i"), F.col("leaf").alias("digest"))
-    blocks = level.groupBy("part", ((F.col("i") - 1) / 4096).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "digest"))).alias("x"))
-    blocks = blocks.select("part", "block", F.sha2(F.array_join(F.col("x.digest"), ""), 256).alias("digest"))
-    roots = blocks.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("x"))
-    sizes = recipes.groupBy("part").agg(F.min("start").alias("first_start"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return sizes.join(roots.select("part", F.sha2(F.array_join(F.col("x.digest"), ""), 256).alias("root")), "part")
+    Only the roots of full subtrees are held, one for each bit of the number of leaves."""
+
+    def __init__(self):
+        self.full: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height, digest = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.full and self.full[-1][0] == height:
+            digest = hashlib.sha256(b"\1" + self.full.pop()[1] + digest).digest()
+            height += 1
+        self.full.append((height, digest))
+
+    def root(self) -> bytes:
+        digests = [d for _, d in self.full]
+        out = digests.pop() if digests else hashlib.sha256().digest()
+        while digests:
+            out = hashlib.sha256(b"\1" + digests.pop() + out).digest()
+        return out
+
+
+def merkle(recipes: DataFrame, partitions: int) -> DataFrame:
+    """part, first_start, n_docs, n_tokens, root: for each part the root over its recipes in order of their starts.
+
+    A recipe's digest covers all its columns; its keys come in through their own digest, which is taken anew."""
+    columns = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "start", "n_tokens", "leaf")]
+    digest = F.unhex(F.sha2(F.concat_ws("|", *columns, F.coalesce(F.sha2("keys", 256), F.lit("null"))), 256))
+    rows = recipes.select("part", "start", "n_tokens", digest.alias("digest"))
+
+    def roots(batches):
+        part, out = None, []
+        first, n_docs, n_tokens, tree = None, 0, 0, Tree()
+        for batch in slices(batches):
+            for p, start, n, d in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part or not n_docs:
+                    if n_docs:
+                        out.append((part, first, n_docs, n_tokens, tree.root()))
+                    part, first, n_docs, n_tokens, tree = p, start, 0, 0, Tree()
+                n_docs, n_tokens = n_docs + 1, n_tokens + (n or 0)
+                tree.add(d)
+        if n_docs:
+            out.append((part, first, n_docs, n_tokens, tree.root()))
+        cols = list(zip(*out)) if out else [[]] * 5
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "first_start", "n_docs", "n_tokens", "root"])
+
+    placed = rows.repartition(partitions, "part").sortWithinPartitions("part", "start", "digest")
+    return placed.mapInArrow(roots, "part int, first_start long, n_docs long, n_tokens long, root binary")
+
+
+def root_over(manifest: list) -> bytes:
+    """The root over a manifest's rows in order of their parts."""
+    tree = Tree()
+    for r in sorted(manifest, key=lambda r: r.part):
+        tree.add(f"{r.part}|{r.first_start}|{r.n_docs}|{r.n_tokens}|{r.root.hex()}".encode())
+    return tree.root()
+
+
+def sound_parts(spark: SparkSession, path: str) -> list[int]:
+    """The parts whose recipes, read back, give their row of the manifest. None is sound if the manifest doesn't give
+    the root over it, or names a part without recipes: such a loss shows in no part's own rows."""
+    stated = spark.read.parquet(f"{path}/manifest").collect()  # as many rows as partitions
+    now = {r.part: r for r in merkle(spark.read.parquet(f"{path}/recipes"), max(1, len(stated))).toLocalIterator()}
+    over = spark.read.parquet(f"{path}/root").collect()
+    if [(r.n_parts, bytes(r.root)) for r in over] != [(len(stated), root_over(stated))] or any(r.part not in now for r in stated):
+        return []
+    return [r.part for r in stated if r == now[r.part]]
 
 
 def _times(a: int, b: int) -> int:
@@ -199,7 +261,8 @@ def read(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
 
     Every stored chunk is read once, held against its key and widened to 32 bits; only its checksum travels to the
     recipes that name it, where checksums join by the algebra of CRC-32. verified: all chunks are there, match their
-    keys and lengths, and the recipe matches its leaf digest."""
+    keys and lengths, the recipe matches its leaf digest, and its part is sound: no recipe of it was lost, added or
+    changed. Parts are checked when this is called."""
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def check(batches):
@@ -224,12 +287,14 @@ def read(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
 
     whole = F.expr("forall(x, p -> coalesce(p.good, false))")
     checked = found.select("start", whole.alias("whole"), joined(F.when(whole, F.col("x.crc")), F.when(whole, F.col("x.size"))).alias("ids_crc32"), F.expr("aggregate(x, 0L, (a, p) -> a + coalesce(p.size, 0))").alias("bytes"))
-    out = recipes.join(checked, "start")
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("whole") & (F.col("bytes") == 4 * F.col("n_tokens")) & (F.sha2("keys", 256) == F.col("leaf"))).alias("verified"))
+    out = recipes.join(checked, "start", "left")  # a recipe without keys names no chunk
+    sound = F.array_contains(F.lit(np.array(sound_parts(spark, path), np.int32)), F.col("part"))
+    good = sound & F.col("whole") & (F.col("bytes") == 4 * F.col("n_tokens")) & (F.sha2("keys", 256) == F.col("leaf"))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32", F.coalesce(good, F.lit(False)).alias("verified"))
 
 
 def reconstruct(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
-    """doc_id, start, ids array<int>: the id streams themselves."""
+    """doc_id, start, ids array<int>: the id streams themselves. Raises an error if a part isn't sound."""
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     @F.pandas_udf("array<int>")
@@ -238,6 +303,9 @@ def reconstruct(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
 
     chunks = _parts(spark, path, True).select("key", "payload")
     recipes = spark.read.parquet(f"{path}/recipes")
+    sound = sound_parts(spark, path)
+    if not recipes.filter(~F.coalesce(F.array_contains(F.lit(np.array(sound, np.int32)), F.col("part")), F.lit(False))).isEmpty():
+        raise ValueError(f"recipes at {path} don't match the manifest")
     parts = recipes.select("doc_id", "start", F.posexplode(F.expr("transform(sequence(0, length(keys) div 16 - 1), i -> substring(keys, 16 * i + 1, 16))")).alias("i", "key"))
     found = parts.join(chunks, "key").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("i", "payload"))).alias("x"))
     return found.select("doc_id", "start", unpacked(F.col("x.payload")).alias("ids"))

@@ -5,6 +5,7 @@ import base64
 import hashlib
 import math
 import random
+import shutil
 import zlib
 from collections import Counter
 
@@ -92,6 +93,52 @@ def test_token_store(spark, edge, tmp_path):
     assert token_store.read(spark, f"{tmp_path}/e", 50_257).count() == 0
 
 
+def test_token_store_sees_lost_and_changed_recipes(spark, tmp_path):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"text number {i} of a few") for i in range(40)], "doc_id long, text string")
+    token_store.write(docs, f"{tmp_path}/s", lambda: token_store.tokenizer(file), 2, 50_257)
+    recipes = spark.read.parquet(f"{tmp_path}/s/recipes").toPandas()
+    part, other = recipes["part"].value_counts().index[:2]
+    at, like = recipes.index[recipes["part"] == part][:2]
+
+    def verified(name, rows):
+        shutil.copytree(f"{tmp_path}/s", f"{tmp_path}/{name}")
+        spark.createDataFrame(rows, "part int, doc_id long, start long, n_tokens long, keys binary, leaf string").write.mode("overwrite").parquet(f"{tmp_path}/{name}/recipes")
+        return {r.doc_id: r.verified for r in token_store.read(spark, f"{tmp_path}/{name}", 50_257).collect()}
+
+    of_part = set(recipes.loc[recipes["part"] == part, "doc_id"])
+    assert all(verified("same", recipes).values())
+    lost = verified("lost", recipes.drop(at))
+    assert {i for i, ok in lost.items() if not ok} == of_part - {recipes.loc[at, "doc_id"]}
+    changed = recipes.copy()  # keys and leaf together, so the row agrees with itself
+    for c in ("keys", "leaf", "n_tokens"):
+        changed.at[at, c] = recipes.at[like, c]
+    assert {i for i, ok in verified("changed", changed).items() if not ok} == of_part
+    renamed = recipes.copy()
+    renamed.at[at, "doc_id"] = 99
+    assert not verified("renamed", renamed)[99]
+    added = pd.concat([recipes, recipes.loc[[at]].assign(doc_id=98, start=10**9)])
+    assert not verified("added", added)[98]
+    assert not any(verified("file", recipes[recipes["part"] != other]).values())
+    with pytest.raises(ValueError):
+        token_store.reconstruct(spark, f"{tmp_path}/lost", 50_257)
+    spark.read.parquet(f"{tmp_path}/s/manifest").filter(F.col("part") != int(other)).write.parquet(f"{tmp_path}/same/manifest2")
+    shutil.rmtree(f"{tmp_path}/same/manifest")
+    shutil.move(f"{tmp_path}/same/manifest2", f"{tmp_path}/same/manifest")
+    assert not any(r.verified for r in token_store.read(spark, f"{tmp_path}/same", 50_257).collect())
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 6, 7, 8, 21])
+def test_merkle_tree_hashes_pairs_level_by_level(n):
+    sha = lambda x: hashlib.sha256(x).digest()
+    tree, level = token_store.Tree(), [sha(b"\0" + bytes([i])) for i in range(n)]
+    for i in range(n):
+        tree.add(bytes([i]))
+    while len(level) > 1:
+        level = [sha(b"\1" + b"".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert tree.root() == (level[0] if level else sha(b""))
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 50_000, 20_000).astype("<u4"), rng.integers(0, 50_000, 777).astype("<u4")
