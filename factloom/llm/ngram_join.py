@@ -1,7 +1,8 @@
 """Near-duplicate join of texts by the Jaccard similarity of their word n-grams.
 
-Signatures are MinHashes in TREES prefix tries (an LSH forest). Matched prefixes start at DEPTH hashes and shorten until
-a pair at the threshold is found with at least the target recall; texts below one trie node are candidates. Candidates
+Signatures are TREES bands of MinHashes, all of one depth: the greatest up to DEPTH at which the formula gives a pair at
+the threshold the target recall. This is no LSH forest: prefixes don't follow the data, and none is shortened for texts
+that met few partners (the README has the measured recall). Texts of one band's key, a node, are candidates. Candidates
 are not written out as pairs: each node links its texts to the smallest one, the connected sets of that are cells, and
 within a cell every pair is verified exactly by counting common n-grams (so what shares no node but a cell is found as
 well). Cells above BLOCK texts are split into pairs of blocks, so no task holds more than two blocks.
@@ -35,7 +36,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with at least this recall."""
+    """The longest prefix at which, by the formula, a pair at the threshold meets in some tree with at least this recall."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -102,7 +103,7 @@ def shingles(texts: list[str], n: int = N) -> list[np.ndarray]:
 
 
 def prefixes(sets: list[np.ndarray], depth: int, trees: int = TREES) -> np.ndarray:
-    """For each non-empty set a row of its trie node at depth in every tree."""
+    """For each non-empty set a row of its node, a key of depth MinHashes, in every tree."""
     rng = np.random.Generator(np.random.PCG64(20_240_229))
     multiply = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
