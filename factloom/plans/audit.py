@@ -70,12 +70,16 @@ def gate(actual: DataFrame, expected: DataFrame, key: str, value: str) -> DataFr
 
 
 def answer_flags(raw: Column, n_tokens: Column, limit: int) -> Column:
-    """How an output departs from one answer line: JSON, record ids, extra lines, repetition, cut off."""
+    """How an output departs from one answer line: JSON, record ids, extra lines, repetition (of at least 20 words one
+    stands there 12 times or more), cut off."""
     text = F.coalesce(raw, F.lit(""))
-    words = F.split(F.trim(text), r"\s+")
-    most = F.array_max(F.map_values(F.aggregate(F.slice(words, 1, 500), F.create_map().cast("map<string,int>"), lambda m, w: F.map_concat(F.map_filter(m, lambda k, v: k != w), F.create_map(w, F.coalesce(F.try_element_at(m, w), F.lit(0)) + 1)))))
+    words = F.array_sort(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_.:-]+"), F.lit(0)))
+    # Equal words stand together: the longest run is the most frequent one's.
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    run = lambda a, w: F.when(w == a["last"], a["run"] + 1).otherwise(1)
+    most = F.aggregate(words, start, lambda a, w: F.struct(w.alias("last"), run(a, w).alias("run"), F.greatest(a["most"], run(a, w)).alias("most")), lambda a: a["most"])
     lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
-    return F.struct(core.parse_answer_line(raw).isNotNull().alias("answer_line"), text.rlike(r"[{}\[\]]").alias("json"), text.rlike(r"\bR[A-F0-9]{8,12}\b").alias("record_id"), (lines > 1).alias("extra_lines"), ((F.size(words) >= 20) & (most * 2 >= F.least(F.size(words), F.lit(500)))).alias("repeats"), F.coalesce(n_tokens >= limit, F.lit(False)).alias("hit_limit"))
+    return F.struct(core.parse_answer_line(raw).isNotNull().alias("answer_line"), text.rlike(r"[{}\[\]]").alias("json"), text.rlike(r"\bR[A-F0-9]{8,12}\b").alias("record_id"), (lines > 1).alias("extra_lines"), ((F.size(words) >= 20) & (most >= 12)).alias("repeats"), F.coalesce(n_tokens >= limit, F.lit(False)).alias("hit_limit"))
 
 
 def output_structure(results: DataFrame, group: str) -> DataFrame:

@@ -76,6 +76,15 @@ def output_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "f.json", "f.extra_lines", "f.hit_limit")
 
 
+@query(r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_.:-]+') AS w FROM conversations)
+SELECT conv_id, turn, regexp_matches(t, '^\s*ANSWER:\s*\S') AS answer_line, regexp_matches(t, '[{}\[\]]') AS json, regexp_matches(t, '\bR[A-F0-9]{8,12}\b') AS record_id, len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) > 1 AS extra_lines,
+  len(w) >= 20 AND coalesce(list_max(map_values(list_histogram(w))), 0) >= 12 AS repeats, length(t) >= 200 AS hit_limit FROM t""")
+def output_flags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C20: all flags of an output; output_flags has three of them."""
+    c = read(spark, sf_dir, "conversations").withColumn("f", audit.answer_flags(F.col("text"), F.char_length("text"), 200))
+    return c.select("conv_id", "turn", "f.*")
+
+
 @query("""WITH r AS (SELECT o_orderkey, unnest([{'k': 'entity', 'v': 'C' || o_custkey}, {'k': 'value', 'v': o_orderstatus || ':' || o_orderkey}]) AS f FROM orders) SELECT o_orderkey, f.k AS field, f.v AS value FROM r""")
 def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RECORD blocks parsed back into fields."""

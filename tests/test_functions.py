@@ -171,3 +171,12 @@ def test_gee_recovers_odds(spark):
 def test_ols(spark):
     fit = stats.ols(spark.range(50).select(F.col("id").cast("double").alias("x")), 3 + 2 * F.col("x"), {"x": F.col("x")})
     assert math.isclose(fit["x"], 2) and math.isclose(fit["intercept"], 3) and math.isclose(fit["r2"], 1)
+
+
+def test_repetition_is_seen_in_the_whole_text(spark):
+    from factloom.plans import audit
+
+    words = " ".join(f"w{i}" for i in range(600))
+    rows = [(0, words + " loop" * 12), (1, words + " loop" * 11), (2, "a " * 19), (3, "a, " * 12 + "b c d e f g h i"), (4, None), (5, words + " loop" * 5000)]
+    flags = spark.createDataFrame(rows, "i int, t string").select("i", audit.answer_flags(F.col("t"), F.lit(1), 9).alias("f"))
+    assert {r.i for r in flags.collect() if r.f.repeats} == {0, 3, 5}
