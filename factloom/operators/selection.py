@@ -102,3 +102,11 @@ def changed_fields(old: DataFrame, new: DataFrame, key: str, ignore: tuple[str,
     both = old.alias("o").join(new.alias("n"), key)
     fields = F.filter(F.array(*[F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.lit(c)) for c in common]), lambda x: x.isNotNull())
     return both.select(key, fields.alias("fields")).filter(F.size("fields") > 0)
+
+
+def few_values(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The distinct values of a column of few values, in order; an error beyond most, so that none is dropped unseen."""
+    rows = df.select(column).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted((r[0] for r in rows), key=lambda v: (v is None, v))

@@ -91,7 +91,7 @@ def grade_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_grid_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: every combination, zeros as well."""
     s = _scored(spark, sf_dir).select("event_type", F.col("bad").cast("string").alias("outcome"))
-    types = sorted(r.event_type for r in s.select("event_type").distinct().limit(1000).collect())
+    types = selection.few_values(s, "event_type")
     return stats.dense_grid(s, "event_type", "outcome", types, ["true", "false", "unknown"])
 
 
@@ -168,7 +168,7 @@ SELECT user_id, states, CASE WHEN states LIKE '%-%' THEN 'missing' WHEN states N
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each cluster along the ladder of conditions."""
     s = _scored(spark, sf_dir)
-    types = sorted(r.event_type for r in s.select("event_type").distinct().limit(1000).collect())
+    types = selection.few_values(s, "event_type")
     rank = F.array_position(F.array(*map(F.lit, types)), F.col("event_type")) - 1
     return stats.transitions(s.withColumn("rank", rank), "user_id", "rank", F.col("bad"), len(types))
 
@@ -219,7 +219,7 @@ def ols_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gee_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exchangeable logistic GEE of the outcome on the condition's rank."""
     s = _scored(spark, sf_dir)
-    types = sorted(r.event_type for r in s.select("event_type").distinct().limit(1000).collect())
+    types = selection.few_values(s, "event_type")
     d = s.select("user_id", F.col("bad").cast("double").alias("y"), F.array_position(F.array(*map(F.lit, types)), F.col("event_type")).cast("double").alias("rank"))
     return spark.createDataFrame(stats.gee_logit(d, "user_id", "y", ["rank"]))
 

@@ -228,7 +228,7 @@ def cross_minus_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     so no cross join is planned."""
     e = read(spark, sf_dir, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     day = e.agg(F.min("day")).first()[0]
-    types = [r.event_type for r in e.select("event_type").distinct().limit(1000).collect()]
+    types = selection.few_values(e, "event_type")
     reported = e.groupBy("user_id").agg(F.collect_set(F.when(F.col("day") == day, F.col("event_type"))).alias("have"))
     return reported.select("user_id", F.explode(F.array_except(F.array(*map(F.lit, types)), F.col("have"))).alias("event_type"), F.lit(day).alias("day"))
 

@@ -180,3 +180,10 @@ def test_repetition_is_seen_in_the_whole_text(spark):
     rows = [(0, words + " loop" * 12), (1, words + " loop" * 11), (2, "a " * 19), (3, "a, " * 12 + "b c d e f g h i"), (4, None), (5, words + " loop" * 5000)]
     flags = spark.createDataFrame(rows, "i int, t string").select("i", audit.answer_flags(F.col("t"), F.lit(1), 9).alias("f"))
     assert {r.i for r in flags.collect() if r.f.repeats} == {0, 3, 5}
+
+
+def test_conditions_beyond_the_bound_are_an_error(spark):
+    df = spark.range(1001).select(F.col("id").cast("string").alias("event_type"))
+    assert len(selection.few_values(df.filter("id < 1000"), "event_type")) == 1000
+    with pytest.raises(ValueError):
+        selection.few_values(df, "event_type")
