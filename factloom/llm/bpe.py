@@ -76,9 +76,9 @@ class ByteBpe:
         r, a, b = np.array(splits, np.int64).T
         self.pairs = PairTable((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), r.astype(np.int32))
         self.pattern = regex.compile(pattern)
-        lengths = np.zeros(max(self.tokens) + 1, np.int64)
-        lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
-        self.cache = PieceCache(self.encode_text, lengths, limit=300_000)
+        starts = np.zeros(max(self.tokens) + 1, bool)
+        starts[list(self.tokens)] = [t[:1] in (b" ", b"\n") for t in self.tokens.values()]
+        self.cache = PieceCache(self.encode_text, starts, limit=300_000)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, by rounds of merges over padded matrices of words of similar length."""
@@ -156,7 +156,7 @@ class ByteBpe:
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.cache.encode(texts)
+        return self.cache.encode_each(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -46,29 +46,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: White space by either Python's or Unicode's definition.
-SPACES = "\t-\r\x1c-\x20\x85\xa0 ᠎ -​    　﻿"
-_INSIDE_A_RUN = re.compile(f"[{SPACES}]{{2}}")
+SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 _ODD = re.compile("[\t\x0b-\r\x1c-\x1f" + SPACES[SPACES.index("\x85") :] + "]")
+_INSIDE_A_RUN = re.compile(f"[{SPACES}]{{2}}")
 _BEFORE_A_RUN = re.compile(f"(?<=[^{SPACES}])(?= )")
+_ONE_WORD = re.compile(f"[ \n][^{SPACES}]+")
+_LETTERS = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
-def pieces(text: str) -> list[str]:
-    """Cut text before blanks where a byte-level pre-tokenizer always cuts, so that pieces encode independently.
-
-    Such a pre-tokenizer keeps at most the last blank of a run with the word that follows, so a cut before a blank or a
-    line feed that stands alone between non-spaces is safe, and so is one before any blank that follows a non-space. The
-    first piece is returned as it is; piece_text gives the others' text."""
-    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\0" in text or text[-1:] in " \n" or (_ODD.search(text) and _INSIDE_A_RUN.search(text)):
-        first, *rest = _BEFORE_A_RUN.split(text)
-        return [first, *("\0" + x for x in rest)]
-    return text.replace("\n", " \n").split(" ")
-
+def careful_cuts(text: str) -> list[int] | None:
+    """Lengths in bytes of the parts of a text with runs of white space, cut before blanks that follow a non-space; None
+    where each blank and line feed stands alone between non-spaces, so that a cut before any of them is safe.
 
-def piece_text(piece: str) -> str:
-    """The text of a piece other than the first: the blank before it is left out, but not the line feed."""
-    if piece[:1] == "\0":
-        return piece[1:]
-    return piece if piece[:1] == "\n" else " " + piece
+    A byte-level pre-tokenizer keeps at most the last blank of a run with the word that follows and always cuts between
+    the rest, so parts encode independently."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:] in " \n" or (_ODD.search(text) and _INSIDE_A_RUN.search(text)):
+        return [len(x.encode()) for x in _BEFORE_A_RUN.split(text)]
+    return None
 
 
 def blocks(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
@@ -92,49 +86,164 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 
 
 class PieceCache:
-    """Ids of texts as little-endian unsigned 32-bit integers, by the pieces they are cut into.
-
-    encode_text: text -> array of ids; lengths: bytes of each id. Holds the ids of the first limit distinct pieces, among
-    them the frequent ones; pieces beyond that live for one block of texts, so a worker's memory doesn't grow with the
-    distinct words it has seen. New pieces of a block are encoded as one text and parted by the lengths of its tokens."""
-
-    def __init__(self, encode_text, lengths: np.ndarray, limit: int = 700_000):
-        self.encode_text, self.lengths, self.limit, self.known = encode_text, lengths, limit, {}
-
-    def alone(self, text: str) -> bytes:
-        return self.encode_text(text).astype("<u4").tobytes() if text else b""
-
-    def together(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. A letter and a mark at the end of a piece are always parted, so such a piece's ids are
-        those of the rest and of the mark."""
-        marks = {m: self.alone(m) for m in ",.;:!?"}
-        stems = {w: w[:-1] for w in words if w and w[-1] in marks and w[-2:-1].isalpha()}
-        out = {s: self.known[s] for s in stems.values() if s in self.known}
-        todo = list({w for w in words if w not in stems}.union(s for s in stems.values() if s not in out))
-        texts = {w: piece_text(w) for w in todo}
-        out |= {w: self.alone(t) for w, t in texts.items() if t[-1] in SPACES}
-        todo = [w for w in todo if w not in out]
-        for i, j in blocks(todo, 1 << 19):
-            some = [texts[w] for w in todo[i:j]]
-            ids = self.encode_text("".join(some))
-            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in some])
-            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
-            data = ids.astype("<u4").tobytes()
-            out.update((w, data[s:e]) for w, s, e in zip(todo[i:j], [0, *cuts.tolist()], cuts.tolist()))
-        out.update((w, out[s] + marks[w[-1]]) for w, s in stems.items())
+    """Ids of texts, by the pieces they are cut into: words with the blank or line feed before them, and marks after them.
+
+    encode_text: text -> array of ids; encode_words, if given: the same for a list of words of a blank and Latin letters;
+    starts: whether an id's bytes begin with a blank or a line feed; whole: strings
+    that an encoder takes as one token wherever they stand, so a text with one isn't cut. Pieces of at most 31 bytes are
+    keys of an open-addressing table (their bytes and their length, compared exactly), longer ones of a dictionary. The
+    first limit distinct pieces stay, among them the frequent ones; others live for one block of texts, so a worker's
+    memory doesn't grow with the distinct words it has seen. New pieces of a block are encoded together, as one text,
+    and parted where a token begins with a blank."""
+
+    LONG, TOGETHER = 31, 1 << 15
+    MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+    MARK = np.isin(np.arange(256), np.frombuffer(b",.;:!?", np.uint8))
+    LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123))
+    BLANK = np.isin(np.arange(256), [10, 32])
+
+    def __init__(self, encode_text, starts: np.ndarray, limit: int = 1_000_000, whole: tuple[str, ...] = (), encode_words=None):
+        self.encode_words = encode_words
+        self.encode_text, self.starts, self.limit, self.whole = encode_text, starts, limit, whole
+        self.slots = np.full(1 << (2 * limit - 1).bit_length(), -1, np.int32)
+        self.n = self.n_pool = 0
+        self.keys, self.first, self.size, self.pool = np.zeros((1024, 4), np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+        self.long: dict[bytes, int] = {}
+
+    @staticmethod
+    def _hash(keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(1, 4):
+            h = (h ^ (h >> np.uint64(29)) ^ keys[:, k]) * np.uint64(0xD1342543DE82EF95)
+        return h ^ (h >> np.uint64(32))
+
+    def _find(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Entries of keys, -1 for those that aren't there."""
+        mask = np.uint64(len(self.slots) - 1)
+        out, todo, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), (hashes & mask).astype(np.int64)
+        while len(todo):
+            entry = self.slots[slot]
+            full = entry >= 0
+            have = self.keys[entry]
+            want = keys[todo]
+            same = full & (have[:, 0] == want[:, 0]) & (have[:, 1] == want[:, 1]) & (have[:, 2] == want[:, 2]) & (have[:, 3] == want[:, 3])
+            out[todo[same]] = entry[same]
+            on = full & ~same
+            todo, slot = todo[on], (slot[on] + 1) & int(mask)
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i, j in blocks(texts):
-            cut_up = [pieces(x) if x else [""] for x in texts[i:j]]
-            found = [list(map(self.known.get, x[1:])) for x in cut_up]
-            missing = {w for x, ids in zip(cut_up, found) if None in ids for w, k in zip(x[1:], ids) if k is None}
-            if missing:
-                now = self.together(list(missing))
-                if len(self.known) + len(now) <= self.limit:
-                    self.known.update(now)
-                for x, ids in zip(cut_up, found):
-                    if None in ids:
-                        ids[:] = [now[w] if k is None else k for w, k in zip(x[1:], ids)]
-            for x, ids in zip(cut_up, found):
-                yield self.alone(x[0]) + b"".join(ids)
+    def _add(self, pieces: list[bytes], keys: np.ndarray | None = None) -> np.ndarray:
+        """New entries of pieces, none of which is there: their numbers."""
+        texts = [p.decode() for p in pieces]
+        found: list[np.ndarray] = []
+        sizes, order = np.zeros(len(pieces), np.int64), []
+        letters = [i for i, t in enumerate(texts) if _LETTERS.fullmatch(t)] if self.encode_words else []
+        rest = sorted(set(range(len(texts))).difference(letters))
+        for words, encode in ((letters, self.encode_words), ([i for i in rest if _ONE_WORD.fullmatch(texts[i])], lambda some: self.encode_text("".join(some)))):
+            for i in range(0, len(words), self.TOGETHER):
+                some = words[i : i + self.TOGETHER]
+                ids = encode([texts[k] for k in some])
+                cuts = np.flatnonzero(self.starts[ids])
+                if len(cuts) != len(some):
+                    raise ValueError("words that aren't parted by blanks")
+                found.append(ids)
+                sizes[some] = np.diff(np.append(cuts, len(ids)))
+            order += words
+        for k in set(rest).difference(order):
+            ids = self.encode_text(texts[k]) if texts[k] else np.zeros(0, np.uint32)
+            found.append(ids)
+            order.append(k)
+            sizes[k] = len(ids)
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        n, m = self.n + len(pieces), self.n_pool + len(ids)
+        for name, need in (("keys", n), ("first", n), ("size", n), ("pool", m)):
+            have = getattr(self, name)
+            if len(have) < need:
+                setattr(self, name, np.concatenate([have, np.zeros((max(need, 2 * len(have)) - len(have), *have.shape[1:]), have.dtype)]))
+        entries = np.arange(self.n, n)
+        self.pool[self.n_pool : m] = ids
+        at = np.array(order, np.int64)
+        self.size[entries] = sizes
+        self.first[self.n + at] = self.n_pool + np.cumsum(sizes[at]) - sizes[at]
+        if keys is not None:
+            self.keys[entries] = keys
+        self.n, self.n_pool = n, m
+        return entries
+
+    def _keep(self, entries: np.ndarray, hashes: np.ndarray) -> None:
+        mask, slot = len(self.slots) - 1, (hashes & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(entries):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entries[free]
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], (slot[left] + 1) & mask
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For blocks of texts in order: the ids of all of them in a row, and their number for each text."""
+        for i, j in blocks(texts, 1 << 20):
+            yield self._block(texts[i:j])
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = [t.encode() for t in texts]
+        ends = np.cumsum([len(d) for d in data])
+        joined = b"".join(data)
+        total = len(joined)
+        padded = joined + bytes(40)
+        chars = np.frombuffer(joined, np.uint8)
+        cut = self.BLANK[chars]
+        if total > 2:
+            apart = self.MARK[chars[1:-1]] & self.LETTER[chars[:-2]] & self.BLANK[chars[2:]]
+            cut[1:-1] |= apart
+        for k, t in enumerate(texts):
+            parts = [len(data[k])] if any(w in t for w in self.whole) else careful_cuts(t)
+            if parts is not None:
+                a = int(ends[k]) - len(data[k])
+                cut[a : int(ends[k])] = False
+                cut[a + np.cumsum(parts)[:-1]] = True
+        cut[(ends - [len(d) for d in data])[[len(d) > 0 for d in data]]] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, total))
+        eights = np.ndarray((total + 32,), "<u8", padded, strides=(1,))
+        keys = np.empty((len(start), 4), np.uint64)
+        for k in range(4):
+            keys[:, k] = eights[np.minimum(start + 8 * k, total)] & self.MASKS[np.clip(size - 8 * k, 0, 8)]
+        short = size <= self.LONG
+        keys[:, 3] |= np.where(short, size, 0).astype(np.uint64) << np.uint64(56)
+        hashes = self._hash(keys)
+        before, before_pool = self.n, self.n_pool
+        entry = np.full(len(start), -1, np.int64)
+        some = np.flatnonzero(short)
+        entry[some] = self._find(keys[some], hashes[some])
+        new = some[entry[some] < 0]
+        fresh = None
+        if len(new):
+            h, at, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            if not (keys[new] == keys[new[at]][back]).all():  # two pieces of one hash
+                _, at, back = np.unique(keys[new], axis=0, return_index=True, return_inverse=True)
+            at = new[at]
+            fresh = self._add([joined[s : s + n] for s, n in zip(start[at].tolist(), size[at].tolist())], keys[at]), hashes[at]
+            entry[new] = fresh[0][back]
+        longer = {}
+        if (rest := np.flatnonzero(~short)).size:
+            parts = [joined[s : s + n] for s, n in zip(start[rest].tolist(), size[rest].tolist())]
+            todo = list(dict.fromkeys(p for p in parts if p not in self.long))
+            longer = dict(zip(todo, self._add(todo).tolist()))
+            entry[rest] = [self.long[p] if p in self.long else longer[p] for p in parts]
+        n_ids = self.size[entry]
+        sums = np.concatenate([[0], np.cumsum(n_ids)])
+        ids = self.pool[np.repeat(self.first[entry] - sums[:-1], n_ids) + np.arange(sums[-1])]
+        if self.n <= self.limit:
+            if fresh is not None:
+                self._keep(*fresh)
+            self.long.update(longer)
+        else:
+            self.n, self.n_pool = before, before_pool
+        places = np.searchsorted(start, np.concatenate([[0], ends]))
+        return ids, np.diff(sums[places])
+
+    def encode_each(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        for ids, n in self.encode(texts):
+            data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+            for s, e in zip([0, *ends], ends):
+                yield data[s:e]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, context_tree, embedding_join, language_id, mixing, ngram_join, secret_scan, token_store, topk_search, warc
-from factloom.llm.common import fresh_path, table
+from factloom.llm.common import cut, drop_path, fresh_path, table
 
 VOCABULARY, END_ID = 50_257, 2
 
@@ -46,7 +46,9 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_store(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     path, file = fresh_path(spark, "token-store"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     token_store.write(table(spark, sf_dir, "documents"), path, lambda: token_store.tokenizer(file), END_ID, VOCABULARY)
-    return token_store.read(spark, path, VOCABULARY)
+    out = cut(token_store.read(spark, path, VOCABULARY))
+    drop_path(spark, path)
+    return out
 
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.records(table(spark, sf_dir, "pages")).write.option("compression", "zstd").parquet(path)
-    return warc.read(spark.read.parquet(path))
+    out = cut(warc.read(spark.read.parquet(path)))
+    drop_path(spark, path)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

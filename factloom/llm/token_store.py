@@ -6,17 +6,19 @@ keys of a document in order; recipes stand in ascending document order with the
 root over the recipes of each part is kept in a manifest, and one over the manifest's rows beside it. Reading back
 checks every chunk against its key, every recipe against its leaf digest, and every part's recipes against the manifest.
 
-Layout under path: parts/is_chunk=true (key, payload), recipes/ (part, doc_id, start, n_tokens, keys, leaf), manifest/ (part,
+Layout under path: parts/is_chunk=true (key, payload, copies), recipes/ (part, doc_id, start, n_tokens, keys, leaf), manifest/ (part,
 first_start, n_docs, n_tokens, root), root/ (n_parts, root). Payloads are little-endian unsigned 16-bit ids where the
 vocabulary allows it, else 32-bit.
 
-Null and empty texts give one document of the end id alone. Repeated rows, also of one doc_id, each get a recipe; rows
-of equal doc_id follow each other in the order of their leaf digests. Null ids sort first. Extra columns are ignored.
+Texts are encoded as the library does by default: a string that its file names as a special token is that token. Null
+and empty texts give one document of the end id alone; very long texts are a block of their own, and their chunks are rows
+like others. Repeated rows, also of one doc_id, each get a recipe; rows of equal doc_id follow each other in the order of their leaf digests. Null ids sort first. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Callable
@@ -41,20 +43,51 @@ def tokenizer(path: str) -> PieceCache:
         from tokenizers import Tokenizer
 
         inner = Tokenizer.from_file(path)
-        inner.encode_special_tokens = True  # their strings in a text are ordinary text
-        lengths = np.zeros(inner.get_vocab_size(), np.int64)
+        starts = np.zeros(inner.get_vocab_size(), bool)
         for token, i in inner.get_vocab().items():
-            lengths[i] = len(token)  # byte-level vocabularies write one character for each byte
-        _LOADED[path] = PieceCache(lambda text: np.array(inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"), lengths, limit=1_000_000)
+            starts[i] = token[0] in "\u0120\u010a"  # how byte-level vocabularies write a blank and a line feed
+        added = tuple(t.content for t in inner.get_added_tokens_decoder().values())
+
+        def encode(text: str) -> np.ndarray:
+            return np.array(inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+        _LOADED[path] = PieceCache(encode, starts, limit=2_000_000, whole=added, encode_words=word_encoder(inner))
     return _LOADED[path]
 
 
+def word_encoder(inner) -> Callable[[list[str]], np.ndarray] | None:
+    """Encodes words of a blank and letters, which a byte-level pre-tokenizer leaves whole: they go to the same model
+    written as its vocabulary writes bytes, parted by a separator, without the search for words. None for other tokenizers."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import Split
+
+    stated = json.loads(inner.to_str())
+    pre = stated["pre_tokenizer"] or {}
+    if stated["normalizer"] or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or stated["model"]["type"] != "BPE":
+        return None
+    stated |= {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+    bare = Tokenizer.from_str(json.dumps(stated))
+    bare.pre_tokenizer = Split("\n", "removed")
+    # Bytes that such vocabularies write as other characters, 256 and on, in order of the bytes.
+    odd = {bytes([b]).decode("latin-1"): chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+    odd.pop("\n")
+
+    def encode(words: list[str]) -> np.ndarray:
+        text = "\n".join(words).encode().decode("latin-1")
+        for a, b in odd.items():
+            if a in text:
+                text = text.replace(a, b)
+        return np.array(bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    return encode
+
+
 def marks(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash of the last WINDOW ids asks for a cut. Over several texts in a row as well:
     a text's first LEAST ids, which include all windows that reach into the text before, are never cut."""
     n = len(ids)
     rolled, power = np.zeros(n, np.uint64), 1
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, n)):
         rolled[k:] += ids[: n - k].astype(np.uint64) * np.uint64(power)
         power = power * 0xD1342543DE82EF95 % (1 << 64)
     mixed = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
@@ -88,38 +121,40 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], PieceCache], end_id:
     spark, width = docs.sparkSession, "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def rows(batches):
-        encode, n = encoder(), 0
-        own = os.urandom(8)  # tells rows of one doc_id apart until recipes are sorted
-        size, last_id = np.dtype(width).itemsize, np.uint32(end_id).astype("<u4").tobytes()
+        cache = encoder()
+        size = np.dtype(width).itemsize
         for batch in slices(batches):
-            out: list[tuple] = []
-            data = [x + last_id for x in encode.encode([x or "" for x in batch.column(1).to_pylist()])]
-            ids = np.frombuffer(b"".join(data), "<u4")
-            packed, wanted = ids.astype(width).tobytes(), marks(ids)
-            ends = np.cumsum([len(x) // 4 for x in data])
-            places = np.searchsorted(wanted, ends).tolist()
-            wanted, start, at = wanted.tolist(), 0, 0
-            for doc_id, stop, place in zip(batch.column(0).to_pylist(), ends.tolist(), places):
-                keys, last = [], start
-                for end in between(wanted[at:place], start, stop):
-                    payload = packed[last * size : end * size]
-                    keys.append(key_of(payload))
-                    out.append((True, keys[-1], None, None, payload))
-                    last = end
-                n += 1
-                out.append((False, own + n.to_bytes(8, "big"), doc_id, stop - start, b"".join(keys)))
-                start, at = stop, place
-            yield arrow(out)
+            doc_ids, texts, at = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()], 0
+            for ids, counts in cache.encode(texts):
+                out: list[tuple] = []
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                packed, wanted, ends = ids.astype(width).tobytes(), marks(ids), np.cumsum(counts + 1)
+                places = np.searchsorted(wanted, ends).tolist()
+                wanted, start, first = wanted.tolist(), 0, 0
+                for doc_id, stop, place in zip(doc_ids[at : at + len(ends)], ends.tolist(), places):
+                    keys, last = [], start
+                    for end in between(wanted[first:place], start, stop):
+                        payload = packed[last * size : end * size]
+                        keys.append(key_of(payload))
+                        out.append((True, keys[-1], None, None, payload))
+                        last = end
+                    recipe = b"".join(keys)
+                    out.append((False, key_of(repr(doc_id).encode() + recipe), doc_id, stop - start, recipe))
+                    start, first = stop, place
+                at += len(ends)
+                yield arrow(out)
 
     def arrow(out):
         cols = list(zip(*out)) if out else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["is_chunk", "key", "doc_id", "n_tokens", "payload"])
 
-    # One shuffle for both: equal chunks meet (already once per map task), recipes pass.
+    # One shuffle for both, by keys that follow from the content alone, so a task that is run again sends its rows to the
+    # same places: equal chunks meet (already once per map task), and so do equal recipes of one doc_id, which are counted.
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(rows, "is_chunk boolean, key binary, doc_id long, n_tokens long, payload binary")
-    raw.dropDuplicates(["is_chunk", "key"]).write.option("compression", "zstd").partitionBy("is_chunk").parquet(f"{path}/parts")
+    once = raw.groupBy("is_chunk", "key").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_tokens", "payload")], F.count("*").alias("copies"))
+    once.write.option("compression", "zstd").partitionBy("is_chunk").parquet(f"{path}/parts")
     recipes = _parts(spark, path, False)
-    ordered = recipes.select("doc_id", "n_tokens", F.col("payload").alias("keys"), F.sha2("payload", 256).alias("leaf"))
+    ordered = recipes.select("doc_id", "n_tokens", F.col("payload").alias("keys"), F.sha2("payload", 256).alias("leaf"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
     parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = cut(ordered.repartitionByRange(parts, "doc_id", "leaf").sortWithinPartitions("doc_id", "leaf").withColumn("part", F.spark_partition_id()))
     # Parts follow each other in doc_id order: one row for each part gives the starts.
@@ -147,7 +182,7 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], PieceCache], end_id:
 
 
 def _parts(spark: SparkSession, path: str, chunks: bool) -> DataFrame:
-    rows = spark.read.schema("key binary, doc_id long, n_tokens long, payload binary, is_chunk boolean").parquet(f"{path}/parts")
+    rows = spark.read.schema("key binary, doc_id long, n_tokens long, payload binary, copies long, is_chunk boolean").parquet(f"{path}/parts")
     return rows.filter(F.col("is_chunk") == chunks)
 
 
