@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and there is but one
+    machine (tests). An error on a cluster that names none: a driver's own folder is no shared one."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
-        named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+        named = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")

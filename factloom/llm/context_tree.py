@@ -7,11 +7,13 @@ probabilities Pw mix by halves, Pw = (Pe + product of the children's Pw) / 2, an
 (b * KT + child's) / (b + 1) with b = Pe / product: all depths take part, as the training data support them. A context
 never seen gives 1/2. The sum over a text of log10 of its decisions is its score.
 
-Counting: strings of DEPTH + 1 bytes and words, summed by Spark. The upper two levels of the trees have at most 255 and 65,280
-nodes and come to the driver; the others stay spread, by their last two context bytes. Scoring: the most frequent words
-and strings (at most HOT_WORDS and HOT_GRAMS) go to every worker; all others are looked up by a join.
+Counting: strings of DEPTH + 1 bytes and words, summed by Spark. Levels of three context bytes and more stay spread, by
+their last three, and are read group by group, so a task holds CHUNK strings or one group. The upper levels come to the
+driver and go to every worker: in UTF-8 with A-Z lowered they have at most 5.6 million nodes of 28 bytes, whatever the
+corpus. Scoring: the most frequent words and strings (at most HOT_WORDS and HOT_GRAMS) go to every worker; all others are
+looked up by a join.
 
-Null and empty texts score their end symbol alone. A null id counts as not held out. Repeated rows are learned and scored
+Null and empty texts score their end symbol alone; a very long text is a block of its own. A null id counts as not held out. Repeated rows are learned and scored
 each on its own; extra columns are ignored; with nothing to learn from every decision has 1/2 and every word count is 0.
 """
 
@@ -21,6 +23,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks, cut
+from factloom.llm.bpe import NONE, PairTable
+from factloom.llm.common import blocks, cut, slices
 
-HOT_WORDS, HOT_GRAMS = 1 << 18, 1 << 20
-END, DEPTH = 255, 5
+HOT_WORDS, HOT_GRAMS, CHUNK = 1 << 18, 1 << 20, 1 << 18
+END, DEPTH, SPREAD = 255, 5, 3
+GROUP = ((1 << (8 * SPREAD)) - 1) << 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -43,10 +48,8 @@ def held_out(doc_id: Column) -> Column:
 def grams_of(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(strings of DEPTH + 1 bytes of all texts in order: each byte, or the end, and those before it; their number by text)."""
     stop = bytes([END]) * DEPTH
-    joined = np.frombuffer(stop + b"".join(d + stop for d in data), np.uint8)
-    codes = np.zeros(len(joined) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        codes = (codes << np.uint64(8)) | joined[k : k + len(codes)]
+    joined = bytes([END]) * 7 + b"".join(d + stop for d in data)
+    codes = np.ndarray((len(joined) - 7,), ">u8", joined, strides=(1,)).astype(np.uint64) & np.uint64((1 << (8 * DEPTH + 8)) - 1)
     n = np.array([len(d) + 1 for d in data])
     keep = np.ones(len(codes), bool)
     ends = np.cumsum(n + DEPTH - 1)
@@ -81,7 +84,7 @@ def count(docs: DataFrame) -> DataFrame:
             keys.clear()
             counts.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in blocks(texts):
                 for learn in (True, False):
@@ -140,40 +143,63 @@ def level(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, children: np.ndarray
 
 
 def lower_levels(grams: np.ndarray, n: np.ndarray) -> list[pd.DataFrame]:
-    """Levels of DEPTH to two context bytes for strings that share partitions by those two; keys are context, node."""
+    """Levels of DEPTH to SPREAD context bytes for strings that stand together by those; keys are context, node."""
     seen = n > 0
     g, n = grams[seen], n[seen]
     nodes, bits = decisions(g)
     keys = (((g.astype(np.int64) >> 8) << 8)[:, None] | nodes).ravel()
     ones = (n[:, None] * bits).ravel()
     out = [level(keys, np.repeat(n, 8) - ones, ones, None)]
-    for depth in range(DEPTH - 1, 1, -1):
+    for depth in range(DEPTH - 1, SPREAD - 1, -1):
         last = out[-1]
         out.append(level(last["key"].to_numpy() & ((1 << (8 * depth + 8)) - 1), last["n0"], last["n1"], last["pw"]))
     return out
 
 
-def probability(grams: np.ndarray, n: np.ndarray, upper: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each string's last byte after those before it. upper[context byte, node]:
-    (n0, n1, b) of the one-byte level and (n0, n1, b) of the empty context."""
+class Upper:
+    """The levels of fewer than SPREAD context bytes: n0, n1, b by context and node."""
+
+    def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for depth in range(SPREAD - 1, -1, -1):
+            t = level(key & ((1 << (8 * depth + 8)) - 1), n0, n1, below)
+            key, n0, n1, below = (t[c].to_numpy() for c in ("key", "n0", "n1", "pw"))
+            self.levels.append((key.astype(np.uint64), t[["n0", "n1", "b"]].to_numpy()))
+
+    @cached_property
+    def lookups(self) -> list[tuple[PairTable, np.ndarray]]:
+        """Made once for each worker, from what was broadcast."""
+        return [(PairTable(keys, np.arange(len(keys), dtype=np.int32)), rows) for keys, rows in self.levels]
+
+
+def probability(grams: np.ndarray, n: np.ndarray, upper: list) -> np.ndarray:
+    """log10 of the probability of each string's last byte after those before it; upper: lookups of the upper levels."""
     tables = lower_levels(grams, n)
     nodes, bits = decisions(grams)
     context = grams.astype(np.int64) >> 8
+    unseen = (0.0, 0.0, 1.0)
 
-    def of(table: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    def below(table: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, ...]:
         have = table["key"].to_numpy()
-        if not len(have):
-            return np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys))
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        hit = have[at] == keys
-        return tuple(np.where(hit, table[c].to_numpy()[at], d) for c, d in (("n0", 0.0), ("n1", 0.0), ("b", 1.0)))
+        at = np.minimum(np.searchsorted(have, keys), max(0, len(have) - 1))
+        hit = have[at] == keys if len(have) else np.zeros(len(keys), bool)
+        return tuple(np.where(hit, table[c].to_numpy()[at], d) if len(have) else np.full(len(keys), d) for c, d in zip(("n0", "n1", "b"), unseen))
+
+    def above(table: PairTable, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = table.find(keys.astype(np.uint64))
+        hit = at != NONE
+        got = rows[np.where(hit, at, 0)] if len(rows) else np.zeros((len(keys), 3))
+        return tuple(np.where(hit, got[:, c], unseen[c]) for c in range(3))
 
     out = np.zeros(len(grams))
     for k in range(8):
         node, bit = nodes[:, k], bits[:, k]
+        key = lambda depth: ((context & ((1 << (8 * depth)) - 1)) << 8) | node
         p = None
-        lower = [of(t, ((context & ((1 << (8 * (DEPTH - i))) - 1)) << 8) | node) for i, t in enumerate(tables)]
-        for n0, n1, b in (*lower, tuple(upper[context & 255, node, :3].T), tuple(upper[context & 255, node, 3:].T)):
+        levels = [lambda i=i, t=t: below(t, key(DEPTH - i)) for i, t in enumerate(tables)]
+        levels += [lambda i=i, t=t: above(*t, key(SPREAD - 1 - i)) for i, t in enumerate(upper)]
+        for of in levels:
+            n0, n1, b = of()
             kt = (np.where(bit == 1, n1, n0) + 0.5) / (n0 + n1 + 1)
             p = kt if p is None else (b * kt + p) / (b + 1)
         out += np.log10(p)
@@ -181,37 +207,49 @@ def probability(grams: np.ndarray, n: np.ndarray, upper: np.ndarray) -> np.ndarr
 
 
 def spread(grams: DataFrame, fn, schema: str) -> DataFrame:
-    """fn over all rows of each partition of grams (gram, n), dealt by the last two context bytes."""
+    """fn(gram, n, seen) -> columns, over rows of grams that stand together by their last SPREAD context bytes: whole
+    groups of those, CHUNK rows at least."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        held, n = [], 0
 
-    def run(parts):
-        pdf = pd.concat([p for p in parts] or [pd.DataFrame({"gram": [], "n": [], "seen": []})])
-        yield fn(pdf["gram"].to_numpy().astype(np.int64), pdf["n"].to_numpy().astype(np.int64), pdf)
+        def result(cols):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in fn(*cols)], names)
 
-    return grams.mapInPandas(run, schema)
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in range(3)])
+            n += batch.num_rows
+            if n >= CHUNK:
+                cols = [np.concatenate([h[k] for h in held]) for k in range(3)]
+                group = cols[0] & GROUP
+                whole = len(group) - int((group[::-1] != group[-1]).argmax()) if group[0] != group[-1] else 0
+                if whole:
+                    yield result([c[:whole] for c in cols])
+                held, n = [[c[whole:] for c in cols]], 0
+        if held and len(held[0][0]):
+            yield result([np.concatenate([h[k] for h in held]) for k in range(3)])
+
+    return grams.select("gram", "n", "seen").mapInArrow(run, schema)
 
 
 def fit_grams(grams: DataFrame) -> DataFrame:
     """gram, n, seen -> gram, seen, logp."""
+    spark = grams.sparkSession
 
     def first(g, n, _):
-        two = lower_levels(g, n)[-1]
-        one = two["key"].to_numpy() & 0xFFFF
-        k, back = np.unique(one, return_inverse=True)
-        return pd.DataFrame({"key": k, "n0": np.bincount(back, weights=two["n0"]), "n1": np.bincount(back, weights=two["n1"]), "below": np.bincount(back, weights=two["pw"])}) if len(k) else pd.DataFrame({"key": [], "n0": [], "n1": [], "below": []})
-
-    sums = spread(grams, first, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toPandas()  # 65,280 rows at most
-    upper = np.zeros((256, 256, 6))
-    upper[:, :, 2] = upper[:, :, 5] = 1
-    if len(sums):
-        one = level(sums["key"].to_numpy(), sums["n0"], sums["n1"], sums["below"])
-        none = level(one["key"].to_numpy() & 255, one["n0"], one["n1"], one["pw"])
-        key = one["key"].to_numpy()
-        upper[key >> 8, key & 255, :3] = one[["n0", "n1", "b"]].to_numpy()
-        upper[:, none["key"].to_numpy(), 3:] = none[["n0", "n1", "b"]].to_numpy()
-    shared = grams.sparkSession.sparkContext.broadcast(upper)  # 3 MB
-
-    def last(g, n, pdf):
-        return pd.DataFrame({"gram": g, "seen": pdf["seen"].to_numpy(), "logp": probability(g, n, shared.value) if len(g) else []})
+        low = lower_levels(g, n)[-1]
+        k, back = np.unique(low["key"].to_numpy() & ((1 << (8 * SPREAD)) - 1), return_inverse=True)
+        return [k, *(np.bincount(back, weights=low[c], minlength=len(k)) for c in ("n0", "n1", "pw"))]
+
+    sums = spread(grams, first, "key long, n0 double, n1 double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
+    got = packed(sums, "key", "n0", "n1", "below")  # at most 5.6 million rows, see above
+    key = np.frombuffer(b"".join(k for k, _ in got), "<i8")
+    rows = np.concatenate([np.frombuffer(v, "<f8").reshape(3, -1) for _, v in got], axis=1) if got else np.zeros((3, 0))
+    shared = spark.sparkContext.broadcast(Upper(key, *rows))
+
+    def last(g, n, seen):
+        return [g, seen, probability(g, n, shared.value.lookups)]
 
     return spread(grams, last, "gram long, seen long, logp double")
 
@@ -228,31 +266,31 @@ def most(df: DataFrame, column: str, limit: int) -> DataFrame:
     return df.filter(F.floor(F.log2(F.col(column) + 1) * 8) >= line) if line is not None else df.limit(0)
 
 
-def packed(df: DataFrame, key: str, value: str) -> list[tuple[bytes, bytes]]:
-    """(keys, values as doubles) of each partition: numbers as 64-bit integers, words joined by line feeds."""
+def packed(df: DataFrame, key: str, *values: str) -> list[tuple[bytes, bytes]]:
+    """(keys, values as doubles, column by column) of each partition: numbers as 64-bit integers, words joined by line feeds."""
 
     def run(batches):
-        keys, values = [], []
+        keys, rows = [], [[] for _ in values]
         for batch in batches:
             k = batch.column(0)
             keys.append(b"".join(w + b"\n" for w in k.to_pylist()) if pa.types.is_binary(k.type) else k.to_numpy().astype("<u8").tobytes())
-            values.append(batch.column(1).to_numpy().astype("<f8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(keys)], pa.binary()), pa.array([b"".join(values)], pa.binary())], ["k", "v"])
+            for i, out in enumerate(rows):
+                out.append(batch.column(1 + i).to_numpy().astype("<f8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(keys)], pa.binary()), pa.array([b"".join(x for out in rows for x in out)], pa.binary())], ["k", "v"])
 
-    return [(bytes(r.k), bytes(r.v)) for r in df.select(key, value).mapInArrow(run, "k binary, v binary").toLocalIterator()]
+    return [(bytes(r.k), bytes(r.v)) for r in df.select(key, *values).mapInArrow(run, "k binary, v binary").toLocalIterator()]
 
 
 _UNPACKED: dict[str, tuple] = {}
 
 
-def unpacked(name: str, words: list[tuple[bytes, bytes]], grams: list[tuple[bytes, bytes]]) -> tuple[dict, np.ndarray, np.ndarray]:
-    """(word -> log10 of its count and a half, sorted strings, their log10 probabilities), kept for the worker's next tasks."""
+def unpacked(name: str, words: list[tuple[bytes, bytes]], grams: list[tuple[bytes, bytes]]) -> tuple[dict, PairTable, np.ndarray]:
+    """(word -> log10 of its count and a half, table of strings, their log10 probabilities and a 0), kept for the worker's next tasks."""
     if name not in _UNPACKED:
         _UNPACKED.clear()
         known = {w: x for k, v in words for w, x in zip(k.split(b"\n"), np.log10(np.frombuffer(v, "<f8") + 0.5).tolist())}
         keys, logs = np.frombuffer(b"".join(k for k, _ in grams), "<u8"), np.frombuffer(b"".join(v for _, v in grams), "<f8")
-        order = np.argsort(keys)
-        _UNPACKED[name] = known, keys[order], logs[order]
+        _UNPACKED[name] = known, PairTable(keys, np.arange(len(keys), dtype=np.int32)), np.append(logs, 0.0)
     return _UNPACKED[name]
 
 
@@ -263,7 +301,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
     counted = cut(count(docs.select("text", (~held).alias("train"))).groupBy("word", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("seen")))
     vocabulary = counted.filter("word is not null").select("word", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grams = cut(counted.filter("gram is not null").select("gram", "n", (F.col("n") + F.col("seen")).alias("seen")).repartition(parts, F.col("gram").bitwiseAND(0xFFFF00)))
+    grams = cut(counted.filter("gram is not null").select("gram", "n", (F.col("n") + F.col("seen")).alias("seen")).repartition(parts, F.col("gram").bitwiseAND(GROUP)).sortWithinPartitions(F.col("gram").bitwiseAND(GROUP)))
     model = cut(fit_grams(grams))
     n_train = docs.filter(~held).count()
     n_words, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -274,9 +312,9 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
     def run(batches):
         known, keys, logs = unpacked(*hot.value)
         get, n_row = known.get, TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             ids, out, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, j in blocks(texts):
+            for i, j in blocks(texts, 1 << 20):
                 data = [(x or "").encode().translate(_LOWER) for x in texts[i:j]]
                 tokens = [d.split() for d in data]
                 found = [list(map(get, t)) for t in tokens]
@@ -284,10 +322,9 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
                 base = [sum(f) if not r else sum(x for x in f if x is not None) for f, r in zip(found, rare)]
                 codes, n = grams_of(data)
                 ends = np.cumsum(n)
-                at = np.minimum(np.searchsorted(keys, codes), max(0, len(keys) - 1))
-                hit = keys[at] == codes if len(keys) else np.zeros(len(codes), bool)
-                value = np.where(hit, logs[at], 0.0) if len(keys) else np.zeros(len(codes))
-                scores = np.add.reduceat(value, ends - n)
+                at = keys.find(codes)
+                hit = at != NONE
+                scores = np.add.reduceat(logs[np.minimum(at, len(logs) - 1)], ends - n)  # NONE takes the 0 at the end
                 miss = np.split(codes[~hit].astype(np.int64), np.cumsum(np.add.reduceat((~hit).astype(np.int64), ends - n))[:-1])
                 rows = list(range(n_row, n_row + len(data)))
                 n_row += len(data)
@@ -308,3 +345,17 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
     base = F.col("base") + (F.col("n_words") - F.col("n_hot")) * math.log10(0.5) + F.coalesce("more", F.lit(0.0)) + math.log10(n_train + 0.5) - n_tokens * math.log10(total + 0.5 * (v + 1))
     whole = F.col("score") + F.coalesce("gram_score", F.lit(0.0))
     return out.select("doc_id", "held_out", n_tokens.cast("long").alias("n_tokens"), (F.col("n_hot") + zero("n_rare") + (1 if n_train else 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"), (-whole * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+
+
+#: held_out, n_tokens, n_known, train_tokens and base_score in DuckDB; CRC-32 bit by bit.
+BASE_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w,
+  xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: list_reduce(list_prepend(xor(a, x), [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]), lambda c, one: xor(c >> 1, 3988292384 * (c & one))), 4294967295::BIGINT), 4294967295) % 5 = 1 AS held_out FROM documents),
+t AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM d WHERE NOT held_out) GROUP BY 1),
+e AS (SELECT count(*) AS n FROM d WHERE NOT held_out),
+n AS (SELECT coalesce(sum(c), 0) + (SELECT n FROM e) AS total, count(*) + ((SELECT n FROM e) > 0)::INT AS v FROM t),
+s AS (SELECT doc_id, count(c) AS known, sum(log10(coalesce(c, 0) + 0.5)) AS base FROM (SELECT doc_id, unnest(w) AS word FROM d) LEFT JOIN t USING (word) GROUP BY 1)
+SELECT doc_id, held_out, len(w) + 1 AS n_tokens, (coalesce(known, 0) + (e.n > 0)::INT)::BIGINT AS n_known, total::BIGINT AS train_tokens,
+  round(coalesce(base, 0) + log10(e.n + 0.5) - (len(w) + 1) * log10(total + 0.5 * (v + 1)), 3) AS base_score
+FROM d LEFT JOIN s USING (doc_id), n, e
+"""

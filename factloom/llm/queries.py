@@ -55,6 +55,12 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
 
+def context_tree_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8_context_tree's result."""
+    out = context_tree.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk_search": op6_topk_search,
     "op7_token_store": op7_token_store,
     "op8_context_tree": op8_context_tree,
+    "context_tree_base": context_tree_base,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
@@ -83,6 +90,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_embedding_join": embedding_join.SQL,
     "op6_topk_search": topk_search.SQL,
     "op10_warc": warc.SQL,
+    "context_tree_base": context_tree.BASE_SQL,
     "op2_mix_sources": mixing.SQL,
     "op4_secret_scan": secret_scan.SQL,
 }
