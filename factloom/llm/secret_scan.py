@@ -2,21 +2,20 @@
 
 Three patterns give the base spans. Beside them, candidate strings of a character class are searched by the Shannon
 entropy of a window that slides over them: each step takes one character out of the class's counts and one in, and the
-entropy follows from the two counts that change. A candidate is reported from its first to the end of its last window at
+entropy follows from the two counts that change, so a candidate takes time in proportion to its length. A candidate is reported from its first to the end of its last window at
 or above the class's limit. An allow-list pattern takes the run of letters and digits it stands in out of a candidate
 (all of it if the pattern is anchored); what is left on either side is searched on its own. Strings of one case with
 digits have classes of their own, reported where no other span holds them. Spans are in code points, end exclusive.
 
 SQL has neither these two classes nor the rest of a candidate beside an allowed run: it agrees on tables without both.
 
-Null texts count as empty and have no spans; repeated rows give repeated results; extra columns are ignored.
+Null texts count as empty and have no spans; very long texts and candidates are searched whole; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-WINDOW = 20
+WINDOW, GROUP = 20, 128
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 
 
@@ -56,29 +55,48 @@ ALLOW = (
 )
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value computed once."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _placed(items: Column) -> Column:
+    """Array of (start, end, found) of items (gap, size, skip, found) that follow each other. Sums run within groups of
+    GROUP items and over the groups' sums, so arrays that grow by appending stay short."""
+    spans = "array<struct<start:int,end:int,found:string>>"
+    length = lambda x: x["gap"] + x["size"] + x["skip"]
+
+    def one(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        return F.struct((a["at"] + length(x)).alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["found"].alias("found"))).alias("out"))
+
+    def of(groups: Column) -> Column:
+        add = lambda a, g: F.struct((a["at"] + F.aggregate(g, F.lit(0), lambda n, x: n + length(x))).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+        firsts = F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add, lambda a: a["out"])
+        return F.flatten(F.zip_with(groups, firsts, lambda g, at: F.aggregate(g, F.struct(at.alias("at"), F.array().cast(spans).alias("out")), one, lambda a: a["out"])))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / GROUP).cast("int")), lambda k: F.slice(all_, k * GROUP + 1, GROUP))
+    return _let(items, lambda all_: F.when(F.size(all_) > 0, _let(cut(all_), of)).otherwise(F.array().cast(spans)))
+
+
 def _matches(text: Column, pattern: str, group: Column) -> Column:
     """Array of (start, end, found) of all matches: lengths of what stands between and in them, summed up."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(F.arrays_zip(between.alias("b"), found.alias("f"), group.alias("g")), lambda x: F.struct(F.char_length(x["b"]).alias("gap"), F.char_length(x["f"]).alias("size"), x["g"].alias("found")))
-    kept = F.filter(sizes, lambda x: x["size"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-    run = F.aggregate(kept, empty, lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("end"), x["found"].alias("found"))).alias("out")), lambda a: a["out"])
-    return F.when(text.rlike(pattern), run).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
+    items = F.transform(F.arrays_zip(between.alias("b"), found.alias("f"), group.alias("g")), lambda x: F.struct(F.char_length(x["b"]).alias("gap"), F.char_length(x["f"]).alias("size"), F.lit(0).alias("skip"), x["g"].alias("found")))
+    return F.when(text.rlike(pattern), _placed(F.filter(items, lambda x: x["size"].isNotNull()))).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
 
 def _rest(candidate: Column, allow: tuple[str, ...]) -> Column:
-    """Array of (start, found) of what allow patterns leave of a candidate."""
+    """Array of (start, end, found) of what allow patterns leave of a candidate."""
     whole, inner = [a for a in allow if a.startswith("^")], [a for a in allow if not a.startswith("^")]
-    out = F.array(F.struct(F.lit(0).alias("start"), candidate.alias("found")))
-    none = F.array().cast("array<struct<start:int,found:string>>")
+    out = F.array(F.struct(F.lit(0).alias("start"), F.char_length(candidate).alias("end"), candidate.alias("found")))
     if inner:
         # Tried at starts of runs only, so time is linear in the run.
         cover = "(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:" + "|".join(f"(?:{a})" for a in inner) + ")[A-Za-z0-9]*"
         parts = F.arrays_zip(F.split(candidate, cover, -1).alias("b"), F.regexp_extract_all(candidate, F.lit(cover), F.lit(0)).alias("f"))
-        empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        step = lambda a, x: F.struct((a["at"] + F.char_length(x["b"]) + F.coalesce(F.char_length(x["f"]), F.lit(0))).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("start"), x["b"].alias("found"))).alias("out"))
-        out = F.when(candidate.rlike(cover), F.aggregate(parts, empty, step, lambda a: a["out"])).otherwise(out)
-    return F.when(_all([~candidate.rlike(a) for a in whole]), out).otherwise(none)
+        items = F.transform(parts, lambda x: F.struct(F.lit(0).alias("gap"), F.char_length(x["b"]).alias("size"), F.coalesce(F.char_length(x["f"]), F.lit(0)).alias("skip"), x["b"].alias("found")))
+        out = F.when(candidate.rlike(cover), _placed(items)).otherwise(out)
+    return F.when(_all([~candidate.rlike(a) for a in whole]), out).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
 
 def _span(kind: str, start: Column, end: Column) -> Column:
@@ -86,22 +104,37 @@ def _span(kind: str, start: Column, end: Column) -> Column:
 
 
 def _windows(candidate: Column, c: CharClass, window: int) -> Column:
-    """(first, last) of the candidate's windows at or above the limit: start of the first, end of the last; else -1."""
-    text = F.lower(candidate) if c.fold else candidate
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.instr(F.lit(c.alphabet), F.substr(text, i, F.lit(1))))
-    term = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(window + 2)])
-    of = lambda count: F.element_at(term, count + 1)
-    start = F.struct(F.array_repeat(F.lit(0), len(c.alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), codes.alias("codes"))
-
-    def step(a: Column, code: Column) -> Column:
-        out = F.when(a["n"] >= window, F.element_at(a["codes"], F.greatest(a["n"] - window + 1, F.lit(1)))).otherwise(0)
-        n_in, n_out = F.element_at(a["counts"], code), F.when(out > 0, F.element_at(a["counts"], F.greatest(out, F.lit(1)))).otherwise(0)
-        total = F.when(code == out, a["sum"]).otherwise(a["sum"] - of(n_in) + of(n_in + 1) - F.when(out > 0, of(n_out) - of(F.greatest(n_out - 1, F.lit(0)))).otherwise(0.0))
-        counts = F.transform(a["counts"], lambda x, k: x + F.when(k + 1 == code, 1).otherwise(0) - F.when(k + 1 == out, 1).otherwise(0))
-        hot = (a["n"] + 1 >= window) & (F.lit(math.log2(window)) - total / window >= c.limit)
-        return F.struct(counts.alias("counts"), total.alias("sum"), (a["n"] + 1).alias("n"), F.when(hot & (a["first"] < 0), a["n"] + 1 - window).otherwise(a["first"]).alias("first"), F.when(hot, a["n"] + 1).otherwise(a["last"]).alias("last"), a["codes"].alias("codes"))
-
-    return F.aggregate(codes, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    """(first, last) of the candidate's windows at or above the limit: start of the first, end of the last; else -1.
+
+    The class's counts are packed into a few 64-bit integers. A step takes a character in and the one that leaves the
+    window out; the sum of k * log2(k) over all counts k, in units of 2**-32, follows from the two counts that change."""
+    bits = window.bit_length()
+    per, unit = 62 // bits, 1 << 32
+    n_words = -(-len(c.alphabet) // per)
+    f = [round(k * math.log2(k) * unit) if k else 0 for k in range(window + 2)]
+    table = lambda values: F.array(*map(F.lit, values))
+    up, down = table([f[k + 1] - f[k] for k in range(window + 1)]), table([0] + [f[k - 1] - f[k] for k in range(1, window + 2)])
+    code_of, ones = table([c.alphabet.find(chr(k)) for k in range(128)]), table([1 << (bits * k) for k in range(per)])
+    most = math.floor((math.log2(window) - c.limit) * window * unit)  # of the sum, in a window at the limit
+    codes = F.transform(F.split(F.lower(candidate) if c.fold else candidate, ""), lambda x: F.element_at(code_of, F.ascii(x) + 1))
+    steps = _let(codes, lambda all_: F.zip_with(all_, F.slice(F.concat(F.array_repeat(F.lit(-1), window), all_), 1, F.size(all_)), lambda i, o: F.struct(i.alias("i"), o.alias("o"))))
+    count = lambda words, code: F.call_function("shiftright", F.element_at(words, F.floor(code / per).cast("int") + 1), (code % per) * bits).bitwiseAND(F.lit((1 << bits) - 1))
+    start = F.struct(F.array(*[F.lit(0).cast("long")] * n_words).alias("words"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    hot = lambda a: (a["n"] >= window) & (a["sum"] <= most)
+    first = lambda a: F.when(hot(a) & (a["first"] < 0), a["n"] - window).otherwise(a["first"])
+    last = lambda a: F.when(hot(a), a["n"]).otherwise(a["last"])
+
+    def step(a: Column, x: Column) -> Column:
+        leaves = x["o"] >= 0
+        n_out = F.when(leaves, count(a["words"], F.greatest(x["o"], F.lit(0)))).otherwise(0).cast("int")
+        n_in = (count(a["words"], x["i"]) - F.when(x["i"] == x["o"], 1).otherwise(0)).cast("int")
+        within = lambda code, k: (code >= k * per) & (code < (k + 1) * per)
+        one = lambda code, k: F.when(within(code, k), F.element_at(ones, code - k * per + 1)).otherwise(0)
+        words = F.array(*[a["words"][k] + one(x["i"], k) - one(x["o"], k) for k in range(n_words)])
+        total = a["sum"] + F.element_at(down, n_out + 1) + F.element_at(up, n_in + 1)
+        return F.struct(words.alias("words"), total.alias("sum"), (a["n"] + 1).alias("n"), first(a).alias("first"), last(a).alias("last"))
+
+    return F.aggregate(steps, start, step, lambda a: F.struct(first(a).alias("first"), last(a).alias("last")))
 
 
 def scan(docs: DataFrame, window: int = WINDOW, classes: tuple[CharClass, ...] = CLASSES + ONE_CASE, allow: tuple[str, ...] = ALLOW, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
