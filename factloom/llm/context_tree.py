@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from factloom.llm.bpe import NONE, PairTable
 from factloom.llm.common import blocks, cut, slices
 
-HOT_WORDS, HOT_GRAMS, CHUNK = 1 << 18, 1 << 20, 1 << 18
+HOT_WORDS, HOT_GRAMS, CHUNK = 1 << 18, 1 << 20, 1 << 17
 END, DEPTH, SPREAD = 255, 5, 3
 GROUP = ((1 << (8 * SPREAD)) - 1) << 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -96,10 +96,10 @@ def count(docs: DataFrame) -> DataFrame:
                     k, n = np.unique(grams_of(data)[0], return_counts=True)
                     keys.append(k)
                     counts.append(n if learn else np.zeros(len(n), np.int64))
-                if sum(map(len, keys)) > 6_000_000:
+                if sum(map(len, keys)) > 3_000_000:
                     k, n = merged(keys, counts)
                     keys[:], counts[:] = [k], [n]
-                if len(words) > 400_000 or len(keys[0]) > 3_000_000:
+                if len(words) > 300_000 or len(keys[0]) > 1_500_000:
                     yield from flush()
         yield from flush()
 
