@@ -30,7 +30,7 @@ class PairTable:
     """(left id, right id) -> id of the merged token, in a hash table of numpy arrays with linear probing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         size = 1 << self.bits
         self.keys, self.values = np.full(size, np.iinfo(np.uint64).max, np.uint64), np.full(size, NONE, np.int32)
         slot, left = self.slot(keys), np.arange(len(keys))

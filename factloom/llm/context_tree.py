@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from factloom.llm.bpe import NONE, PairTable
 from factloom.llm.common import blocks, cut, slices
 
-HOT_WORDS, HOT_GRAMS, CHUNK = 1 << 18, 1 << 20, 1 << 17
+HOT_WORDS, HOT_GRAMS, CHUNK = 1 << 17, 1 << 19, 1 << 16
 END, DEPTH, SPREAD = 255, 5, 3
 GROUP = ((1 << (8 * SPREAD)) - 1) << 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -86,7 +86,7 @@ def count(docs: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             texts, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in blocks(texts):
+            for i, j in blocks(texts, 1 << 19):
                 for learn in (True, False):
                     data = [(x or "").encode().translate(_LOWER) for x, t in zip(texts[i:j], train[i:j]) if t is learn]
                     if not data:
@@ -96,10 +96,10 @@ def count(docs: DataFrame) -> DataFrame:
                     k, n = np.unique(grams_of(data)[0], return_counts=True)
                     keys.append(k)
                     counts.append(n if learn else np.zeros(len(n), np.int64))
-                if sum(map(len, keys)) > 3_000_000:
+                if sum(map(len, keys)) > 2_000_000:
                     k, n = merged(keys, counts)
                     keys[:], counts[:] = [k], [n]
-                if len(words) > 300_000 or len(keys[0]) > 1_500_000:
+                if len(words) > 200_000 or len(keys[0]) > 1_000_000:
                     yield from flush()
         yield from flush()
 
@@ -314,7 +314,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
         get, n_row = known.get, TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             ids, out, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, j in blocks(texts, 1 << 20):
+            for i, j in blocks(texts, 1 << 19):
                 data = [(x or "").encode().translate(_LOWER) for x in texts[i:j]]
                 tokens = [d.split() for d in data]
                 found = [list(map(get, t)) for t in tokens]
