@@ -26,7 +26,10 @@ def interleave(df: DataFrame, keys: list[str], tier_rank: str, weight: str, *ord
 
     A row's cycle is its rank within the tier divided by the weight, so the loop is an ordering."""
     within = F.row_number().over(Window.partitionBy(*keys, tier_rank).orderBy(*order))
-    out = df.withColumn("_within", within).withColumn("cycle", F.floor((F.col("_within") - 1) / F.col(weight)).cast("long"))
+    out = df.withColumn("_within", within)
+    if limit is not None:  # no tier can give more, and Spark cuts it off before the shuffle
+        out = out.filter(F.col("_within") <= limit)
+    out = out.withColumn("cycle", F.floor((F.col("_within") - 1) / F.col(weight)).cast("long"))
     out = out.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("cycle", tier_rank, "_within"))).drop("_within")
     return out if limit is None else out.filter(F.col("position") <= limit)
 
@@ -44,29 +47,26 @@ def argmax_unique(df: DataFrame, keys: list[str], value: str, of: str) -> DataFr
     return best.join(ties.select(*keys), keys)
 
 
-def allocate(weights: dict[str, float], total: int) -> dict[str, int]:
-    """Largest-remainder shares of total; every positive weight gets one where total allows. A few names: on the driver."""
-    weights = {k: w for k, w in weights.items() if w > 0}
-    if total <= 0 or not weights:
-        return {}
-    exact = {k: total * w / sum(weights.values()) for k, w in weights.items()}
-    counts = {k: max(int(x), 1 if total >= len(weights) else 0) for k, x in exact.items()}
-    by_rest = sorted(weights, key=lambda k: (int(exact[k]) - exact[k], k))
-    for i in range(max(0, total - sum(counts.values()))):
-        counts[by_rest[i % len(by_rest)]] += 1
-    while sum(counts.values()) > total:
-        counts[max(counts, key=lambda k: (counts[k], k))] -= 1
-    return counts
-
-
-def allocate_rows(groups: DataFrame, weight: str, total: int) -> DataFrame:
-    """The same without the floor of one, for as many groups as there are: seats by floor, the rest by largest remainder."""
-    w = Window.partitionBy()
-    exact = F.lit(total) * F.col(weight) / F.sum(weight).over(w)
-    out = groups.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
-    out = out.withColumn("_left", F.lit(total) - F.sum("_floor").over(w))
-    rest = F.row_number().over(Window.orderBy((F.col("_floor") - F.col("_exact")).asc(), groups.columns[0]))
-    return out.withColumn("seats", (F.col("_floor") + F.when(rest <= F.col("_left"), 1).otherwise(0)).cast("long")).drop("_exact", "_floor", "_left")
+def allocate_rows(groups: DataFrame, weight: str, total: int, least: int = 0) -> DataFrame:
+    """Seats of each group by largest remainder, total in all; with least, every positive weight has as many at the
+    least if total allows. groups' first column is their key, and settles ties.
+
+    Two sums come to the driver; the seats left over go to the groups of the greatest remainders, and seats given beyond
+    total are taken back from the highest, seat by seat: both are sorted limits, so no task sees all groups."""
+    key = groups.columns[0]
+    n, whole = groups.filter(F.col(weight) > 0).agg(F.count("*"), F.sum(weight)).first()
+    if not n or total <= 0:
+        return groups.withColumn("seats", F.lit(0).cast("long"))
+    low = least if total >= least * n else 0
+    share = F.coalesce(F.greatest(F.lit(total) * F.col(weight) / F.lit(whole), F.lit(0)), F.lit(0))
+    rows = groups.withColumn("_rest", share - F.floor(share)).withColumn("_seats", F.greatest(F.floor(share), F.when(F.col(weight) > 0, F.lit(low)).otherwise(0)).cast("long"))
+    over = rows.agg(F.sum("_seats")).first()[0] - total
+    if over <= 0:
+        change = rows.orderBy(F.col("_rest").desc(), key).limit(-over).select(key, F.lit(1).alias("_change"))
+    else:
+        seats = rows.select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_seats"))).alias("seat")) if low else None
+        change = seats.orderBy(F.col("seat").desc(), F.col(key).desc()).limit(over).groupBy(key).agg((-F.count("*")).alias("_change"))
+    return rows.join(change, key, "left").withColumn("seats", (F.col("_seats") + F.coalesce("_change", F.lit(0))).cast("long")).drop("_rest", "_seats", "_change").select(*groups.columns, "seats")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

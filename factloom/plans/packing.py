@@ -5,53 +5,116 @@ token counts enter it, never texts. Texts, hashes and positions are put together
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+from collections.abc import Iterator
+from math import inf
+from sys import maxsize
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 8
+SIDES = ("before", "gold", "after")
 SCHEMA = "family_id string, nominal long, status string, tokens long, record_id string, side string, position int, gold_start long, gold_tokens long"
 
 
-def grow(tokens: list[int], gold: int, lengths: list[int], target: float, tolerance: float, fill: float) -> list[tuple[int, str, int, list[int], list[int]]]:
-    """(nominal, status, tokens, indexes before, indexes after) of each length; picks are kept from length to length.
+class Pending:
+    """Records not placed yet. The next WINDOW of them stand in a list ordered by size, so the best fit among them is
+    found by bisection; the others in a tree of least sizes, which gives the first one up to a size."""
+
+    def __init__(self, sizes: list[int]):
+        self.n = len(sizes)
+        self.leaves = 1 << max(0, self.n - 1).bit_length()
+        self.least = [inf] * self.leaves + sizes + [inf] * (self.leaves - self.n)
+        for k in range(self.leaves - 1, 0, -1):
+            self.least[k] = min(self.least[2 * k : 2 * k + 2])
+        self.near: list[tuple[int, int]] = []
+        self._refill()
+
+    def _first(self, most: int = maxsize) -> int | None:
+        """The first record of the tree whose size is most or less."""
+        if self.least[1] > most:
+            return None
+        k = 1
+        while k < self.leaves:
+            k = 2 * k if self.least[2 * k] <= most else 2 * k + 1
+        return k - self.leaves
+
+    def _drop(self, i: int) -> int:
+        """Takes a record out of the tree; returns its size."""
+        k = i + self.leaves
+        size, self.least[k] = self.least[k], inf
+        while k > 1:
+            k //= 2
+            self.least[k] = min(self.least[2 * k : 2 * k + 2])
+        return size
+
+    def _refill(self) -> None:
+        while len(self.near) < WINDOW and (i := self._first()) is not None:
+            insort(self.near, (self._drop(i), i))
+
+    def take(self, most: int, wanted: int) -> tuple[int, int] | None:
+        """(size, record) of at most the size most: of the near ones the one nearest to the wanted size, the earlier
+        one of two; if none of them fits, the first one beyond."""
+        fit = bisect_right(self.near, (most, self.n))
+        if not fit:
+            i = self._first(most)
+            return None if i is None else (self._drop(i), i)
+        above = bisect_left(self.near, (wanted, -1), 0, fit)
+        places = [above] if above < fit else []
+        if above:
+            places.append(bisect_left(self.near, (self.near[above - 1][0], -1)))
+        best = min(places, key=lambda k: (abs(self.near[k][0] - wanted), self.near[k][1]))
+        taken = self.near.pop(best)
+        self._refill()
+        return taken
+
+
+class Context:
+    """A gold block and what has been placed on either side; lean is how much more stands before it than after."""
 
-    The lighter side grows (before, if equal) by the affordable candidate of the next WINDOW whose size is nearest to
-    the difference of the sides, else by the next affordable one; ties go to the earlier candidate."""
-    before: list[int] = []
-    after: list[int] = []
-    pending, out, exhausted = list(range(len(tokens))), [], False
+    def __init__(self, sizes: list[int], gold: int):
+        self.pending, self.gold = Pending(sizes), gold
+        self.records: deque[int] = deque()
+        self.n_before, self.lean, self.total = 0, 0, gold
+
+    def fill(self, nominal: int) -> None:
+        while (taken := self.pending.take(nominal - self.total, abs(self.lean))) is not None:
+            size, record = taken
+            self.total += size
+            if self.lean > 0:
+                self.records.append(record)
+                self.lean -= size
+            else:
+                self.records.appendleft(record)
+                self.n_before += 1
+                self.lean += size
+
+    def status(self, nominal: int, target: float, tolerance: float, fill: float) -> str:
+        if self.total > nominal:
+            return "PROMPT_BUDGET_EXCEEDED"
+        if self.total < fill * nominal:
+            return "POOL_EXHAUSTED"
+        # Before the gold block's middle stand (total + lean) / 2 tokens.
+        middle = (self.total + self.lean) / (2 * self.total) if self.total else 0.0
+        return "OK" if abs(middle - target) <= tolerance + 1e-9 else "POSITION_TOLERANCE_UNSATISFIABLE"
+
+
+def grow(sizes: list[int], gold: int, lengths: list[int], target: float, tolerance: float, fill: float) -> Iterator[tuple[int, str, int, list[int], int]]:
+    """(nominal, status, tokens, placed records in order, how many of them before the gold block) of each length, shortest
+    first. A longer context keeps what a shorter one has; once one can't be filled, no longer one can."""
+    context, ended = Context(sizes, gold), False
     for nominal in lengths:
-        if exhausted:
-            out.append((nominal, "POOL_EXHAUSTED", 0, [], []))
+        if ended:
+            yield nominal, "POOL_EXHAUSTED", 0, [], 0
             continue
-        left, right = sum(tokens[i] for i in before), sum(tokens[i] for i in after)
-        while True:
-            budget = nominal - gold - left - right
-            fits = [i for i in pending[:WINDOW] if tokens[i] <= budget] or next(([i] for i in pending if tokens[i] <= budget), [])
-            if not fits:
-                break
-            pick = min(fits, key=lambda i: (abs(tokens[i] - abs(right - left)), i))
-            pending.remove(pick)
-            if left <= right:
-                before.append(pick)
-                left += tokens[pick]
-            else:
-                after.append(pick)
-                right += tokens[pick]
-        total = gold + left + right
-        middle = (left + gold / 2) / total if total else 0.0
-        if total > nominal:
-            exhausted = True
-            out.append((nominal, "PROMPT_BUDGET_EXCEEDED", total, [], []))
-        elif total < fill * nominal:
-            exhausted = True
-            out.append((nominal, "POOL_EXHAUSTED", total, [], []))
-        elif abs(middle - target) > tolerance:
-            out.append((nominal, "POSITION_TOLERANCE_UNSATISFIABLE", total, [], []))
-        else:
-            out.append((nominal, "OK", total, before[::-1], list(after)))
-    return out
+        context.fill(nominal)
+        status = context.status(nominal, target, tolerance, fill)
+        ended = status in ("PROMPT_BUDGET_EXCEEDED", "POOL_EXHAUSTED")
+        placed = list(context.records) if status == "OK" else []
+        yield nominal, status, context.total, placed, context.n_before if placed else 0
 
 
 def pack(candidates: DataFrame, gold: DataFrame, lengths: tuple[int, ...], target: float = 0.5, tolerance: float = 0.05, fill: float = 0.9) -> DataFrame:
@@ -65,9 +128,10 @@ def pack(candidates: DataFrame, gold: DataFrame, lengths: tuple[int, ...], targe
         g, c = pdf[pdf["is_gold"]], pdf[~pdf["is_gold"]]
         ids, gold_ids, n_gold = c["record_id"].tolist(), g["record_id"].tolist(), int(g["tokens"].sum())
         tokens, rows, family = c["tokens"].tolist(), [], pdf["family_id"].iloc[0]
-        for nominal, status, total, before, after in grow(tokens, n_gold, sizes, target, tolerance, fill) if gold_ids else []:
-            start = sum(tokens[i] for i in before)
-            placed = [(ids[i], "before") for i in before] + [(x, "gold") for x in gold_ids] + [(ids[i], "after") for i in after] if status == "OK" else [(None, None)]
+        for nominal, status, total, records, n in grow(tokens, n_gold, sizes, target, tolerance, fill) if gold_ids else []:
+            start = sum(tokens[i] for i in records[:n])
+            sides = [(ids[i], "before") for i in records[:n]] + [(x, "gold") for x in gold_ids] + [(ids[i], "after") for i in records[n:]]
+            placed = sides if status == "OK" else [(None, None)]
             rows += [(family, nominal, status, total, r, side, k, start, n_gold) for k, (r, side) in enumerate(placed)]
         return pd.DataFrame(rows, columns=["family_id", "nominal", "status", "tokens", "record_id", "side", "position", "gold_start", "gold_tokens"])
 
@@ -75,27 +139,35 @@ def pack(candidates: DataFrame, gold: DataFrame, lengths: tuple[int, ...], targe
 
 
 def instances(packed: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row for each (family, length): ids, context, gold span, relative position, hash, what was added to the length before."""
-    rows = packed.filter("status = 'OK'").join(texts.select("record_id", "text"), "record_id")
+    """One row for each (family, length): ids, context, gold span, relative position, hash, records by side, a map from
+    record to place, what was added to the length before, and placed records that have no text."""
+    rows = packed.filter("status = 'OK'").join(texts.select("record_id", "text"), "record_id", "left")
     parts = F.array_sort(F.collect_list(F.struct("position", "record_id", "side", "text")))
     out = rows.groupBy("family_id", "nominal").agg(parts.alias("p"), F.first("tokens").alias("tokens"), F.first("gold_start").alias("gold_start"), F.first("gold_tokens").alias("gold_tokens"))
     at = Window.partitionBy("family_id").orderBy("nominal")
     ids = F.col("p.record_id")
-    out = out.select("family_id", "nominal", "tokens", "gold_start", "gold_tokens", ids.alias("record_ids"), F.array_join(F.col("p.text"), "\n").alias("context"), F.expr("filter(p, x -> x.side = 'gold').record_id").alias("gold_ids"))
+    on = lambda side: F.filter("p", lambda x: x["side"] == side)
+    counts = F.map_from_arrays(F.array(*map(F.lit, SIDES)), F.array(*[F.size(on(s)) for s in SIDES]))
+    out = out.select(
+        "family_id", "nominal", "tokens", "gold_start", "gold_tokens", ids.alias("record_ids"), F.array_join(F.col("p.text"), "\n").alias("context"), on("gold")["record_id"].alias("gold_ids"), counts.alias("counts"),
+        F.map_from_entries(F.transform("p", lambda x: F.struct(x["record_id"], x["position"]))).alias("places"), F.filter("p", lambda x: x["text"].isNull())["record_id"].alias("missing_ids"),
+    )
     before = F.lag("record_ids").over(at)
     return out.select("*", F.sha2("context", 256).alias("context_sha256"), ((F.col("gold_start") + F.col("gold_tokens") / 2) / F.col("tokens")).alias("relative_position"), F.array_except("record_ids", F.coalesce(before, F.array().cast("array<string>"))).alias("added_ids"), before.alias("previous_ids"))
 
 
-def trim(tokens: list[int], gold_first: int, gold_last: int, limit: int) -> tuple[int, int]:
-    """(first, last) record kept when records go alternately from the front and the back until limit tokens are left;
-    the gold block always stays."""
-    first, last, total, front = 0, len(tokens) - 1, sum(tokens), True
-    while total > limit and (first < gold_first or last > gold_last):
-        if (front and first < gold_first) or last <= gold_last:
-            total -= tokens[first]
-            first += 1
-        else:
-            total -= tokens[last]
-            last -= 1
-        front = not front
-    return first, last
+def trimmed(placed: DataFrame, limit: int) -> DataFrame:
+    """Rows of placed (family_id, nominal, record_id, side, position, size) that stay when records go, in turn from the
+    front and from the back, until a context has limit tokens; the gold block always stays.
+
+    The i-th record from the front goes after min(i, records behind) ones from the back, the j-th from the back after
+    min(j + 1, records in front), so the turn of each record is known and a running sum tells who has to go."""
+    context = Window.partitionBy("family_id", "nominal")
+    front, back = F.col("side") == "before", F.col("side") == "after"
+    inward = F.when(back, -F.col("position")).otherwise(F.col("position"))
+    own = F.row_number().over(Window.partitionBy("family_id", "nominal", "side").orderBy(inward)) - 1
+    rows = placed.withColumns({"_own": own, "_front": F.count_if(front).over(context), "_back": F.count_if(back).over(context), "_total": F.sum("size").over(context)})
+    turn = F.when(front, F.col("_own") + F.least("_own", "_back")).when(back, F.col("_own") + F.least(F.col("_own") + 1, F.col("_front")))
+    gone = F.coalesce(F.sum(F.when(front | back, F.col("size"))).over(context.orderBy(F.col("_turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.withColumn("_turn", turn).withColumn("_gone", gone)
+    return out.filter(F.col("_turn").isNull() | (F.col("_total") - F.col("_gone") <= limit)).drop("_own", "_front", "_back", "_total", "_turn", "_gone")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,14 @@ from factloom.streaming import log
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own where that is unset."""
-    import tempfile
-
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own where that is unset and
+    there is but one machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+        named = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
     return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -40,7 +45,17 @@ def stream_running_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     folder = shared_folder(spark)
     e.write.parquet(f"{folder}/in")
-    return log.running_rates(log.source(spark, f"{folder}/in", e.schema), "event_type", "value > 100", f"rates_{uuid.uuid4().hex}")
+    return log.running_rates(log.source(spark, f"{folder}/in", e.schema), "event_type", "value > 100", f"{folder}/rates", f"{folder}/state")
+
+
+@query("SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.15: events by day and type."""
+    e = read(spark, sf_dir, "events")
+    folder = shared_folder(spark)
+    e.write.parquet(f"{folder}/in")
+    counts = log.windowed_counts(log.source(spark, f"{folder}/in", e.schema), "ts", "event_type", "1 day", "1 day", f"{folder}/counts", f"{folder}/state")
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -390,7 +390,8 @@ def wb_unanswerable_no_observation(facts: DataFrame, n: int, seed: str) -> DataF
 def generate(facts: DataFrame, domain: str, total: int, seed: str = "families", mix: dict[str, float] | None = None) -> DataFrame:
     """total families of a domain: shares of the question types by largest remainder, split over their templates; what a
     template can't fill goes to the others. Questions asked twice count once; ids are numbered within the domain."""
-    want = selection.allocate(mix or MIX, total)
+    kinds = facts.sparkSession.createDataFrame(sorted((mix or MIX).items()), "question_type string, weight double")
+    want = {r.question_type: r.seats for r in selection.allocate_rows(kinds, "weight", total, least=1).collect()}  # one row a type
     parts = None
     for name, (d, kind, f) in TEMPLATES.items():
         if d == domain:

@@ -26,13 +26,26 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> None:
         raise query.exception()
 
 
-def running_rates(stream: DataFrame, condition: str, outcome: str, name: str) -> DataFrame:
-    """The state of count and rate by condition after all that is there now, through a stream in complete mode."""
-    agg = stream.groupBy(condition).agg(F.count("*").alias("n"), F.avg(F.expr(outcome).cast("int")).alias("rate"))
-    query = agg.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+def _latest(agg: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The state of an aggregation after all that is there now: every batch replaces a table, and only tables are kept,
+    so nothing of the state passes through the driver. A batch that runs again writes the same folder again."""
+    written: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        written.append(f"{path}/{number}")
+
+    query = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = agg.sparkSession
+    return spark.read.schema(agg.schema).parquet(written[-1]) if written else spark.createDataFrame([], agg.schema)
+
+
+def running_rates(stream: DataFrame, condition: str, outcome: str, path: str, checkpoint: str) -> DataFrame:
+    """Count and rate by condition after all that is there now."""
+    return _latest(stream.groupBy(condition).agg(F.count("*").alias("n"), F.avg(F.expr(outcome).cast("int")).alias("rate")), path, checkpoint)
 
 
-def windowed_counts(stream: DataFrame, time: str, key: str, width: str, slide: str, delay: str) -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width, slide), key).agg(F.count("*").alias("n"))
+def windowed_counts(stream: DataFrame, time: str, key: str, width: str, slide: str, path: str, checkpoint: str) -> DataFrame:
+    """Rows by time window and key after all that is there now; all windows are kept."""
+    return _latest(stream.groupBy(F.window(time, width, slide), key).agg(F.count("*").alias("n")), path, checkpoint)

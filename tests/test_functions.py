@@ -87,25 +87,75 @@ def test_interleave_equals_round_robin(spark):
     assert got == want[:25]
 
 
-def test_allocate():
-    assert selection.allocate({"a": 0.2, "b": 0.3, "c": 0.5}, 10) == {"a": 2, "b": 3, "c": 5}
-    assert sum(selection.allocate({"a": 0.98, "b": 0.01, "c": 0.01}, 5).values()) == 5 and min(selection.allocate({"a": 0.98, "b": 0.01, "c": 0.01}, 5).values()) == 1
-
-
-def test_growth_nests_and_centres():
+def test_allocate(spark):
+    def seats(weights, total, least=1):
+        rows = spark.createDataFrame(list(weights.items()), "k string, w double")
+        return {r.k: r.seats for r in selection.allocate_rows(rows, "w", total, least).collect()}
+
+    assert seats({"a": 0.2, "b": 0.3, "c": 0.5}, 10) == {"a": 2, "b": 3, "c": 5}
+    assert seats({"a": 0.98, "b": 0.01, "c": 0.01}, 5) == {"a": 3, "b": 1, "c": 1} and seats({"a": 0.98, "b": 0.01, "c": 0.01}, 5, 0) == {"a": 5, "b": 0, "c": 0}
+    assert seats({"a": 1.0, "b": 1.0, "c": 1.0}, 2) == {"a": 1, "b": 1, "c": 0} and seats({"a": 1.0, "b": 0.0}, 3) == {"a": 3, "b": 0} and seats({"a": 1.0}, 0) == {"a": 0}
+
+
+def brute_growth(sizes, gold, lengths, target, tolerance, fill):
+    """Each step by looking at every pending record."""
+    pending, sides, ended, out = list(enumerate(sizes)), ([], []), False, []
+    for nominal in lengths:
+        if ended:
+            out.append((nominal, "POOL_EXHAUSTED", 0, [], 0))
+            continue
+        weigh = lambda k: sum(sizes[i] for i in sides[k])
+        while True:
+            room, apart = nominal - gold - weigh(0) - weigh(1), abs(weigh(0) - weigh(1))
+            ahead = sorted((abs(n - apart), i, n) for i, n in pending[: packing.WINDOW] if n <= room)
+            chosen = [(i, n) for _, i, n in ahead] or [(i, n) for i, n in pending[packing.WINDOW :] if n <= room]
+            if not chosen:
+                break
+            pending.remove(chosen[0])
+            sides[weigh(0) > weigh(1)].append(chosen[0][0])
+        total = gold + weigh(0) + weigh(1)
+        ended = total > nominal or total < fill * nominal
+        off = total and abs((weigh(0) + gold / 2) / total - target) > tolerance + 1e-9
+        status = "PROMPT_BUDGET_EXCEEDED" if total > nominal else "POOL_EXHAUSTED" if ended else "POSITION_TOLERANCE_UNSATISFIABLE" if off else "OK"
+        out.append((nominal, status, total, [*sides[0][::-1], *sides[1]], len(sides[0])) if status == "OK" else (nominal, status, total, [], 0))
+    return out
+
+
+def test_growth_equals_brute_force_nests_and_centres():
     import random
 
     rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randrange(1, rng.choice([5, 60, 400])) for _ in range(rng.randrange(0, 90))]
+        args = sizes, rng.randrange(0, 80), [100, 250, 700], 0.5, rng.choice([0.01, 0.05, 0.2]), 0.9
+        assert list(packing.grow(*args)) == brute_growth(*args)
     tokens = [rng.randrange(5, 60) for _ in range(400)]
-    out = packing.grow(tokens, 40, [512, 1024, 2048], 0.5, 0.05, 0.9)
     last = set()
-    for nominal, status, total, before, after in out:
-        assert status == "OK" and 0.9 * nominal <= total <= nominal and total == 40 + sum(tokens[i] for i in before + after)
-        assert last < set(before + after) and abs(sum(tokens[i] for i in before) - sum(tokens[i] for i in after)) < 0.1 * nominal
-        last = set(before + after)
+    for nominal, status, total, records, n in packing.grow(tokens, 40, [512, 1024, 2048], 0.5, 0.05, 0.9):
+        assert status == "OK" and 0.9 * nominal <= total <= nominal and total == 40 + sum(tokens[i] for i in records)
+        assert last < set(records) and abs(sum(tokens[i] for i in records[:n]) - sum(tokens[i] for i in records[n:])) < 0.1 * nominal
+        last = set(records)
     assert [s for _, s, *_ in packing.grow([10] * 20, 10, [100, 500, 900], 0.5, 0.2, 0.9)] == ["OK", "POOL_EXHAUSTED", "POOL_EXHAUSTED"]
-    assert packing.grow([90], 10, [100], 0.5, 0.05, 0.9)[0][1] == "POSITION_TOLERANCE_UNSATISFIABLE" and packing.grow([], 200, [100], 0.5, 0.05, 0.9)[0][1] == "PROMPT_BUDGET_EXCEEDED"
-    assert packing.trim([10] * 9, 4, 4, 30) == (3, 5)
+    assert [s for _, s, *_ in packing.grow([], 200, [100], 0.5, 0.05, 0.9)] == ["PROMPT_BUDGET_EXCEEDED"]
+
+
+def test_trimming_goes_in_turn_from_both_ends(spark):
+    import random
+
+    rng, rows, want = random.Random(5), [], set()
+    for f in range(40):
+        sides = ["before"] * rng.randrange(6) + ["gold"] * rng.randrange(1, 3) + ["after"] * rng.randrange(6)
+        sizes = [rng.randrange(1, 20) for _ in sides]
+        rows += [(str(f), 1, f"{f}-{k}", s, k, n) for k, (s, n) in enumerate(zip(sides, sizes))]
+        kept, front = list(range(len(sides))), True
+        while sum(sizes[k] for k in kept) > 45 and any(sides[k] != "gold" for k in kept):
+            side = "before" if front else "after"
+            own = [k for k in kept if sides[k] == side] or [k for k in kept if sides[k] not in (side, "gold")]
+            kept.remove(own[0] if sides[own[0]] == "before" else own[-1])
+            front = not front
+        want |= {f"{f}-{k}" for k in kept}
+    out = packing.trimmed(spark.createDataFrame(rows, "family_id string, nominal long, record_id string, side string, position int, size long"), 45)
+    assert {r.record_id for r in out.collect()} == want
 
 
 INSTANCE = dict(question_type="DIRECT_RETRIEVAL", answer_type="NUMERIC", answerable=True, gold_answer="100", tolerance=0.5, gold_sets=[["R1"]], context_display_ids=["R1", "R2", "R3"], records=[("R1", "100"), ("R2", "90"), ("R3", "70")], distractors={"R2": "WRONG_PERIOD", "R3": "NEAR_MATCH_VALUE"}, raw_result=None, rounded_result=None, round_decimals=None)
