@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import cut
 
+#: Tables of at most this many nodes are broadcast (16 bytes each).
+FEW = 1_000_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one type. Returns node, component (the smallest node reachable) for nodes other than the smallest.
@@ -15,12 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     component's diameter. Each round is cut to the shared folder; only a count and a checksum reach the driver."""
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
+
+    def lowest(pairs: DataFrame) -> DataFrame:
+        """a, low. One row a node: broadcast where those are few, else written out, so that Spark can split the rows of
+        a hub in the join."""
+        low = cut(pairs.groupBy("a").agg(F.min("b").alias("low")))
+        return F.broadcast(low) if low.count() <= FEW else low
+
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        pairs = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.a", "x.b")
+        large = cut(both.join(lowest(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).filter("a <> b").distinct())
+        pairs = large.join(lowest(large), "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.a", "x.b")
         e = cut(pairs.filter("a <> b").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:

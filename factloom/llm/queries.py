@@ -88,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_join": embedding_join.SQL,
+    "op3_ngram_join": ngram_join.SQL,
     "op6_topk_search": topk_search.SQL,
     "op10_warc": warc.SQL,
     "context_tree_base": context_tree.BASE_SQL,
