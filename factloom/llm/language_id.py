@@ -1,14 +1,17 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
-Fitting takes at most SAMPLE rows of each language (a documented bound: whole texts, chosen by a hash of their ids) and
-counts their character n-grams in Spark. Discounts and continuation counts give every language a probability for every
+Fitting takes at most SAMPLE + CALIBRATION rows of each language (a documented bound: whole texts, chosen by a hash of their
+ids) and counts all their character n-grams in Spark. The counts come to the driver and the model goes to every worker:
+both grow with the distinct n-grams of those rows, and the model by 4 bytes for each of them and each language, not with
+the corpus. Discounts, estimated from the n-grams seen once and twice, and continuation counts give every language a probability for every
 n-gram that any language has; the tables of each order are arrays sorted by the n-gram's hash, with a column for each
 language, and unseen n-grams fall back to the next order through the weight of their history. A text's language is that
 of the lowest cross-entropy per character; a part of the labelled rows that is left out of the counts calibrates the
-softmax of the scores and the cross-entropy above which a text is rejected as no known language.
+softmax of the scores and the cross-entropy above which a text is rejected as no known language: MARGIN times what all but
+1 - QUANTILE of the held-out texts have in their own language.
 
 Texts are lower-cased, runs of all but letters are one blank. Null texts and texts without a letter are `und` with score
-0 and rejected. Empty tables, or no labelled rows, give `und` throughout. Ties go to the smaller language name. Repeated
+0 and rejected; very long texts are scored whole. Empty tables, or no labelled rows, give `und` throughout. Ties go to the smaller language name. Repeated
 rows are learned and predicted alike; extra columns are ignored.
 """
 
@@ -25,9 +28,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import blocks, slices
 
 ORDER, SAMPLE, CALIBRATION = 4, 1500, 400
-#: N-grams of a language and order that are kept at most, the most frequent ones: bounds the model to ORDER * MOST_GRAMS * languages probabilities.
-MOST_GRAMS = 1 << 18
-DISCOUNT = 0.75
+QUANTILE, MARGIN = 0.99, 1.25
 #: Tables of at most this many languages are broadcast.
 FEW_LANGUAGES = 10_000
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -137,9 +138,13 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 flat = grams.view(np.uint32).tobytes().decode("utf-32-le")
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array([flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = labelled.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    return counted.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= MOST_GRAMS).drop("k")
+    return labelled.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def discount(c: np.ndarray) -> np.ndarray:
+    """The absolute discount of each language (a column of counts), from how many n-grams it has once and twice."""
+    once, twice = (c == 1).sum(axis=0), (c == 2).sum(axis=0)
+    return np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.95)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
@@ -155,7 +160,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
     chosen = ids.repartition("lang", F.col("k") % 16).persist()
     try:
         share = F.col("k") % 5 == 0  # a fifth at most is left out of the counts
-        counts = count_grams(chosen.filter(~share)).toPandas()  # at most MOST_GRAMS for each language
+        counts = count_grams(chosen.filter(~share)).toPandas()  # the n-grams of at most sample rows a language
         model = kneser_ney(counts)
         if model.languages:
             calibrate(model, chosen.filter(share).select("text", "lang"), calibration)
@@ -191,19 +196,20 @@ def kneser_ney(counts) -> Model:
     model.unseen = float(np.log(1.0 / (n_letters + 1)))
     for level in levels:
         order, c = level["order"], level["c"]
+        less = discount(c)
         if order == 1:
             total, kinds = c.sum(axis=0), (c > 0).sum(axis=0)
-            p = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds / (n_letters + 1)) / np.maximum(total, 1)
-            model.unseen = float(np.log(np.min((DISCOUNT * kinds / np.maximum(total, 1))) / (n_letters + 1) + 1e-12))
+            p = (np.maximum(c - less, 0) + less * np.maximum(kinds, 1) / (n_letters + 1)) / np.maximum(total, 1)
+            model.unseen = float(np.log(np.min((less * kinds / np.maximum(total, 1))) / (n_letters + 1) + 1e-12))
         else:
             before = packed_rows(level["rows"][:, : order - 1], order - 1)
             h, back = np.unique(before, return_inverse=True)
             total, kinds = np.zeros((len(h), len(languages))), np.zeros((len(h), len(languages)))
             np.add.at(total, back, c)
             np.add.at(kinds, back, (c > 0).astype(np.float64))
-            lam = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+            lam = np.where(total > 0, less * kinds / np.maximum(total, 1), 1.0)
             lower = np.exp(model._rows(level["rows"][:, 1:], order - 1).astype(np.float64))
-            p = np.where(total[back] > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total[back], 1), 0.0) + lam[back] * lower
+            p = np.where(total[back] > 0, np.maximum(c - less, 0) / np.maximum(total[back], 1), 0.0) + lam[back] * lower
             model.histories.append(h)
             model.backoff.append(np.log(lam).astype(np.float32))
         model.grams.append(level["own"])
@@ -212,8 +218,8 @@ def kneser_ney(counts) -> Model:
 
 
 def calibrate(model: Model, held: DataFrame, most: int) -> None:
-    """Scale of the softmax (least log loss over a fixed grid) and the rejection limit: the highest cross-entropy of a
-    held-out text in its own language, and a quarter more. Only numbers for each held-out text come to the driver."""
+    """Scale of the softmax (least log loss over a fixed grid) and the rejection limit. Only numbers for each held-out text
+    come to the driver."""
     shared, languages = model, model.languages
 
     def run(batches):
@@ -235,14 +241,14 @@ def calibrate(model: Model, held: DataFrame, most: int) -> None:
         return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(own)), own]))
 
     model.scale = min((1, 2, 5, 10, 20, 50, 100), key=loss)
-    model.reject_above = float(ce[np.arange(len(own)), own].max() * 1.25)
+    model.reject_above = float(np.quantile(ce[np.arange(len(own)), own], QUANTILE) * MARGIN)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (doc_id, and whatever else), lang_pred, score, cross_entropy (bits per character), rejected."""
     keep = keep or ["doc_id"]
     source = docs.select(*keep, F.col("text").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_GRAMS and the number of languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # see above: bounded by the rows fitted on
 
     def run(batches):
         m = shared.value
