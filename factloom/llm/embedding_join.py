@@ -7,7 +7,8 @@ the plane between the pivots rules a partner out. Cells join independently, hot
 a task returns link counts and one edge for each linked vector, never pairs. The number of pivots is the one, among a
 few, whose sampled cost is least: where no bound holds (unclustered vectors of many dimensions) all pairs are compared.
 
-Vectors that are null, zero or hold null or non-finite components link with nothing and are components of their own;
+Vectors that are null, zero or hold null or non-finite components link with nothing and are components of their own, and
+so do rows without a vec_id, whose component is null;
 vectors of different length don't link. Equal vectors travel as one row. Repeated rows of a vec_id count as copies.
 Extra columns are ignored; an empty table gives none.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import cut
 from factloom.llm.components import components
 
-THRESHOLD, BLOCK, SAMPLE = 0.9, 8192, 2048
+THRESHOLD, BLOCK, SAMPLE = 0.9, 4096, 2048
 PIVOTS = (8, 32, 128)
 
 
@@ -70,15 +71,17 @@ def choose_pivots(sample: np.ndarray, n: int, radius: float, numbers: tuple[int,
 def block_links(x: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(links, smallest row reachable) of unit rows x, comparing rows left with rows right (once, if they are the same).
 
-    Products in single precision decide but for pairs near the threshold, which double precision decides."""
+    Products in single precision decide but for pairs near the threshold, which double precision decides: a product of n
+    terms of unit vectors is off by less than n + 8 units of 2**-24."""
+    near = max(2e-5, (x.shape[1] + 8) * 2.0**-24)
     n, small = len(x), x.astype(np.float32)
     links, low = np.zeros(n, np.int64), np.arange(n)
     same, columns = left is right, small[right]
     for i in range(0, len(left), 512):
         rows = left[i : i + 512]
         s = small[rows] @ columns.T
-        hit = s >= threshold + 2e-5
-        for a, b in zip(*np.nonzero((s >= threshold - 2e-5) & ~hit)):
+        hit = s >= threshold + near
+        for a, b in zip(*np.nonzero((s >= threshold - near) & ~hit)):
             hit[a, b] = x[rows[a]] @ x[right[b]] >= threshold
         if same:
             hit[np.arange(len(rows)), i + np.arange(len(rows))] = False
@@ -101,7 +104,7 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, s
     radius = float(np.sqrt(2 - 2 * threshold)) + 1e-7
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable(F.col("embedding")), F.col("embedding")).alias("embedding"))
     rows = rows.withColumn("key", F.md5(F.to_json(F.struct("embedding"))))
-    ids = cut(rows.select("vec_id", F.when(F.col("embedding").isNotNull(), F.col("key")).alias("key")))
+    ids = cut(rows.select("vec_id", F.when(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull(), F.col("key")).alias("key")))
     classes = cut(rows.filter("embedding is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
     some = classes.orderBy(F.xxhash64(F.lit("pivots"), "class_id"), "class_id").limit(sample).select("embedding").collect()  # at most sample rows
     total = classes.count()
@@ -151,7 +154,10 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, s
         ids, keep = pdf["class_id"].to_numpy(), links > 0
         return pd.DataFrame({"class_id": ids[keep], "links": links[keep], "low": ids[low][keep]})
 
-    found = cut(tasks.groupBy("length", "cell", "x", "y", "with_guests").applyInPandas(run, "class_id long, links long, low long"))
+    # As many partitions as asked for: by their bytes, Spark would put pairs of blocks together that take long.
+    keys, spark = ["length", "cell", "x", "y", "with_guests"], vectors.sparkSession
+    tasks = tasks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+    found = cut(tasks.groupBy(*keys).applyInPandas(run, "class_id long, links long, low long"))
     groups = components(found.select(F.col("class_id").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     known = classes.select("key", "class_id", "copies").join(links, "class_id", "left").join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
