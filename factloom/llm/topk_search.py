@@ -8,7 +8,9 @@ so far are dropped, and what survives the last level is computed exactly, in int
 Queries and rows are dealt into blocks, every block of queries against every block of rows, so a task's size is fixed
 and each returns k rows for a query; the best of those are chosen by Spark. Null vectors, and those that hold null or
 non-finite components, take no part; vectors of another length than the query's are no candidates. Ties go to the
-smaller vec_id; a row repeated under the query's own vec_id is not a candidate. Empty tables give no rows.
+smaller vec_id; a row repeated under the query's own vec_id is not a candidate; of several query rows of one vec_id one
+is asked, the least by its components. Components whose products could exceed 2**53 in sum are an error. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-LEVELS, ROW_BLOCK, QUERY_BLOCK = (1, 4, 16), 8192, 512
+LEVELS, ROW_BLOCK, QUERY_BLOCK = (1, 4, 16), 4096, 512
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -66,7 +68,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("long"))
         return df.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), F.size("embedding").alias("length"))
 
-    rows, asked = whole(vectors), whole(queries).dropDuplicates(["vec_id"])
+    rows, asked = whole(vectors), whole(queries).groupBy("vec_id").agg(F.min(F.struct("x", "length")).alias("least")).select("vec_id", "least.x", "least.length")
+    most = rows.agg(F.max(F.array_max(F.transform("x", F.abs)).cast("double") * F.sqrt(F.col("length").cast("double")))).first()[0]
+    if most and most * most >= 2.0**53:
+        raise ValueError("components too large for exact sums in doubles")
     n_rows, n_asked = rows.count(), asked.count()
     r, q = max(1, -(-n_rows // row_block)), max(1, -(-n_asked // query_block))
     deal = lambda df, own, n_own, other, n_other, is_query: df.select("*", F.lit(is_query).alias("is_query"), F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
@@ -80,6 +85,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         found = search_block(np.stack(a["x"].to_numpy()).astype(np.float64), a["vec_id"].to_numpy(), np.stack(b["x"].to_numpy()).astype(np.float64), b["vec_id"].to_numpy(), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
+    # As many partitions as asked for: by their bytes, Spark would put pairs of blocks together that take long.
+    spark = vectors.sparkSession
+    both = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), "length", "rb", "qb")
     found = both.groupBy("length", "rb", "qb").applyInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
