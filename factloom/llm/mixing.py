@@ -8,8 +8,9 @@ A source's target is met by whole repetitions of all its documents and one fract
 BUCKETS by a seeded hash, and the fraction takes whole buckets in order up to the point nearest to what is left. So the
 choice is the same in every run, at most one bucket off, and needs no sort of a source's documents.
 
-Null sources are a source of their own, the last one; null texts and null ids have size 0 and a hash like any other;
-repeated rows are counted and taken alike. Extra columns are ignored. Of an empty table nothing is returned.
+Null sources are a source of their own, the last one; null texts have size 0; very long texts are counted whole. Rows of
+one id, or without one, share a bucket, so a source made of such rows can't be parted: it is taken whole or not at all in
+the fractional repetition. Repeated rows are counted and taken alike. Extra columns are ignored. Of an empty table nothing is returned.
 """
 
 from __future__ import annotations

@@ -60,6 +60,8 @@ def records(pages: DataFrame, min_revisit: int = 0, chunk: int = CHUNK) -> DataF
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     keys = rows.select("page_id", "sha1").filter((F.octet_length("payload") >= min_revisit) & F.col("page_id").isNotNull())
     first = keys.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    if first.count() <= FEW_REVISITS:  # else a frequent payload is split by Spark where it is skewed
+        first = F.broadcast(first)
     revisits = keys.join(first, "sha1").filter("page_id <> refers_to").distinct()
     if revisits.count() <= FEW_REVISITS:
         revisits = F.broadcast(revisits)

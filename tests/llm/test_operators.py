@@ -218,7 +218,6 @@ def test_ngram_join_edges(spark, edge):
     got = {r.doc_id: (r.n_links, r.component_id) for r in rows}
     assert len(rows) == 12 and got[10] == (2, 1) and got[1] == (2, 1) and got[2] == (0, 2) and got[4] == (0, 4) and got[6] == (1, 5) and got[9] == (0, 9)
     assert ngram_join.join(empty(spark)).count() == 0
-    assert 1 - (1 - 0.8 ** ngram_join.prefix_length()) ** ngram_join.TREES >= ngram_join.RECALL
 
 
 @pytest.mark.parametrize("block", [8192, 16])
@@ -232,6 +231,19 @@ def test_embedding_join(spark, block):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.join(df, block=block).collect()}
     assert got == want and sum(n for n, _ in want.values()) > 300
     assert embedding_join.join(df.limit(0)).count() == 0
+    nameless = embedding_join.join(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in nameless} == {(None, 0, None), (1, 1, 1), (2, 1, 1)}
+
+
+def test_single_precision_margin_grows_with_the_dimension():
+    rng, links, want = np.random.default_rng(15), 0, 0
+    for _ in range(20):
+        a = embedding_join.unit(rng.normal(size=(40, 3000)))
+        b = embedding_join.unit(0.9 * a + np.sqrt(1 - 0.81) * embedding_join.unit(rng.normal(size=a.shape)))
+        x = np.concatenate([a, b])
+        links += embedding_join.block_links(x, np.ones(80, np.int64), np.arange(40), np.arange(40, 80), 0.9)[0].sum()
+        want += 2 * (a @ b.T >= 0.9).sum()
+    assert links == want
 
 
 def test_pivot_cells_lose_no_pair():
@@ -254,6 +266,8 @@ def test_topk_search(spark, blocks):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.search(df, df.filter("vec_id % 50 = 0"), row_block=blocks[0], query_block=blocks[1]).collect()]
     q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
     want = [(i, k + 1, j, int(q[i] @ q[j])) for i in range(0, 300, 50) for k, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-(q[i] @ q[j]), j))[:5])]
+    with pytest.raises(ValueError):
+        topk_search.search(spark.createDataFrame([(1, [1e9] * 4)], "vec_id long, embedding array<double>"), df.limit(1))
     assert sorted(got) == sorted(want) and topk_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -328,6 +342,28 @@ def test_entropy_windows_equal_brute_force(spark):
         assert (r.w.first, r.w.last) == ((hot[0], hot[-1] + 20) if hot else (-1, -1))
 
 
+def test_very_long_candidates_and_many_matches(spark):
+    rng = random.Random(13)
+    key = "".join(rng.choice(secret_scan.CLASSES[1].alphabet[:62]) for _ in range(200_000))
+    rows = [(1, f"see {key} there"), (2, "password=abcdefg1 " * 20_000)]
+    got = {r.doc_id: r for r in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kind, start, end = got[1].spans.split(":")
+    assert kind == "entropy_base64" and 4 <= int(start) < 50 and 200_004 - 50 < int(end) <= 200_004
+    assert got[2].n_assign == 20_000 and got[2].base_sha256 == hashlib.sha256(",".join(f"assign:{18 * i}:{18 * i + 17}" for i in range(20_000)).encode()).hexdigest()
+
+
+def test_language_model_counts_every_gram(spark):
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(12_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 40 : i * 40 + 40]), "xx") for i in range(300)], "doc_id long, text string, lang string")
+    counts = language_id.count_grams(docs).collect()
+    want = Counter()
+    for r in docs.collect():
+        codes = "   " + "".join(map(chr, language_id.codes_of(r.text)))
+        want.update(codes[i : i + 4] for i in range(len(codes) - 3))
+    assert {r.gram: r.n for r in counts} == want and len(want) > 200_000
+
+
 def test_language_id(spark, edge):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
@@ -454,6 +490,8 @@ def test_pipeline_stages_and_whole(spark, edge):
     assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == want
     out = corpus_pipeline.encode_tokens(spark, mixed, "").toPandas()
     assert len(out) == sum(want.values()) and out["exact"].all() and (out["n_tokens"] == out["ids"].map(len)).all()
+    twice = spark.createDataFrame([(7, f"a first text about things number {i} of a kind of its own, word{i} more{i} else{i}", "en", "a", 1) for i in (1, 2, 2)] + [(8, "a text alone with seven other words in it", "en", "a", 1)], DOCS)
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, twice, "").collect()) == Counter({(r.doc_id, r.text): 1 for r in twice.collect()})
     x = edge
     for _, stage in corpus_pipeline.STAGES:
         x = stage(spark, x, "")
