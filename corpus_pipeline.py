@@ -28,7 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest doc_id stays, once."""
+    """Of each group of linked documents the one of smallest doc_id stays, once; where one doc_id stands on rows of
+    different texts, each of these texts stays with it."""
     groups = cut(ngram_join.join(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
     go = groups.filter("doc_id is not null and not kept").select("doc_id")
     if go.count() <= ngram_join.FEW:
@@ -37,7 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = groups.filter("doc_id is not null and kept and n > 1").select("doc_id")
     if repeated.isEmpty():
         return rest
-    twice = rest.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    twice = _whole(rest.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    # The least row of each text, so that reruns agree.
+    twice = twice.groupBy("doc_id", F.md5("text").alias("_text")).agg(F.min("_row").alias("_row")).select("_row.*")
     return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
 
 
