@@ -17,20 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
     Every step hangs a node's neighbours below its smallest one; the number of steps grows with the logarithm of the
     component's diameter. Each round is cut to the shared folder; only a count and a checksum reach the driver."""
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    state = lambda: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen, now = None, state()
+    while now != seen:
+        few = 2 * now[0] <= FEW  # no table of nodes has more rows than that
 
-    def lowest(pairs: DataFrame) -> DataFrame:
-        """a, low. One row a node: broadcast where those are few, else written out, so that Spark can split the rows of
-        a hub in the join."""
-        low = cut(pairs.groupBy("a").agg(F.min("b").alias("low")))
-        return F.broadcast(low) if low.count() <= FEW else low
+        def lowest(pairs: DataFrame) -> DataFrame:
+            """a, low. One row a node: broadcast where those are few, else written out, so that Spark can split the rows
+            of a hub in the join."""
+            low = pairs.groupBy("a").agg(F.min("b").alias("low"))
+            return F.broadcast(low) if few else cut(low)
 
-    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = cut(both.join(lowest(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).filter("a <> b").distinct())
+        large = both.join(lowest(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).filter("a <> b").distinct()
+        large = large if few else cut(large)
         pairs = large.join(lowest(large), "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.a", "x.b")
         e = cut(pairs.filter("a <> b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = now
+        seen, now = now, state()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

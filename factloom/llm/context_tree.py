@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import NONE, PairTable
-from factloom.llm.common import blocks, cut, slices
+from factloom.llm.common import blocks, cut, hand_back, slices
 
 HOT_WORDS, HOT_GRAMS, CHUNK = 1 << 17, 1 << 19, 1 << 16
 END, DEPTH, SPREAD = 255, 5, 3
@@ -229,6 +229,8 @@ def spread(grams: DataFrame, fn, schema: str) -> DataFrame:
                 held, n = [[c[whole:] for c in cols]], 0
         if held and len(held[0][0]):
             yield result([np.concatenate([h[k] for h in held]) for k in range(3)])
+        held.clear()
+        hand_back()
 
     return grams.select("gram", "n", "seen").mapInArrow(run, schema)
 

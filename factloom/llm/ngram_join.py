@@ -242,14 +242,15 @@ def verify(members: DataFrame, docs: DataFrame, n: int, threshold: float, block:
     return rows.groupBy("big", "x", "y").applyInPandas(run, "is_sum boolean, class_id long, links long, low long, missed array<double>")
 
 
-def cells_at(classes: DataFrame, at: int, depth: int, trees: int) -> DataFrame:
+def cells_at(classes: DataFrame, n_classes: int, at: int, depth: int, trees: int) -> DataFrame:
     """class_id, cell of the classes that share a node of this depth with another one, or are connected through such."""
     prefix = lambda tree: F.xxhash64(tree, F.substring(F.col("forest"), tree * (2 * depth) + 1, F.lit(2 * at)))
     nodes = classes.select("class_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), prefix)).alias("node"))
     shared = nodes.groupBy("node").agg(F.min("class_id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("node", "low")
-    shared = cut(shared)  # a frequent node is one row here, so that Spark can split its rows in the join
-    few = F.broadcast if shared.count() <= FEW else (lambda x: x)
-    edges = nodes.join(few(shared), "node").filter("class_id <> low").select(F.col("class_id").alias("a"), F.col("low").alias("b")).distinct()
+    # At most half as many as nodes. Where those are many they are written out, so that Spark can split a frequent node's
+    # rows in the join.
+    shared = F.broadcast(shared) if n_classes * trees <= 2 * FEW else cut(shared)
+    edges = nodes.join(shared, "node").filter("class_id <> low").select(F.col("class_id").alias("a"), F.col("low").alias("b")).distinct()
     found = components(edges)
     roots = found.select(F.col("component").alias("node"), "component").distinct()
     return found.unionByName(roots).select(F.col("node").alias("class_id"), F.col("component").alias("cell"))
@@ -261,10 +262,11 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int =
     signed = cut(signatures(docs, n, depth, trees))
     classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("forest").alias("forest")).filter("class_id is not null")
     classes = cut(classes)
+    n_classes = classes.count()
     rounds, before = [], classes.select("class_id", F.col("class_id").alias("was")).limit(0)
     pairs, lost = 1.0, [float(missed(np.array([threshold]), d, trees)[0]) for d in range(1, depth + 1)]
     for at in range(depth, 0, -1):
-        cells = cut(cells_at(classes, at, depth, trees))
+        cells = cut(cells_at(classes, n_classes, at, depth, trees))
         members = cells.join(before, "class_id", "left").withColumn("was", F.coalesce("was", "class_id"))
         grown = members.groupBy("cell").agg(F.min("was").alias("a"), F.max("was").alias("b")).filter("a <> b").select("cell")
         grown = members.join(grown, "cell", "left_semi")
