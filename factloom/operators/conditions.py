@@ -23,20 +23,23 @@ def metadata_satisfied(fact: Column, condition: Column) -> Column:
 
 
 def matches(facts: DataFrame, conditions: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(columns of conditions as condition struct, record_id). Conditions are split by which of entity and concept they
-    name, so all but the fully open ones become hash joins; those are few and meet the facts in a broadcast."""
-    parts = []
-    f, c = facts.alias("f"), conditions.alias("c")
-    named = [(True, True), (True, False), (False, True), (False, False)]
-    for entity, concept in named:
-        some = conditions.filter((F.col("entity_id").isNotNull() if entity else F.col("entity_id").isNull()) & (F.col("concept").isNotNull() if concept else F.col("concept").isNull())).alias("c")
+    """(columns of conditions as condition struct, record_id). Conditions are split by the first key they name (and those
+    of an entity by whether they name a concept too), so each part is a hash join; only conditions that name none meet all
+    facts, which is what they ask for."""
+    f, parts, open_ = facts.alias("f"), [], F.lit(True)
+    pairs = [("entity_id", "concept")] if {"entity_id", "concept"} <= set(keys) else []
+    for named in [*pairs, *[(k,) for k in keys], ()]:
+        here = open_
+        for k in named:
+            here = here & F.col(k).isNotNull()
+        if named == ("entity_id",) and pairs:
+            here = here & F.col("concept").isNull()
         on = satisfied("f", "c", keys)
-        if entity:
-            on = on & (F.col("f.entity_id") == F.col("c.entity_id"))
-        if concept:
-            on = on & (F.col("f.concept") == F.col("c.concept"))
-        parts.append(f.join(some, on).select(F.struct("c.*").alias("condition"), F.col("f.record_id").alias("record_id")))
-    del c
+        for k in named:
+            on = on & (F.col(f"f.{k}") == F.col(f"c.{k}"))
+        parts.append(f.join(conditions.filter(here).alias("c"), on).select(F.struct("c.*").alias("condition"), F.col("f.record_id").alias("record_id")))
+        if len(named) == 1:
+            open_ = open_ & F.col(named[0]).isNull()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -22,6 +22,10 @@ TIERS = {
 RANK = {t: i for i, t in enumerate(TIERS)}
 #: Optional columns of facts: the group of series that measure one quantity, their basis, and the label.
 OPTIONAL = ("family", "variant", "label")
+#: Types of facts that are never shown, as they hold no value.
+HIDDEN = ("observation_missing",)
+#: Facts of a bucket from which a target's last tier is filled.
+BUCKET = 16
 
 
 def tier(f: str, t: str) -> Column:
@@ -40,7 +44,7 @@ def tier(f: str, t: str) -> Column:
         .when(entity & measure & ~period, "WRONG_PERIOD")
         .when(measure & period & ~entity, "WRONG_ENTITY")
         .when(entity & ~metric, "WRONG_FIELD")
-        .when(unit & core.close(F.col(f"{f}.value"), F.col(f"{t}.value")), "NEAR_MATCH_VALUE")
+        .when(unit & F.col(f"{t}.near_allowed") & core.close(F.col(f"{f}.value"), F.col(f"{t}.value")), "NEAR_MATCH_VALUE")
         .otherwise("OTHER_SAME_DOMAIN")
     )
 
@@ -63,11 +67,16 @@ def completed(df: DataFrame) -> DataFrame:
 def related(facts: DataFrame, targets: DataFrame) -> DataFrame:
     """target_id, record_id, tier of the facts of a target's domain above the last tier.
 
-    targets: target_id and the columns of facts. No cross product: facts of the same entity, of the same measure and
+    targets: target_id and the columns of facts; near_allowed (true where missing) says whether a near value counts, as it
+    doesn't for questions without an answer. A target without a record_id has but a value: facts near it, of any unit,
+    are near matches, and nothing else is related. No cross product: facts of the same entity, of the same measure and
     period, and of a near value each come by an equi-join, and the three are disjoint."""
     f, t = completed(facts), completed(targets)
+    if "near_allowed" not in t.columns:
+        t = t.withColumn("near_allowed", F.lit(True))
     key = F.coalesce("family", "concept")
     f, t = f.withColumn("measure", key), t.withColumn("measure", key)
+    known = t.filter("record_id is not null")
 
     def joined(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
         return left.alias("f").join(right.alias("t"), on & (F.col("f.domain") == F.col("t.domain")) & (F.col("f.record_id") != F.col("t.record_id")))
@@ -75,36 +84,97 @@ def related(facts: DataFrame, targets: DataFrame) -> DataFrame:
     same_entity = F.col("f.entity_id").eqNullSafe(F.col("t.entity_id"))
     same_measure = F.col("f.measure").eqNullSafe(F.col("t.measure")) & F.col("f.period").eqNullSafe(F.col("t.period"))
     pick = lambda df: df.select(F.col("t.target_id").alias("target_id"), F.col("f.record_id").alias("record_id"), tier("f", "t").alias("tier"))
-    by_entity = pick(joined(f, t, same_entity))
-    by_measure = pick(joined(f, t, same_measure & ~same_entity))
+    by_entity = pick(joined(f, known, same_entity))
+    by_measure = pick(joined(f, known, same_measure & ~same_entity))
     named = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
-    near = conditions.near(named(f, "f"), named(t, "t"), "f_value", "t_value")
+    near = conditions.near(named(f, "f"), named(t.filter("near_allowed"), "t"), "f_value", "t_value")
+    alone = F.col("t_record_id").isNull()
     apart = ~F.col("f_entity_id").eqNullSafe(F.col("t_entity_id")) & ~(F.col("f_measure").eqNullSafe(F.col("t_measure")) & F.col("f_period").eqNullSafe(F.col("t_period")))
-    near = near.filter((F.col("f_domain") == F.col("t_domain")) & (F.col("f_record_id") != F.col("t_record_id")) & F.col("f_unit").eqNullSafe(F.col("t_unit")) & apart)
+    beside = (F.col("f_record_id") != F.col("t_record_id")) & F.col("f_unit").eqNullSafe(F.col("t_unit")) & apart
+    near = near.filter((F.col("f_domain") == F.col("t_domain")) & (alone | beside))
     by_value = near.select(F.col("t_target_id").alias("target_id"), F.col("f_record_id").alias("record_id"), F.lit("NEAR_MATCH_VALUE").alias("tier"))
     return by_entity.unionByName(by_measure).unionByName(by_value).filter("tier <> 'OTHER_SAME_DOMAIN'")
 
 
+def anchors(facts: DataFrame, absent: DataFrame, n: int = 4) -> DataFrame:
+    """Targets of questions without an answer: the first n facts of the entity that absent (target_id, domain, entity_id)
+    names, to which near values don't count."""
+    some = selection.top_by(facts.filter(F.col("entity_id").isNotNull()), ["domain", "entity_id"], n, "record_id")
+    return some.join(absent.select("target_id", "domain", "entity_id"), ["domain", "entity_id"]).withColumn("near_allowed", F.lit(False))
+
+
+def forbidden(facts: DataFrame, gold: DataFrame, conds: DataFrame, absent: DataFrame | None = None) -> DataFrame:
+    """target_id, record_id of what must not stand beside a target: its gold (target_id, record_id), what satisfies one of
+    its conditions (target_id, the keys, null for any), and for questions without an answer what absent names (target_id,
+    domain, concept; entity_id and period, null for any)."""
+    hit = conditions.matches(facts, conds).select(F.col("condition.target_id").alias("target_id"), "record_id")
+    out = gold.select("target_id", "record_id").unionByName(hit)
+    if absent is not None:
+        f, a = facts.alias("f"), absent.alias("a")
+        on = (F.col("f.domain") == F.col("a.domain")) & (F.col("f.concept") == F.col("a.concept"))
+        for k in ("entity_id", "period"):
+            on = on & (F.col(f"a.{k}").isNull() | (F.col(f"f.{k}") == F.col(f"a.{k}")))
+        out = out.unionByName(f.join(a, on).select("a.target_id", "f.record_id"))
+    return out.distinct()
+
+
 def strongest(classified: DataFrame) -> DataFrame:
     """target_id, record_id, tier: of several targets of one family the most confusable relation wins."""
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.col("tier"))
     return classified.groupBy("target_id", "record_id").agg(F.min_by("tier", rank).alias("tier"))
 
 
-def candidates(facts: DataFrame, targets: DataFrame, limit: int, seed: str = "distractors") -> DataFrame:
+def _last_tier(facts: DataFrame, quota: DataFrame, taken: DataFrame, seed: str) -> DataFrame:
+    """target_id, record_id: facts of a target's domain that taken doesn't hold, need of them or more where there are.
+
+    Facts fall into buckets of BUCKET by a seeded hash; a target reads buckets from the one of its own hash on, half as
+    many again as it needs, and those left short read all."""
+    hash_of = lambda c, n: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.col(n))
+    sizes = facts.groupBy("domain").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BUCKET)).cast("long").alias("n_buckets"))
+    held = facts.select("domain", "record_id").join(F.broadcast(sizes), "domain")  # one row a domain
+    held = held.select("domain", "record_id", hash_of("record_id", "n_buckets").alias("bucket"))
+    want = quota.join(F.broadcast(sizes), "domain").withColumn("own", hash_of("target_id", "n_buckets"))
+    want = want.withColumn("reads", F.least("n_buckets", F.ceil((F.col("need") + 24) * 1.5 / BUCKET).cast("long")))
+
+    def read(some: DataFrame, n: str) -> DataFrame:
+        at = some.select("target_id", "domain", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i: F.pmod(F.col("own") + i, F.col("n_buckets")))).alias("bucket"))
+        return at.join(held, ["domain", "bucket"]).select("target_id", "record_id").join(taken, ["target_id", "record_id"], "left_anti")
+
+    first = read(want, "reads")
+    got = first.groupBy("target_id").agg(F.count("*").alias("got"))
+    short = want.join(got, "target_id", "left").filter((F.coalesce("got", F.lit(0)) < F.col("need")) & (F.col("reads") < F.col("n_buckets")))
+    return first.join(short.select("target_id"), "target_id", "left_anti").unionByName(read(short, "n_buckets"))
+
+
+def candidates(facts: DataFrame, targets: DataFrame, limit: int, seed: str = "distractors", barred: DataFrame | None = None, foils: DataFrame | None = None) -> DataFrame:
     """target_id, record_id, tier, position: the first limit facts of each target by weighted round-robin over tiers.
 
-    The last tier can fill a target's list alone, so limit facts of each domain, by seeded hash, stand for it."""
-    found = strongest(related(facts, targets))
-    # at most 2 * limit rows of each domain, so a bounded broadcast
-    rest = selection.top_by(facts, ["domain"], limit * 2, core.order_key(seed, F.col("record_id"))).select("domain", "record_id")
-    others = targets.select("target_id", "domain", F.col("record_id").alias("own")).join(F.broadcast(rest), "domain").filter("own <> record_id").select("target_id", "record_id").distinct()
-    others = others.join(found, ["target_id", "record_id"], "left_anti").withColumn("tier", F.lit("OTHER_SAME_DOMAIN"))
+    A tier's facts stand in seeded order, foils (target_id, record_id) before all others. What barred (target_id,
+    record_id; see forbidden) holds is left out, and so are facts without a value and of the hidden types. The last tier
+    takes what the others leave open, which their counts tell, so only that many facts are read for it."""
+    shown = facts.filter(F.col("value").isNotNull())
+    if "record_type" in facts.columns:
+        shown = shown.filter(~F.coalesce(F.col("record_type").isin(*HIDDEN), F.lit(False)))
+    found = strongest(related(shown, targets))
+    own = targets.filter("record_id is not null").select("target_id", "record_id")
+    out_ = own if barred is None else own.unionByName(barred.select("target_id", "record_id"))
+    found = found.join(out_, ["target_id", "record_id"], "left_anti")
+    others, last = [t for t in TIERS if t != "OTHER_SAME_DOMAIN"], TIERS["OTHER_SAME_DOMAIN"]
+    counts = found.groupBy("target_id").agg(*[F.count_if(F.col("tier") == t).alias(t) for t in others])
+    # The cycle that fills the list, and what the last tier gives until then.
+    given = lambda c: sum((F.least(F.coalesce(t, F.lit(0)), c * TIERS[t]) for t in others), c * last)
+    cycle = F.get(F.filter(F.sequence(F.lit(1), F.lit(-(-limit // last))), lambda c: given(c) >= limit), F.lit(0))
+    quota = targets.select("target_id", "domain").distinct().join(counts, "target_id", "left").select("target_id", "domain", F.least(F.lit(limit), cycle * last).alias("need"))
+    rest = _last_tier(shown, quota, found.select("target_id", "record_id").unionByName(out_), seed).withColumn("tier", F.lit("OTHER_SAME_DOMAIN"))
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
     weight = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])
-    both = found.unionByName(others).withColumn("tier_rank", rank[F.col("tier")]).withColumn("weight", weight[F.col("tier")])
+    both = found.unionByName(rest).withColumn("tier_rank", rank[F.col("tier")]).withColumn("weight", weight[F.col("tier")])
     both = both.withColumn("h", core.order_key(seed, F.col("target_id"), F.col("record_id")))
-    ordered = selection.interleave(both, ["target_id"], "tier_rank", "weight", "h", limit=limit)
+    first = F.lit(False)
+    if foils is not None:
+        both = both.join(foils.select("target_id", "record_id", F.lit(True).alias("foil")).distinct(), ["target_id", "record_id"], "left")
+        first = F.coalesce("foil", F.lit(False))
+    ordered = selection.interleave(both.withColumn("later", ~first), ["target_id"], "tier_rank", "weight", "later", "h", limit=limit)
     return ordered.select("target_id", "record_id", "tier", "position")
 
 

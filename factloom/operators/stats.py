@@ -9,9 +9,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.selection import few_values
+
 
 def _distinct_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value, times, first and last rank (from 0) of its rows, n: equal values are summed up before they are ranked."""
@@ -133,26 +136,44 @@ def ols(df: DataFrame, y: Column, xs: dict[str, Column]) -> dict[str, float]:
 def gee_logit(df: DataFrame, cluster: str, y: str, xs: list[str], exchangeable: bool = True, steps: int = 25, tol: float = 1e-8) -> pd.DataFrame:
     """name, coef, se, z, p, odds_ratio, low, high: logistic GEE with sandwich errors.
 
-    Each step sums per-cluster score and information matrices in grouped tasks and then over clusters in Spark; a few
-    numbers come to the driver, which takes the Newton step and updates the common correlation."""
+    Rows stand sorted by cluster; each step sums the clusters' score and information matrices in segments of batches, and
+    then over tasks in Spark; a few numbers come to the driver, which takes the Newton step and updates the common correlation."""
     names, k = ["intercept", *xs], len(xs) + 1
-    data = df.select(cluster, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs]).dropna().repartition(cluster).persist()
+    data = df.select(F.xxhash64(cluster, F.col(cluster).cast("string")).alias("_c"), F.col(y).cast("double").alias("_y"), *[F.col(f"`{x}`").cast("double").alias(x) for x in xs]).dropna()
+    data = data.repartition("_c").sortWithinPartitions("_c").persist()
     size = k + 2 * k * k + 3
 
     def sums(beta: np.ndarray, alpha: float) -> np.ndarray:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy()])
+        def add(c: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+            """The sums over whole clusters, whose rows stand together."""
+            first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            n = np.diff(np.append(first, len(c)))
+            total = lambda z: np.add.reduceat(z, first, axis=0)
             mu = 1 / (1 + np.exp(-(x @ beta)))
             v = np.maximum(mu * (1 - mu), 1e-10)
-            e = (pdf["_y"].to_numpy() - mu) / np.sqrt(v)
-            n = len(e)
+            e, w = (y - mu) / np.sqrt(v), x * np.sqrt(v)[:, None]
             # inverse of (1 - a) I + a J in closed form
-            inner = lambda z: (z - alpha / (1 + (n - 1) * alpha) * z.sum(axis=0)) / (1 - alpha)
-            w = x * np.sqrt(v)[:, None]
-            u = w.T @ inner(e)
-            return pd.DataFrame([np.concatenate([u, (w.T @ inner(w)).ravel(), np.outer(u, u).ravel(), [(e.sum() ** 2 - (e**2).sum()) / 2, n * (n - 1) / 2, n]])], columns=[f"c{i}" for i in range(size)])
-
-        each = data.groupBy(cluster).applyInPandas(run, ", ".join(f"c{i} double" for i in range(size)))
+            share = alpha / (1 + (n - 1) * alpha)
+            inner = lambda z: (z - np.repeat(share[:, None] * total(z), n, axis=0)) / (1 - alpha)
+            u = total(w * inner(e[:, None]))
+            return np.concatenate([u.sum(axis=0), (w.T @ inner(w)).ravel(), (u.T @ u).ravel(), [(total(e) ** 2 - total(e * e)).sum() / 2, (n * (n - 1)).sum() / 2, len(c)]])
+
+        def run(batches):
+            held, out = None, np.zeros(size)
+            for batch in batches:
+                cols = [batch.column(i).to_numpy() for i in range(len(xs) + 2)]
+                rows = cols[0], cols[1], np.column_stack([np.ones(batch.num_rows), *cols[2:]])
+                if held is not None:
+                    rows = tuple(np.concatenate(p) for p in zip(held, rows))
+                last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # where the last cluster begins
+                if last:
+                    out += add(*(r[:last] for r in rows))
+                held = tuple(r[last:] for r in rows)
+            if held is not None and len(held[0]):
+                out += add(*held)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], [f"c{i}" for i in range(size)])
+
+        each = data.mapInArrow(run, ", ".join(f"c{i} double" for i in range(size)))
         return np.array(each.agg(*[F.sum(f"c{i}") for i in range(size)]).first(), float)
 
     beta, alpha = np.zeros(k), 0.0
@@ -177,6 +198,19 @@ def gee_logit(df: DataFrame, cluster: str, y: str, xs: list[str], exchangeable:
     return out
 
 
+def dummies(df: DataFrame, column: str, base, values: list | None = None) -> tuple[DataFrame, list[str]]:
+    """df with a 0/1 column for each value but base of a column of few values, and their names."""
+    values = [v for v in (few_values(df, column) if values is None else values) if v is not None and v != base]
+    names = [f"{column}={v}" for v in values]
+    return df.select("*", *[(F.col(column) == v).cast("double").alias(n) for v, n in zip(values, names)]), names
+
+
+def interactions(df: DataFrame, left: list[str], right: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with the products of all columns of left and right, and their names."""
+    names = [f"{a}:{b}" for a in left for b in right]
+    return df.select("*", *[(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"{a}:{b}") for a in left for b in right]), names
+
+
 def chi2_sf(x: float, df: int) -> float:
     """Upper tail of the chi-squared distribution, by the series or the continued fraction of the incomplete gamma."""
     a, x = df / 2, x / 2

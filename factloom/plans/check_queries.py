@@ -3,7 +3,7 @@ that finds the same violations. One SQL text, alike in both engines, makes the t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.plans import validate
@@ -156,3 +156,15 @@ def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["check_report"] = check_report
 _COUNTS = ", ".join(f"v_{c.lower()} AS ({' UNION ALL '.join(parts)})" for c, parts in sorted(_SQL.items()))
 ORACLE_SQL["check_report"] = f"WITH {TABLES_SQL}, {_ARRAYS}, {_COUNTS} " + " UNION ALL ".join(f"SELECT '{c}' AS check_id, '{validate.CHECKS[c][1]}' AS severity, count(*) AS n_failed, count(*) > {validate.CAP} AS truncated, least(count(*), {validate.CAP})::BIGINT AS n_shown FROM v_{c.lower()}" for c in sorted(_SQL))
+
+
+def nesting_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts that don't hold the next shorter one of their family in order."""
+    before = F.lag("record_ids").over(Window.partitionBy("family_id").orderBy("nominal"))
+    i = tables(spark, sf_dir)["instances"].select("family_id", F.col("nominal").cast("long").alias("nominal"), "record_ids", before.alias("before")).filter("before is not null")
+    kept = F.filter("record_ids", lambda x: F.array_contains("before", x))
+    return i.filter(kept != F.col("before")).select("family_id", "nominal", F.lit("order or content of the shorter context is lost").alias("problem"))
+
+
+QUERIES["nesting_violations"] = nesting_violations
+ORACLE_SQL["nesting_violations"] = f"WITH {TABLES_SQL}, {_ARRAYS} SELECT family_id, nominal::BIGINT AS nominal, 'order or content of the shorter context is lost' AS problem {_AT} AND {_KEPT} <> old"

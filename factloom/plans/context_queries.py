@@ -39,16 +39,19 @@ def condition_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conditions.matches(facts, open_).groupBy(F.col("condition.target_id").alias("target_id")).agg(F.count("*").alias("n"))
 
 
-@query(f"{WITH} SELECT t.target_id, count(DISTINCT f.record_id)::BIGINT AS n FROM event_facts f JOIN targets t ON f.record_id = t.record_id OR (f.entity_id = t.entity_id AND f.concept = t.concept AND f.period = t.period) OR (f.concept = t.concept AND f.entity_id = t.entity_id AND f.period > t.period AND f.value = t.value) GROUP BY 1")
+def _barred(facts: DataFrame, targets: DataFrame, absent: DataFrame | None = None) -> DataFrame:
+    conds = targets.select("target_id", "entity_id", "concept", "period", *[F.lit(None).cast("string").alias(c) for c in ("unit", "version")])
+    return distractors.forbidden(facts, targets, conds, absent)
+
+
+@query(f"""{WITH} SELECT t.target_id, count(DISTINCT f.record_id)::BIGINT AS n FROM event_facts f JOIN targets t ON f.record_id = t.record_id OR (f.entity_id = t.entity_id AND f.concept = t.concept AND f.period = t.period)
+  OR (f.concept = 'error' AND f.entity_id = t.entity_id AND (f.period = t.period OR t.version::BIGINT % 2 = 0)) GROUP BY 1""")
 def forbidden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gold, what satisfies the conditions, and aliases: a union of equi-joins."""
+    """gold, what satisfies the conditions, and a concept that the question says is absent, of one period or of all."""
     facts, targets = _targets(spark, sf_dir)
-    f, t = facts.alias("f"), targets.alias("t")
-    pick = lambda df: df.select(F.col("t.target_id").alias("target_id"), F.col("f.record_id").alias("record_id"))
-    gold = targets.select("target_id", "record_id")
-    same = pick(f.join(t, (F.col("f.entity_id") == F.col("t.entity_id")) & (F.col("f.concept") == F.col("t.concept")) & (F.col("f.period") == F.col("t.period"))))
-    alias = pick(f.join(t, (F.col("f.entity_id") == F.col("t.entity_id")) & (F.col("f.concept") == F.col("t.concept")) & (F.col("f.value") == F.col("t.value")) & (F.col("f.period") > F.col("t.period"))))
-    return gold.unionByName(same).unionByName(alias).distinct().groupBy("target_id").agg(F.count("*").alias("n"))
+    period = F.when(F.col("version").cast("long") % 2 != 0, F.col("period"))
+    absent = targets.select("target_id", "domain", F.lit("error").alias("concept"), "entity_id", period.alias("period"))
+    return _barred(facts, targets, absent).groupBy("target_id").agg(F.count("*").alias("n"))
 
 
 @query(f"{WITH} SELECT t.target_id, f.record_id FROM event_facts f JOIN targets t ON f.record_id <> t.record_id AND CASE WHEN t.value = 0 THEN f.value = 0 ELSE abs(f.value - t.value) / abs(t.value) <= 0.05 END")
@@ -147,7 +150,7 @@ def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     facts, targets = _targets(spark, sf_dir)
     text = core.render_record(core.display_id("pack", F.col("record_id")), [(c, F.col(c)) for c in ("entity_id", "concept", "period", "unit", "value", "version")], [])
     texts = facts.select("record_id", text.alias("text")).withColumn("tokens", core.token_count(F.col("text")))
-    chosen = distractors.candidates(facts, targets, max(LENGTHS) // 24 + 256)
+    chosen = distractors.candidates(facts, targets, max(LENGTHS) // 24 + 256, barred=_barred(facts, targets))
     cand = chosen.join(texts.select("record_id", "tokens"), "record_id").select(F.col("target_id").alias("family_id"), "record_id", "position", "tokens")
     gold = targets.select(F.col("target_id").alias("family_id"), "record_id", F.lit(0).alias("ord")).join(texts.select("record_id", "tokens"), "record_id")
     return packing.pack(cand, gold, LENGTHS), texts
@@ -172,10 +175,42 @@ def placement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)[0].groupBy("nominal", "status", "side").agg(F.count("*").alias("n"))
 
 
-@query("SELECT NULL::VARCHAR AS family_id, NULL::BIGINT AS nominal, NULL::VARCHAR AS problem WHERE false")
-def nesting_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J, J18: contexts that do not contain the shorter one in order (none is the right answer)."""
+@query()
+def trimmed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest contexts trimmed in turn from both ends to 1,600 tokens."""
     packed, texts = _packed(spark, sf_dir)
-    i = packing.instances(packed, texts).filter("previous_ids is not null")
-    kept = F.filter("record_ids", lambda x: F.array_contains("previous_ids", x))
-    return i.filter(kept != F.col("previous_ids")).select("family_id", "nominal", F.lit("order or content of the shorter context is lost").alias("problem"))
+    placed = packed.filter((F.col("status") == "OK") & (F.col("nominal") == max(LENGTHS))).join(texts.select("record_id", F.col("tokens").alias("size")), "record_id")
+    return packing.trimmed(placed, 1600).select("family_id", "nominal", "record_id", "side", "position", "size")
+
+
+TURNS = """s AS (SELECT conv_id AS family_id, turn AS position, CASE WHEN turn % 2 = 0 THEN 'before' ELSE 'after' END AS side, coalesce({t}, 0)::BIGINT AS size FROM conversations), m AS (SELECT family_id, max(position) // 2 AS middle FROM s GROUP BY 1),
+p AS (SELECT family_id, position, size, CASE WHEN position < middle THEN 'before' WHEN position > middle THEN 'after' ELSE 'gold' END AS side FROM s JOIN m USING (family_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY family_id, side ORDER BY CASE WHEN side = 'after' THEN -position ELSE position END) - 1 AS own, count(*) FILTER (WHERE side = 'before') OVER (PARTITION BY family_id) AS nf, count(*) FILTER (WHERE side = 'after') OVER (PARTITION BY family_id) AS nb, sum(size) OVER (PARTITION BY family_id) AS total FROM p),
+q AS (SELECT *, CASE side WHEN 'before' THEN own + least(own, nb) WHEN 'after' THEN own + least(own + 1, nf) END AS turn FROM o)""".format(t=TOKENS)
+
+
+@query(f"""WITH {TURNS} SELECT a.family_id::VARCHAR AS family_id, a.position::INT AS position, a.size FROM q a WHERE a.side = 'gold' OR a.total - coalesce((SELECT sum(b.size) FROM q b WHERE b.family_id = a.family_id AND b.turn < a.turn), 0) <= 60""")
+def trimmed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations around their middle turn, trimmed in turn from both ends to 60 tokens."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("family_id"), F.lit(1).alias("nominal"), F.col("turn").cast("int").alias("position"), core.token_count(F.col("text")).alias("size"))
+    middle = F.floor(F.max("position").over(Window.partitionBy("family_id")) / 2)
+    side = F.when(F.col("position") < middle, "before").when(F.col("position") > middle, "after").otherwise("gold")
+    placed = c.withColumn("side", side).withColumn("record_id", F.col("position").cast("string"))
+    return packing.trimmed(placed, 60).select("family_id", "position", "size")
+
+
+@query(f"""{WITH} , n AS (SELECT *, row_number() OVER (PARTITION BY domain, entity_id ORDER BY record_id) AS k FROM event_facts)
+SELECT 'Q' || t.target_id AS target_id, n.record_id FROM n JOIN targets t USING (entity_id) WHERE k <= 4""")
+def absent_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four facts of an entity stand for what is missing."""
+    facts, targets = _targets(spark, sf_dir)
+    absent = targets.select(F.concat(F.lit("Q"), "target_id").alias("target_id"), "domain", "entity_id")
+    return distractors.anchors(facts, absent).select("target_id", "record_id")
+
+
+@query(f"""{WITH} SELECT 'Q' || t.target_id AS target_id, f.record_id, 'NEAR_MATCH_VALUE' AS tier FROM event_facts f JOIN targets t ON CASE WHEN t.value = 0 THEN f.value = 0 ELSE abs(f.value - t.value) / abs(t.value) <= 0.05 END""")
+def near_without_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a target record only an answer's value relates facts to a question, whatever their unit."""
+    facts, targets = _targets(spark, sf_dir)
+    alone = targets.select(F.concat(F.lit("Q"), "target_id").alias("target_id"), "domain", "value", *[F.lit(None).cast("string").alias(c) for c in ("record_id", "entity_id", "concept", "period", "unit", "version")])
+    return distractors.related(facts, alone)

@@ -224,6 +224,33 @@ def gee_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(stats.gee_logit(d, "user_id", "y", ["rank"]))
 
 
+def _with_wald(spark: SparkSession, fit, names: list[str]) -> DataFrame:
+    """A fit's rows, and one for the joint test of the named coefficients: chi-squared as coef, its freedom as se."""
+    chi, freedom, p = stats.wald(fit, names)
+    rows = [(r.name, r.coef, r.se, r.p) for r in fit[["name", "coef", "se", "p"]].itertuples(index=False)]
+    return spark.createDataFrame([*rows, ("joint", chi, float(freedom), p)], "name string, coef double, se double, p double")
+
+
+@query()
+def gee_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coefficient for each condition against the first, and their joint Wald test."""
+    s = _scored(spark, sf_dir)
+    types = selection.few_values(s, "event_type")
+    d, names = stats.dummies(s.select("user_id", F.col("bad").cast("double").alias("y"), "event_type"), "event_type", types[0], types)
+    return _with_wald(spark, stats.gee_logit(d, "user_id", "y", names), names)
+
+
+@query()
+def gee_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions by halves of the users, and the joint Wald test of the interactions."""
+    s = _scored(spark, sf_dir)
+    types = selection.few_values(s, "event_type")
+    d = s.select("user_id", F.col("bad").cast("double").alias("y"), "event_type", (F.col("user_id") % 2).cast("double").alias("odd"))
+    d, names = stats.dummies(d, "event_type", types[0], types)
+    d, both = stats.interactions(d, names, ["odd"])
+    return _with_wald(spark, stats.gee_logit(d, "user_id", "y", [*names, "odd", *both]), both)
+
+
 _PARTS = ", ".join(f"sum(('0x' || substr(h, {1 + 13 * i}, 13))::HUGEINT)::VARCHAR AS part{i}" for i in range(5))
 
 

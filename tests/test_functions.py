@@ -214,6 +214,19 @@ def test_gee_recovers_odds(spark):
         mu = 1 / (1 + np.exp(-design @ beta))
         beta = beta + np.linalg.solve(design.T @ (design * (mu * (1 - mu))[:, None]), design.T @ (y - mu))
     assert np.allclose(flat["coef"], beta, atol=1e-6)
+    b, alpha, score, info, meat = fit["coef"].to_numpy(), fit.attrs["alpha"], np.zeros(2), np.zeros((2, 2)), np.zeros((2, 2))
+    for k in range(0, 2000, 5):  # the estimating equations and the sandwich, cluster by cluster with whole matrices
+        d, mu = design[k : k + 5], 1 / (1 + np.exp(-design[k : k + 5] @ b))
+        root = np.sqrt(mu * (1 - mu))
+        v = np.linalg.inv(root[:, None] * ((1 - alpha) * np.eye(5) + alpha) * root)
+        left = (d * (mu * (1 - mu))[:, None]).T @ v
+        u = left @ (y[k : k + 5] - mu)
+        score, info, meat = score + u, info + left @ (d * (mu * (1 - mu))[:, None]), meat + np.outer(u, u)
+    assert np.allclose(score, 0, atol=1e-4) and np.allclose(fit["se"], np.sqrt(np.diag(np.linalg.inv(info) @ meat @ np.linalg.inv(info))), rtol=1e-6)
+    coded, names = stats.dummies(df.withColumn("k", F.col("x").cast("int")), "k", 0)
+    many = stats.gee_logit(stats.interactions(coded.withColumn("odd", (F.col("c") % 2).cast("double")), names, ["odd"])[0], "c", "y", [*names, "odd", *[f"{n}:odd" for n in names]])
+    chi, n, p = stats.wald(many, [f"{n}:odd" for n in names])
+    assert names == ["k=1", "k=2", "k=3", "k=4"] and n == 4 and 1e-6 < p <= 1
     chi, n, p = stats.wald(fit, ["x"])
     assert n == 1 and math.isclose(p, math.erfc(math.sqrt(chi / 2)), rel_tol=1e-9, abs_tol=1e-12) and math.isclose(stats.chi2_sf(6.904, 2), 0.0317, rel_tol=1e-2)
 
