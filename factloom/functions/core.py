@@ -226,3 +226,15 @@ def python_round(c: Column, decimals: int) -> Column:
         return x.map(lambda v: None if v is None or v != v else round(v, decimals))
 
     return rounded(c)
+
+
+def percent_text(share: Column) -> Column:
+    return F.format_string("%.1f%%", share * 100)
+
+
+def p_text(p: Column) -> Column:
+    return F.when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", p))
+
+
+def interval_text(low: Column, high: Column) -> Column:
+    return F.format_string("[%.2f, %.2f]", low, high)

@@ -110,3 +110,32 @@ def few_values(df: DataFrame, column: str, most: int = 1000) -> list:
     if len(rows) > most:
         raise ValueError(f"{column} has more than {most} values")
     return sorted((r[0] for r in rows), key=lambda v: (v is None, v))
+
+
+def examples(df: DataFrame, kind: str, group: str, key: str) -> DataFrame:
+    """One row of each kind, that of the least key, of a group that no earlier kind has taken where there is one. Both
+    columns have few values; one row for each pair of them comes to the driver."""
+    kinds, groups = few_values(df, kind), few_values(df, group)
+    firsts = {(r[kind], r[group]): r["_key"] for r in df.groupBy(kind, group).agg(F.min(key).alias("_key")).limit(len(kinds) * len(groups) + 1).collect()}
+    taken, out = set(), []
+    for k in kinds:
+        offered = [g for g in groups if (k, g) in firsts]
+        best = next((g for g in offered if g not in taken), offered[0])
+        taken.add(best)
+        out.append((k, best, firsts[k, best]))
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.sparkSession.createDataFrame(out, f"`{kind}` {types[kind]}, `{group}` {types[group]}, `{key}` {types[key]}")
+
+
+def reuse(rows: DataFrame, frozen: DataFrame, key: str, content: str, value: str) -> DataFrame:
+    """rows with the frozen value of their key where the content is still the same, and status: frozen, stale or open."""
+    old = frozen.select(key, F.col(content).alias("_content"), F.col(value).alias("_value"))
+    same = F.col("_content").eqNullSafe(F.col(content))
+    status = F.when(F.col("_content").isNull(), "open").when(same, "frozen").otherwise("stale")
+    return rows.join(old, key, "left").select(*rows.columns, F.when(same, F.col("_value")).alias(value), status.alias("status"))
+
+
+def agreement(old: DataFrame, new: DataFrame, keys: list[str], before: str, after: str, by: list[str]) -> DataFrame:
+    """by, n, agree, lost, won: outcomes of two runs on the keys that both have."""
+    both, a, b = old.join(new, keys), F.col(before), F.col(after)
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a == b).alias("agree"), F.count_if(a & ~b).alias("lost"), F.count_if(~a & b).alias("won"))

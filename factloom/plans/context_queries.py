@@ -105,19 +105,12 @@ def display_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", F.when(n > 1, F.col("long")).otherwise(F.col("short")).alias("display_id"))
 
 
-SAME = """s AS (SELECT user_id, event_type, value, event_id, strftime(ts, '%Y-%m-%d') AS day FROM events)"""
-
-
-@query(f"""WITH {SAME}, p AS (SELECT a.event_id, list_sort(list(DISTINCT b.event_id::VARCHAR)) AS ids FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type = b.event_type AND abs(a.value - b.value) <= greatest(1e-12 * greatest(abs(a.value), abs(b.value)), 1e-9) GROUP BY 1)
-SELECT DISTINCT 'EG' || upper(substr(sha256(array_to_string(ids, '|')), 1, 10)) AS group_id, array_to_string(ids, ',') AS members FROM p WHERE len(ids) >= 1""")
+@query("""WITH s AS (SELECT user_id, event_type, floor(value / 20) AS value, 'events_' || event_id AS id, ts::DATE AS day FROM events), p AS (SELECT a.id, list_sort(list(DISTINCT b.id)) AS ids FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.day = b.day AND abs(a.value - b.value) <= greatest(1e-12 * greatest(abs(a.value), abs(b.value)), 1e-9) GROUP BY 1)
+SELECT DISTINCT 'EG' || upper(substr(sha256(array_to_string(ids, '|')), 1, 10)) AS group_id, array_to_string(ids, ',') AS members FROM p WHERE len(ids) > 1""")
 def equivalence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with the same key and equal values form a group with an id of its members."""
-    s = read(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
-    a, b = s.alias("a"), s.alias("b")
-    on = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_type") == F.col("b.event_type")) & core.same_value(F.col("a.value"), F.col("b.value"))
-    p = a.join(b, on).groupBy("a.event_id").agg(F.array_sort(F.collect_set(F.col("b.event_id").cast("string"))).alias("ids"))
-    group = F.concat(F.lit("EG"), F.upper(F.substring(F.sha2(F.array_join("ids", "|"), 256), 1, 10)))
-    return p.select(group.alias("group_id"), F.array_join("ids", ",").alias("members")).distinct()
+    """Facts with the same keys and equal values, stated twice, form a group with an id of its members."""
+    facts = envelope.event_facts(spark, sf_dir).withColumns({"version": F.lit("any"), "value": F.floor(F.col("value") / 20).cast("double")})
+    return distractors.equivalents(facts).select("group_id", F.array_join("record_ids", ",").alias("members"))
 
 
 TOKENS = r"list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), lambda x: greatest(1, length(x) // 4)))"

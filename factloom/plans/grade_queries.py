@@ -185,9 +185,10 @@ def complete_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT user_id, event_type, arg_min(value, event_id) > 50 AS x FROM events GROUP BY ALL), b AS (SELECT user_id, event_type, arg_max(value, event_id) > 50 AS x FROM events GROUP BY ALL)
 SELECT event_type, count(*)::BIGINT AS n, count_if(a.x = b.x)::BIGINT AS agree, count_if(a.x AND NOT b.x)::BIGINT AS lost, count_if(NOT a.x AND b.x)::BIGINT AS won FROM a JOIN b USING (user_id, event_type) GROUP BY 1""")
 def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An old and a new run on common ids; both come out of one aggregation."""
-    g = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((F.min_by("value", "event_id") > 50).alias("a"), (F.max_by("value", "event_id") > 50).alias("b"))
-    return g.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(~F.col("a") & F.col("b")).alias("won"))
+    """An old and a new run, joined on their common ids."""
+    e = read(spark, sf_dir, "events")
+    run = lambda pick, name: e.groupBy("user_id", "event_type").agg((pick("value", "event_id") > 50).alias(name))
+    return selection.agreement(run(F.min_by, "a"), run(F.max_by, "b"), ["user_id", "event_type"], "a", "b", ["event_type"])
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 AND quality = 0 THEN -1 ELSE quality END AS quality FROM labels")
@@ -251,15 +252,14 @@ def gee_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_wald(spark, stats.gee_logit(d, "user_id", "y", [*names, "odd", *both]), both)
 
 
-_PARTS = ", ".join(f"sum(('0x' || substr(h, {1 + 13 * i}, 13))::HUGEINT)::VARCHAR AS part{i}" for i in range(5))
+_PARTS = " || '|' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 13 * i}, 13))::HUGEINT), 0)" for i in range(5))
 
 
-@query(f"SELECT count(*)::BIGINT AS n, {_PARTS} FROM (SELECT sha256(o_orderkey || '|' || o_custkey || '|' || coalesce(o_orderstatus, '')) AS h FROM orders)")
+@query(f"""SELECT sha256(count(*) || '|' || {_PARTS}) AS digest FROM (SELECT sha256('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":' || coalesce('"' || o_orderstatus || '"', 'null') || '}}') AS h FROM orders)""")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sums of row digests of which a table's hash is made: one aggregation, no order needed."""
-    h = F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.coalesce("o_orderstatus", F.lit(""))), 256)
-    sums = read(spark, sf_dir, "orders").agg(F.count("*").alias("n"), *tables.digest_sums(h))
-    return sums.select("n", *[F.col(f"part{i}").cast("string").alias(f"part{i}") for i in range(5)])
+    """A table's hash, whatever the order of its rows and the values of its volatile columns."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").withColumns({c: F.rand() for c in tables.VOLATILE})
+    return spark.createDataFrame([(tables.content_hash(o),)], "digest string")
 
 
 @query("SELECT doc_id, CASE WHEN n_l IS NULL THEN 'missing' WHEN n_d IS NULL THEN 'extra' WHEN n_l > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM (SELECT doc_id, count(*) AS n_d FROM documents GROUP BY 1) FULL JOIN (SELECT doc_id, count(*) AS n_l FROM labels GROUP BY 1) x(doc_id, n_l) USING (doc_id)")

@@ -178,3 +178,8 @@ def grade_structured(joined: DataFrame) -> DataFrame:
         (F.lit(True), "WRONG_EVIDENCE", "answer_correct_evidence_incorrect", False),
     ]
     return _outcomes(df.withColumn("answer_correct", valid & F.coalesce(correct, F.lit(False))), rules)
+
+
+def split_failures(runs: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
+    """(results, failures): runs that ended with an error have no answer to grade."""
+    return runs.filter(F.col(error).isNull()), runs.filter(F.col(error).isNotNull())

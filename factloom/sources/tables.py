@@ -7,7 +7,7 @@ import json
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,57 @@ def file_hashes(spark: SparkSession, path: str, crlf: bool = False) -> DataFrame
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2(body.cast("binary"), 256).alias("sha256"))
 
 
+def write_domains(facts: DataFrame, path: str) -> None:
+    """A stage's facts by domain, each file in order of record ids."""
+    facts.repartitionByRange("domain", "record_id").sortWithinPartitions("domain", "record_id").write.mode("overwrite").partitionBy("domain").parquet(path)
+
+
+def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
+    """A table whose files hold ranges of keys, so that a lookup reads one row group."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, key: dict) -> DataFrame:
+    """The rows of a key; its parts are pushed down to the scan."""
+    df = spark.read.parquet(path)
+    for k, v in key.items():
+        df = df.filter(F.col(k) == F.lit(v))
+    return df
+
+
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """A small JSON document, keys sorted and indented, in any store that Spark writes to."""
+    text = json.dumps(document, sort_keys=True, indent=2, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).filter("trim(value) <> ''").first()[0])
+
+
+def tree_hash(files: DataFrame) -> str:
+    """One hash over names and digests of files (name, sha256), in order of the names; a line for each file."""
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", "sha256"))), "\n")
+    return files.agg(F.sha2(lines, 256)).first()[0]
+
+
+def manifest(spark: SparkSession, root: str, names: list[str]) -> list:
+    """name, n_rows, n_bytes, tree_hash of each table below root. Each file is read as a whole: for the files of artifacts,
+    which are small; large tables have content_hash."""
+    out = []
+    for name in names:
+        files = file_hashes(spark, f"{root}/{name}").filter("name not like '\\_%' and name not like '.%'")
+        out.append(Row(name=name, n_rows=spark.read.parquet(f"{root}/{name}").count(), n_bytes=files.agg(F.sum("bytes")).first()[0], tree_hash=tree_hash(files)))
+    return out
+
+
+def frozen_changes(frozen: DataFrame, now: DataFrame) -> DataFrame:
+    """name, status (missing, added, changed) of what differs between two tables of name and sha256."""
+    both = frozen.select("name", F.col("sha256").alias("old")).join(now.select("name", F.col("sha256").alias("new")), "name", "full_outer")
+    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "missing").otherwise("changed")
+    return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("name", status.alias("status"))
+
+
 def upsert_retrievals(old: DataFrame, new: DataFrame) -> DataFrame:
     """The state of each domain's retrieval: new rows replace old ones."""
     return selection.upsert(old, new, ["domain"]).orderBy("domain")
