@@ -28,8 +28,9 @@ HIDDEN = ("observation_missing",)
 BUCKET = 16
 
 
-def tier(f: str, t: str) -> Column:
-    """The tier of fact f against target t; all comparisons take null as equal to null."""
+def tier(f: str, t: str, near_allowed: Column | None = None) -> Column:
+    """The tier of fact f against target t; all comparisons take null as equal to null. near_allowed: whether a near
+    value counts (it does if left out)."""
     same = lambda c: F.col(f"{f}.{c}").eqNullSafe(F.col(f"{t}.{c}"))
     entity, metric, period, unit, version = (same(c) for c in conditions.KEYS)
     measure = metric | (F.col(f"{f}.family").isNotNull() & (F.col(f"{f}.family") == F.col(f"{t}.family")))
@@ -44,7 +45,7 @@ def tier(f: str, t: str) -> Column:
         .when(entity & measure & ~period, "WRONG_PERIOD")
         .when(measure & period & ~entity, "WRONG_ENTITY")
         .when(entity & ~metric, "WRONG_FIELD")
-        .when(unit & F.col(f"{t}.near_allowed") & core.close(F.col(f"{f}.value"), F.col(f"{t}.value")), "NEAR_MATCH_VALUE")
+        .when(unit & (F.lit(True) if near_allowed is None else near_allowed) & core.close(F.col(f"{f}.value"), F.col(f"{t}.value")), "NEAR_MATCH_VALUE")
         .otherwise("OTHER_SAME_DOMAIN")
     )
 
@@ -83,7 +84,7 @@ def related(facts: DataFrame, targets: DataFrame) -> DataFrame:
 
     same_entity = F.col("f.entity_id").eqNullSafe(F.col("t.entity_id"))
     same_measure = F.col("f.measure").eqNullSafe(F.col("t.measure")) & F.col("f.period").eqNullSafe(F.col("t.period"))
-    pick = lambda df: df.select(F.col("t.target_id").alias("target_id"), F.col("f.record_id").alias("record_id"), tier("f", "t").alias("tier"))
+    pick = lambda df: df.select(F.col("t.target_id").alias("target_id"), F.col("f.record_id").alias("record_id"), tier("f", "t", F.col("t.near_allowed")).alias("tier"))
     by_entity = pick(joined(f, known, same_entity))
     by_measure = pick(joined(f, known, same_measure & ~same_entity))
     named = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
@@ -165,7 +166,12 @@ def candidates(facts: DataFrame, targets: DataFrame, limit: int, seed: str = "di
     given = lambda c: sum((F.least(F.coalesce(t, F.lit(0)), c * TIERS[t]) for t in others), c * last)
     cycle = F.get(F.filter(F.sequence(F.lit(1), F.lit(-(-limit // last))), lambda c: given(c) >= limit), F.lit(0))
     quota = targets.select("target_id", "domain").distinct().join(counts, "target_id", "left").select("target_id", "domain", F.least(F.lit(limit), cycle * last).alias("need"))
-    rest = _last_tier(shown, quota, found.select("target_id", "record_id").unionByName(out_), seed).withColumn("tier", F.lit("OTHER_SAME_DOMAIN"))
+    taken = found.select("target_id", "record_id").unionByName(out_)
+    rest = _last_tier(shown, quota, taken, seed)
+    if foils is not None:  # those of the last tier are in whatever buckets they fell
+        own_foils = foils.select("target_id", "record_id").join(shown.select("record_id", "domain"), "record_id").join(quota, ["target_id", "domain"], "left_semi").select("target_id", "record_id")
+        rest = rest.unionByName(own_foils.join(taken, ["target_id", "record_id"], "left_anti")).distinct()
+    rest = rest.withColumn("tier", F.lit("OTHER_SAME_DOMAIN"))
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
     weight = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])
     both = found.unionByName(rest).withColumn("tier_rank", rank[F.col("tier")]).withColumn("weight", weight[F.col("tier")])

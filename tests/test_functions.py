@@ -72,6 +72,33 @@ def test_near_loses_nothing(spark):
     assert got == {(x, y) for x in values for y in values if (x == 0 if y == 0 else abs(x - y) / abs(y) <= 0.05)}
 
 
+def test_candidates_leave_out_what_is_barred_and_fill_every_list(spark):
+    rows = [(f"r{i:03}", "d", f"E{i % 40}", f"c{i % 3}", "u", f"CY{2000 + i % 20}", "v", None if i == 77 else float(i % 50), "observation_missing" if i % 31 == 0 else "fact") for i in range(400)]
+    facts = spark.createDataFrame(rows, "record_id string, domain string, entity_id string, concept string, unit string, period string, version string, value double, record_type string")
+    targets = facts.filter("record_id in ('r001', 'r002', 'r005')").withColumn("target_id", F.col("record_id"))
+    barred = spark.createDataFrame([(t, f"r{i:03}") for t in ("r001", "r002") for i in range(40, 200)], "target_id string, record_id string")
+    foils = spark.createDataFrame([("r001", "r399"), ("r005", "r390")], "target_id string, record_id string")
+    for limit in (60, 390):
+        got = distractors.candidates(facts, targets, limit, barred=barred, foils=foils).collect()
+        by = {t: [r for r in got if r.target_id == t] for t in ("r001", "r002", "r005")}
+        hidden = {f"r{i:03}" for i in range(400) if i % 31 == 0} | {"r077"}
+        for t, own in by.items():
+            open_ = {r[0] for r in rows} - hidden - {t} - ({f"r{i:03}" for i in range(40, 200)} if t != "r005" else set())
+            assert len(own) == min(limit, len(open_)) and {r.record_id for r in own} <= open_ and sorted(r.position for r in own) == list(range(1, len(own) + 1))
+        for t, foil in (("r001", "r399"), ("r005", "r390")):
+            at = next(r for r in by[t] if r.record_id == foil)
+            assert at.position == min(r.position for r in by[t] if r.tier == at.tier)
+
+
+def test_open_conditions_match_by_whatever_they_name(spark):
+    facts = spark.createDataFrame([(f"r{i}", f"E{i % 3}", f"c{i % 2}", f"p{i % 5}", "u" if i % 4 else "w", f"v{i}") for i in range(60)], "record_id string, entity_id string, concept string, period string, unit string, version string")
+    wanted = [("E1", "c0", None, None, None), ("E1", None, None, None, None), (None, "c1", "p2", None, None), (None, None, "p3", None, None), (None, None, None, "w", None), (None, None, None, None, "v7"), (None,) * 5, ("E2", None, None, None, "v8")]
+    conds = spark.createDataFrame([(str(k), *w) for k, w in enumerate(wanted)], "target_id string, entity_id string, concept string, period string, unit string, version string")
+    got = sorted((r.condition.target_id, r.record_id) for r in conditions.matches(facts, conds).collect())
+    want = sorted((str(k), f.record_id) for f in facts.collect() for k, w in enumerate(wanted) if all(x is None or x == y for x, y in zip(w, f[1:])))
+    assert got == want
+
+
 def test_interleave_equals_round_robin(spark):
     import random
 
