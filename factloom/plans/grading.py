@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,7 @@ def grade_answer_only(joined: DataFrame) -> DataFrame:
     calc = c["question_type"] == "RETRIEVAL_CALCULATION"
     usable = (F.coalesce(model["txt"], F.lit("")) != core.INSUFFICIENT) & model["num"].isNotNull()
     alternate = calc & usable & alternate_rounding(model, gold, c["tolerance"], c["raw_result"], c["rounded_result"], c["round_decimals"])
+    # Names of error types and of the rules that give them.
     rules = [
         (~valid, "FORMAT_FAILURE", "answer_line_parse_failure", None),
         (correct, "CORRECT", "answer_only_exact_match", False),
@@ -93,14 +95,25 @@ def evidence(selected: Column, gold_sets: Column, known: Column, answerable: Col
 JSON_SCHEMA = "struct<answer:string,selected_evidence:array<string>,insufficient_evidence:boolean,method:string,degenerate:boolean>"
 
 
+# What a record's id and a fence look like; a response that lists LISTED ids or more is degenerate if one of
+# them stands there OFTEN times or all of them are MANY; Python's literals and JSON's; closers that may be missing.
+SHOWN_ID, FENCE = re.compile(r'"(R[A-Z0-9]{8,12})"'), re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
+LISTED, OFTEN, MANY, CLOSERS = 20, 12, 60, 3
+LITERALS = {"True": "true", "False": "false", "None": "null"}
+
+
+def degenerate(text: str) -> bool:
+    """Whether a response does nothing but list ids."""
+    n = Counter(SHOWN_ID.findall(text))
+    return n.total() >= LISTED and (n.total() >= MANY or max(n.values()) >= OFTEN)
+
+
 def recover(raw: str | None) -> dict:
     """A response object: as it is, out of a fence, the first whole object, with Python literals, or with closers added.
 
     Nothing is guessed: the object must have all three fields of the right kinds."""
     text = (raw or "").strip()
-    ids = re.findall(r'"(R[A-Z0-9]{8,12})"', text)
-    most = max((ids.count(i) for i in set(ids)), default=0) if len(ids) >= 20 else 0
-    empty = {"answer": None, "selected_evidence": None, "insufficient_evidence": None, "method": None, "degenerate": len(ids) >= 20 and (most >= 12 or len(ids) >= 60)}
+    empty = {"answer": None, "selected_evidence": None, "insufficient_evidence": None, "method": None, "degenerate": degenerate(text)}
 
     def shaped(s: str | None, method: str) -> dict | None:
         try:
@@ -116,8 +129,9 @@ def recover(raw: str | None) -> dict:
         return found
     if empty["degenerate"]:
         return empty
-    fence = re.fullmatch(r"```(?:json)?\s*(.*?)\s*```", text, flags=re.S | re.I)
-    for s, method in ((fence and fence[1], "fence"), (_scan(text)[0], "first_object"), (re.sub(r":\s*(True|False|None)\b", lambda m: ": " + {"True": "true", "False": "false", "None": "null"}[m[1]], text), "literals"), (_scan(text)[1], "closers")):
+    fence, (whole, closed) = FENCE.fullmatch(text), _scan(text)
+    plain = re.sub(rf":\s*({'|'.join(LITERALS)})\b", lambda m: ": " + LITERALS[m[1]], text)
+    for s, method in ((fence and fence[1], "fence"), (whole, "first_object"), (plain, "literals"), (closed, "closers")):
         if found := shaped(s, method):
             return found
     return empty
@@ -139,7 +153,7 @@ def _scan(text: str) -> tuple[str | None, str | None]:
                 open_ = []
             elif not open_ and first is None and ch == "}" and start >= 0:
                 first = text[start : k + 1]
-    return first, None if inside or broken or not 0 < len(open_) <= 3 else text + "".join(reversed(open_))
+    return first, None if inside or broken or not 0 < len(open_) <= CLOSERS else text + "".join(reversed(open_))
 
 
 def recovered(raw: Column) -> Column:
@@ -165,6 +179,7 @@ def grade_structured(joined: DataFrame) -> DataFrame:
     answerable, calc, hit = c["answerable"], c["question_type"] == "RETRIEVAL_CALCULATION", F.col("matched").isNotNull()
     equal = core.answers_equal(model, gold, c["answer_type"], c["tolerance"])
     correct = F.when(answerable, equal).otherwise(F.col("insufficient") & (F.coalesce(F.col("parsed_answer"), F.lit("")) == "INSUFFICIENT_EVIDENCE"))
+    # Names of error types and of the rules that give them.
     rules = [
         (~valid, "FORMAT_FAILURE", "json_parse_failure", None),
         (correct & F.col("evidence.correct"), "CORRECT", "deterministic_exact", False),
