@@ -181,11 +181,9 @@ def gee_logit(df: DataFrame, cluster: str, y: str, xs: list[str], exchangeable:
         for _ in range(steps):
             s = sums(beta, alpha)
             step = np.linalg.solve(s[k : k + k * k].reshape(k, k), s[:k])
-            beta = beta + step
-            if exchangeable:
-                s2 = sums(beta, alpha)
-                alpha = float(np.clip(s2[-3] / max(s2[-2], 1), -0.9, 0.95))
-            if np.abs(step).max() < tol:
+            now = float(np.clip(s[-3] / max(s[-2], 1), -0.9, 0.95)) if exchangeable else alpha
+            beta, moved, alpha = beta + step, max(np.abs(step).max(), abs(now - alpha)), now
+            if moved < tol:
                 break
         s = sums(beta, alpha)
     finally:
