@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, context_tree, embedding_join, language_id, mixing, ngram_join, secret_scan, token_store, topk_search, warc
+from factloom.llm import bpe, context_tree, embedding_join, language_id, merkle, mixing, ngram_join, pii, secret_scan, token_store, topk_search, vector_codes, warc
 from factloom.llm.common import cut, drop_path, fresh_path, table
 
 VOCABULARY, END_ID = 50_257, 2
@@ -73,6 +73,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op11_pii's result."""
+    return pii.base_report(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_join": op1_embedding_join,
     "op2_mix_sources": op2_mix_sources,
@@ -85,12 +102,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "context_tree_base": context_tree_base,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "op11_pii": op11_pii,
+    "pii_base": pii_base,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_join": embedding_join.SQL,
     "op3_ngram_join": ngram_join.SQL,
     "op6_topk_search": topk_search.SQL,
     "op10_warc": warc.SQL,
+    "pii_base": pii.BASE_SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_merkle_manifest": merkle.SQL,
     "context_tree_base": context_tree.BASE_SQL,
     "op2_mix_sources": mixing.SQL,
     "op4_secret_scan": secret_scan.SQL,
