@@ -9,7 +9,8 @@ few, whose sampled cost is least: where no bound holds (unclustered vectors of m
 
 Vectors that are null, zero or hold null or non-finite components link with nothing and are components of their own, and
 so do rows without a vec_id, whose component is null;
-vectors of different length don't link. Equal vectors travel as one row. Repeated rows of a vec_id count as copies.
+vectors of different length don't link. Equal vectors travel as one row. Repeated rows of a vec_id count as copies; rows of
+one vec_id with different vectors stand each for itself: each has the links and the component of its own vector.
 Extra columns are ignored; an empty table gives none.
 """
 
@@ -61,6 +62,7 @@ def choose_pivots(sample: np.ndarray, n: int, radius: float, numbers: tuple[int,
         far = np.minimum(far, distances(sample, sample[order[-1:]])[:, 0])
 
     def cost(k: int) -> float:
+        k = min(k, len(order))
         home, copied = cells_of(sample, sample[order[:k]], radius)
         own, more = np.bincount(home, minlength=k) / len(sample), copied.sum(axis=0) / len(sample)
         return float((own * (own / 2 + more)).sum() * n + 1e-3 * (1 + more.sum()) * n + k)
@@ -105,8 +107,10 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, s
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable(F.col("embedding")), F.col("embedding")).alias("embedding"))
     rows = rows.withColumn("key", F.md5(F.to_json(F.struct("embedding"))))
     ids = cut(rows.select("vec_id", F.when(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull(), F.col("key")).alias("key")))
-    classes = cut(rows.filter("embedding is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    some = classes.orderBy(F.xxhash64(F.lit("pivots"), "class_id"), "class_id").limit(sample).select("embedding").collect()  # at most sample rows
+    # number tells classes of one vec_id apart; written once, it stays.
+    classes = rows.filter("embedding is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = cut(classes.withColumn("number", F.monotonically_increasing_id()))
+    some = classes.orderBy(F.xxhash64(F.lit("pivots"), "class_id"), "class_id", "key").limit(sample).select("embedding").collect()  # at most sample rows
     total = classes.count()
     pivots: dict[int, np.ndarray] = {}
     for size in {len(r.embedding) for r in some}:
@@ -126,13 +130,13 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, s
                 r, c = np.nonzero(copied)
                 at = np.concatenate([np.arange(len(x)), r])
                 out = part.iloc[at].assign(length=int(size), cell=np.concatenate([home, c]).astype(np.int32), is_home=np.concatenate([np.ones(len(x), bool), np.zeros(len(r), bool)]))
-                yield pa.RecordBatch.from_pandas(out[["class_id", "copies", "embedding", "length", "cell", "is_home"]], preserve_index=False)
+                yield pa.RecordBatch.from_pandas(out[["class_id", "number", "copies", "embedding", "length", "cell", "is_home"]], preserve_index=False)
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    placed = cut(classes.select("class_id", "copies", "embedding").mapInArrow(place, f"class_id long, copies long, embedding {kind}, length long, cell int, is_home boolean"))
+    placed = cut(classes.select("class_id", "number", "copies", "embedding").mapInArrow(place, f"class_id long, number long, copies long, embedding {kind}, length long, cell int, is_home boolean"))
     counts = placed.groupBy("length", "cell").agg(F.ceil(F.count_if("is_home") / block).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("is_home")) / block).cast("int").alias("guests"))
     split = placed.join(counts, ["length", "cell"]).filter("homes > 0")
-    own = F.when(F.col("is_home"), F.pmod(F.xxhash64("class_id"), "homes")).otherwise(F.pmod(F.xxhash64("class_id"), F.greatest("guests", F.lit(1)))).cast("int")
+    own = F.when(F.col("is_home"), F.pmod(F.xxhash64("class_id", "number"), "homes")).otherwise(F.pmod(F.xxhash64("class_id", "number"), F.greatest("guests", F.lit(1)))).cast("int")
     of = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     among = F.transform(of(F.col("homes")), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y"), F.lit(False).alias("with_guests")))
     beside = F.transform(of(F.col("guests")), lambda o: F.struct(F.col("own").alias("x"), o.alias("y"), F.lit(True).alias("with_guests")))
@@ -140,7 +144,7 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, s
     tasks = split.withColumn("own", own).withColumn("t", F.explode(F.when(F.col("is_home"), F.concat(among, beside)).otherwise(visit))).select("*", "t.*").drop("t", "homes", "guests")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("class_id")
+        pdf = pdf.sort_values(["class_id", "number"])
         x = unit(np.stack(pdf["embedding"].to_numpy()))
         if pdf["with_guests"].iloc[0]:
             first = pdf["is_home"].to_numpy()
@@ -151,16 +155,17 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, s
         if pdf["with_guests"].iloc[0] and first.all():
             right = np.zeros(0, np.int64)
         links, low = block_links(x, pdf["copies"].to_numpy(), left, right, threshold)
-        ids, keep = pdf["class_id"].to_numpy(), links > 0
-        return pd.DataFrame({"class_id": ids[keep], "links": links[keep], "low": ids[low][keep]})
+        ids, numbers, keep = pdf["class_id"].to_numpy(), pdf["number"].to_numpy(), links > 0
+        return pd.DataFrame({"class_id": ids[keep], "number": numbers[keep], "links": links[keep], "low": ids[low][keep], "low_number": numbers[low][keep]})
 
     # As many partitions as asked for: by their bytes, Spark would put pairs of blocks together that take long.
     keys, spark = ["length", "cell", "x", "y", "with_guests"], vectors.sparkSession
     tasks = tasks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
-    found = cut(tasks.groupBy(*keys).applyInPandas(run, "class_id long, links long, low long"))
-    groups = components(found.select(F.col("class_id").alias("a"), F.col("low").alias("b")))
-    links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    known = classes.select("key", "class_id", "copies").join(links, "class_id", "left").join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    found = cut(tasks.groupBy(*keys).applyInPandas(run, "class_id long, number long, links long, low long, low_number long"))
+    node = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("number"))
+    groups = components(found.select(node("class_id", "number").alias("a"), node("low", "low_number").alias("b"))).select(F.col("node.number").alias("number"), F.col("component.id").alias("component"))
+    links = found.groupBy("number").agg(F.sum("links").alias("links"))
+    known = classes.select("key", "class_id", "copies", "number").join(links, "number", "left").join(groups, "number", "left")
     out = ids.join(known, "key", "left")
     component = F.coalesce("component", "class_id", "vec_id")
     return out.select("vec_id", (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
