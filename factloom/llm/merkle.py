@@ -210,7 +210,7 @@ class Forest:
                 n = groups[group[a]]
                 shared = {} if n.need_shared is None else {(x["level"], x["run"]): list(x["hashes"]) for x in n.need_shared}
                 found += of_group(rows.iloc[a:b], n.need_start, n.need_total, shared, n.need_subroot, [(x["before"], x["after"]) for x in n.need_path], n.need_root)
-            out = pd.DataFrame(found, columns=names)
+            out = pd.DataFrame(found, columns=names, dtype=object)
             out["key"] = out["key"].astype("Int64" if key_type == "long" else object)
             return out
 
