@@ -32,6 +32,12 @@ def order_key(seed: Column | str, *parts: Column) -> Column:
     return F.md5(F.array_join(F.array(text_of(first), *[text_of(p) for p in parts]), "|"))
 
 
+def rank_key(seed: str, c: Column) -> Column:
+    """A seeded, engine-independent number below 2**60. The exclusive or of two of them orders one's partners anew for each
+    of the other, without a digest a pair."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), text_of(c))), 1, 15), 16, 10).cast("long")
+
+
 def display_id(seed: str, c: Column, digits: int = 10) -> Column:
     return F.concat(F.lit("R"), F.upper(F.substring(F.sha2(F.concat(F.lit(seed + "|"), text_of(c)), 256), 1, digits)))
 

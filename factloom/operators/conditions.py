@@ -10,39 +10,58 @@ from pyspark.sql import functions as F
 KEYS = ("entity_id", "concept", "period", "unit", "version")
 
 
-def satisfied(fact: str, condition: str, keys: tuple[str, ...] = KEYS) -> Column:
-    """Every key that the condition names equals the fact's; so do the entries of its metadata, if both have the map."""
+#: Slots over which conditions that name nothing are dealt.
+SLOTS = 200
+
+
+def satisfied(fact: str, condition: str, keys: tuple[str, ...] = KEYS, metadata: bool = False) -> Column:
+    """Every key that the condition names equals the fact's; with metadata so does every entry of its map of that name."""
     out = F.lit(True)
     for k in keys:
         out = out & (F.col(f"{condition}.{k}").isNull() | F.col(f"{fact}.{k}").eqNullSafe(F.col(f"{condition}.{k}")))
-    return out
+    return out & metadata_satisfied(F.col(f"{fact}.metadata"), F.col(f"{condition}.metadata")) if metadata else out
 
 
 def metadata_satisfied(fact: Column, condition: Column) -> Column:
+    """Every entry of the condition's map is one of the fact's; null asks for a missing or null one."""
     return F.coalesce(F.forall(F.map_entries(condition), lambda e: F.try_element_at(fact, e["key"]).eqNullSafe(e["value"])), F.lit(True))
 
 
+def entries(df: DataFrame, keys: tuple[str, ...], metadata: bool) -> Column:
+    """(key, value) of all that a fact has, or that a condition names."""
+    pair = lambda k, v: F.struct(k.alias("key"), v.cast("string").alias("value"))
+    own = F.array(*[pair(F.lit(k), F.col(k)) for k in keys])
+    if metadata:
+        more = F.transform(F.map_entries("metadata"), lambda e: pair(F.concat(F.lit("metadata."), e["key"]), e["value"]))
+        own = F.concat(own, F.coalesce(more, F.array().cast("array<struct<key:string,value:string>>")))
+    return F.filter(own, lambda e: e["value"].isNotNull())
+
+
 def matches(facts: DataFrame, conditions: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(columns of conditions as condition struct, record_id). Conditions are split by the first key they name (and those
-    of an entity by whether they name a concept too), so each part is a hash join; only conditions that name none meet all
-    facts, which is what they ask for."""
-    f, parts, open_ = facts.alias("f"), [], F.lit(True)
-    pairs = [("entity_id", "concept")] if {"entity_id", "concept"} <= set(keys) else []
-    for named in [*pairs, *[(k,) for k in keys], ()]:
-        here = open_
-        for k in named:
-            here = here & F.col(k).isNotNull()
-        if named == ("entity_id",) and pairs:
-            here = here & F.col("concept").isNull()
-        on = satisfied("f", "c", keys)
-        for k in named:
-            on = on & (F.col(f"f.{k}") == F.col(f"c.{k}"))
-        parts.append(f.join(conditions.filter(here).alias("c"), on).select(F.struct("c.*").alias("condition"), F.col("f.record_id").alias("record_id")))
-        if len(named) == 1:
-            open_ = open_ & F.col(named[0]).isNull()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """(columns of conditions as condition struct, record_id) of each condition and each fact that satisfies it; both may
+    have metadata, a map. Repeated conditions match again.
+
+    An inverted index of (key, value) leads from conditions to facts: each condition asks for its rarest entry only, then
+    for all it names. Conditions that name nothing meet all facts, which is what they ask for; there is no such join where
+    there are none, as a count tells."""
+    metadata = "metadata" in facts.columns and "metadata" in conditions.columns
+    c = conditions.select(F.struct("*").alias("condition"), entries(conditions, keys, metadata).alias("e"))
+    used = ["record_id", *[k for k in keys if k != "record_id"], *(["metadata"] if metadata else [])]
+    f = facts.select(F.struct(*used).alias("f"), F.explode(entries(facts, keys, metadata)).alias("e")).select("f", "e.*")
+    named = c.filter(F.size("e") > 0).withColumn("id", F.monotonically_increasing_id()).select("id", "condition", F.explode("e").alias("e")).select("id", "condition", "e.*")
+    known = f.select("key", "value").join(named.select("key", "value").distinct(), ["key", "value"], "left_semi").groupBy("key", "value").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    rarest = named.join(known, ["key", "value"], "left").groupBy("id").agg(F.first("condition").alias("condition"), F.min(n).alias("n"), F.min_by(F.struct("key", "value"), F.struct(n, "key", "value")).alias("e"))
+    rarest = rarest.filter("n > 0").select("condition", "e.*")  # an entry that no fact has
+    out = f.join(rarest, ["key", "value"]).filter(satisfied("f", "condition", keys, metadata)).select("condition", F.col("f.record_id").alias("record_id"))
+    if n_open := c.filter(F.size("e") == 0).count():
+        slots = min(n_open, SLOTS)
+        dealt = c.filter(F.size("e") == 0).select("condition", F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int").alias("slot"))
+        used = ["record_id"] + (["metadata"] if metadata else [])
+        all_ = facts.select(F.struct(*used).alias("f"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")).join(dealt, "slot")
+        if metadata:  # null entries are named nowhere in the index
+            all_ = all_.filter(metadata_satisfied(F.col("f.metadata"), F.col("condition.metadata")))
+        out = out.unionByName(all_.select("condition", F.col("f.record_id").alias("record_id")))
     return out
 
 

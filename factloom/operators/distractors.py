@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import core
 from factloom.operators import conditions, selection
+from factloom.sources.shared import kept
 
 # Tiers from most to least confusable, and rows of each in a cycle.
 TIERS = {
@@ -26,6 +27,8 @@ OPTIONAL = ("family", "variant", "label")
 HIDDEN = ("observation_missing",)
 #: Facts of a bucket from which a target's last tier is filled.
 BUCKET = 16
+#: Tables of at most this many pairs of ids are broadcast.
+FEW = 500_000
 
 
 def tier(f: str, t: str, near_allowed: Column | None = None) -> Column:
@@ -50,6 +53,12 @@ def tier(f: str, t: str, near_allowed: Column | None = None) -> Column:
     )
 
 
+def relation(f: str, t: str) -> Column:
+    """The tier of fact f against target t, which may be but a value."""
+    near = F.when(F.col(f"{t}.near_allowed") & core.close(F.col(f"{f}.value"), F.col(f"{t}.value")), "NEAR_MATCH_VALUE").otherwise("OTHER_SAME_DOMAIN")
+    return F.when(F.col(f"{t}.record_id").isNull(), near).otherwise(tier(f, t, F.col(f"{t}.near_allowed")))
+
+
 def flags(f: str, t: str) -> Column:
     """The eleven relations of a fact to a target, as a map."""
     same = {"entity": "entity_id", "metric": "concept", "period": "period", "unit": "unit", "version": "version"}
@@ -65,8 +74,9 @@ def completed(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(None).cast("string").alias(c) for c in OPTIONAL if c not in df.columns])
 
 
-def related(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """target_id, record_id, tier of the facts of a target's domain above the last tier.
+def related(facts: DataFrame, targets: DataFrame, seed: str | None = None) -> DataFrame:
+    """target_id, record_id, tier of the facts of a target's domain above the last tier; with a seed also h, a number that
+    orders the facts of a target.
 
     targets: target_id and the columns of facts; near_allowed (true where missing) says whether a near value counts, as it
     doesn't for questions without an answer. A target without a record_id has but a value: facts near it, of any unit,
@@ -77,6 +87,9 @@ def related(facts: DataFrame, targets: DataFrame) -> DataFrame:
         t = t.withColumn("near_allowed", F.lit(True))
     key = F.coalesce("family", "concept")
     f, t = f.withColumn("measure", key), t.withColumn("measure", key)
+    if seed is not None:
+        f, t = f.withColumn("own", core.rank_key(seed, F.col("record_id"))), t.withColumn("own", core.rank_key(seed, F.col("target_id")))
+    more = lambda a, b: [] if seed is None else [F.col(a).bitwiseXOR(F.col(b)).alias("h")]
     known = t.filter("record_id is not null")
 
     def joined(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
@@ -84,7 +97,7 @@ def related(facts: DataFrame, targets: DataFrame) -> DataFrame:
 
     same_entity = F.col("f.entity_id").eqNullSafe(F.col("t.entity_id"))
     same_measure = F.col("f.measure").eqNullSafe(F.col("t.measure")) & F.col("f.period").eqNullSafe(F.col("t.period"))
-    pick = lambda df: df.select(F.col("t.target_id").alias("target_id"), F.col("f.record_id").alias("record_id"), tier("f", "t", F.col("t.near_allowed")).alias("tier"))
+    pick = lambda df: df.select(F.col("t.target_id").alias("target_id"), F.col("f.record_id").alias("record_id"), tier("f", "t", F.col("t.near_allowed")).alias("tier"), *more("f.own", "t.own"))
     by_entity = pick(joined(f, known, same_entity))
     by_measure = pick(joined(f, known, same_measure & ~same_entity))
     named = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
@@ -93,7 +106,7 @@ def related(facts: DataFrame, targets: DataFrame) -> DataFrame:
     apart = ~F.col("f_entity_id").eqNullSafe(F.col("t_entity_id")) & ~(F.col("f_measure").eqNullSafe(F.col("t_measure")) & F.col("f_period").eqNullSafe(F.col("t_period")))
     beside = (F.col("f_record_id") != F.col("t_record_id")) & F.col("f_unit").eqNullSafe(F.col("t_unit")) & apart
     near = near.filter((F.col("f_domain") == F.col("t_domain")) & (alone | beside))
-    by_value = near.select(F.col("t_target_id").alias("target_id"), F.col("f_record_id").alias("record_id"), F.lit("NEAR_MATCH_VALUE").alias("tier"))
+    by_value = near.select(F.col("t_target_id").alias("target_id"), F.col("f_record_id").alias("record_id"), F.lit("NEAR_MATCH_VALUE").alias("tier"), *more("f_own", "t_own"))
     return by_entity.unionByName(by_measure).unionByName(by_value).filter("tier <> 'OTHER_SAME_DOMAIN'")
 
 
@@ -120,68 +133,104 @@ def forbidden(facts: DataFrame, gold: DataFrame, conds: DataFrame, absent: DataF
 
 
 def strongest(classified: DataFrame) -> DataFrame:
-    """target_id, record_id, tier: of several targets of one family the most confusable relation wins."""
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.col("tier"))
-    return classified.groupBy("target_id", "record_id").agg(F.min_by("tier", rank).alias("tier"))
+    """target_id, record_id, tier, and h if there: of several targets of one family the most confusable relation wins."""
+    more = [F.first("h").alias("h")] if "h" in classified.columns else []
+    return classified.groupBy("target_id", "record_id").agg(F.min_by("tier", _rank()).alias("tier"), *more)
+
+
+def _rank() -> Column:
+    return F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("tier")]
+
 
+def _weight() -> Column:
+    return F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.col("tier")]
 
-def _last_tier(facts: DataFrame, quota: DataFrame, taken: DataFrame, seed: str) -> DataFrame:
-    """target_id, record_id: facts of a target's domain that taken doesn't hold, need of them or more where there are.
+
+def _without(pairs: DataFrame, out_: DataFrame, few: bool) -> DataFrame:
+    return pairs.join(F.broadcast(out_) if few else out_, ["target_id", "record_id"], "left_anti")
+
+
+def _last_tier(facts: DataFrame, targets: DataFrame, quota: DataFrame, out_: DataFrame, few: bool, foils: DataFrame | None, seed: str) -> DataFrame:
+    """target_id, record_id, h: facts of a target's domain that no target of that id is related to and out_ doesn't hold,
+    need of them or more where there are, and all such foils.
 
     Facts fall into buckets of BUCKET by a seeded hash; a target reads buckets from the one of its own hash on, half as
-    many again as it needs, and those left short read all."""
+    many again as it needs, and those left short read all. What a bucket gives is held against the target itself."""
     hash_of = lambda c, n: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.col(n))
     sizes = facts.groupBy("domain").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BUCKET)).cast("long").alias("n_buckets"))
-    held = facts.select("domain", "record_id").join(F.broadcast(sizes), "domain")  # one row a domain
-    held = held.select("domain", "record_id", hash_of("record_id", "n_buckets").alias("bucket"))
+    held = completed(facts).join(F.broadcast(sizes), "domain")  # one row a domain
+    held = held.withColumn("bucket", hash_of("record_id", "n_buckets")).withColumn("own", core.rank_key(seed, F.col("record_id"))).drop("n_buckets")
     want = quota.join(F.broadcast(sizes), "domain").withColumn("own", hash_of("target_id", "n_buckets"))
-    want = want.withColumn("reads", F.least("n_buckets", F.ceil((F.col("need") + 24) * 1.5 / BUCKET).cast("long")))
+    want = kept(want.withColumn("reads", F.least("n_buckets", F.ceil((F.col("need") + 24) * 1.5 / BUCKET).cast("long"))))
+    t = completed(targets).withColumn("own", core.rank_key(seed, F.col("target_id")))
+    t = t.withColumn("near_allowed", F.lit(True)) if "near_allowed" not in t.columns else t
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """pairs: target_id and the columns of held."""
+        both = pairs.alias("f").join(t.alias("t"), (F.col("f.target_id") == F.col("t.target_id")) & (F.col("f.domain") == F.col("t.domain")))
+        other = (relation("f", "t") == "OTHER_SAME_DOMAIN") & ~F.col("f.record_id").eqNullSafe(F.col("t.record_id"))
+        found = both.groupBy(F.col("f.target_id").alias("target_id"), F.col("f.record_id").alias("record_id")).agg(F.bool_and(other).alias("other"), F.first(F.col("f.own").bitwiseXOR(F.col("t.own"))).alias("h"))
+        return _without(found.filter("other").drop("other"), out_, few)
 
     def read(some: DataFrame, n: str) -> DataFrame:
         at = some.select("target_id", "domain", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i: F.pmod(F.col("own") + i, F.col("n_buckets")))).alias("bucket"))
-        return at.join(held, ["domain", "bucket"]).select("target_id", "record_id").join(taken, ["target_id", "record_id"], "left_anti")
+        return apart(at.join(held, ["domain", "bucket"]))
 
-    first = read(want, "reads")
+    first = kept(read(want, "reads"))
     got = first.groupBy("target_id").agg(F.count("*").alias("got"))
-    short = want.join(got, "target_id", "left").filter((F.coalesce("got", F.lit(0)) < F.col("need")) & (F.col("reads") < F.col("n_buckets")))
-    return first.join(short.select("target_id"), "target_id", "left_anti").unionByName(read(short, "n_buckets"))
+    short = kept(want.join(got, "target_id", "left").filter((F.coalesce("got", F.lit(0)) < F.col("need")) & (F.col("reads") < F.col("n_buckets"))))
+    out = first if short.isEmpty() else first.join(short.select("target_id"), "target_id", "left_anti").unionByName(read(short, "n_buckets"))
+    if foils is not None:  # those of the last tier are in whatever buckets they fell
+        own = apart(foils.select("target_id", "record_id").distinct().join(held, "record_id").join(quota.select("target_id", "domain"), ["target_id", "domain"], "left_semi"))
+        out = out.unionByName(own).distinct()
+    return out
 
 
 def candidates(facts: DataFrame, targets: DataFrame, limit: int, seed: str = "distractors", barred: DataFrame | None = None, foils: DataFrame | None = None) -> DataFrame:
     """target_id, record_id, tier, position: the first limit facts of each target by weighted round-robin over tiers.
 
     A tier's facts stand in seeded order, foils (target_id, record_id) before all others. What barred (target_id,
-    record_id; see forbidden) holds is left out, and so are facts without a value and of the hidden types. The last tier
-    takes what the others leave open, which their counts tell, so only that many facts are read for it."""
+    record_id; see forbidden) holds is left out, and so are facts without a value and of the hidden types. No tier gives
+    more than limit facts, so Spark cuts them off before the shuffle, and what is left is written once; the last tier takes
+    what the others leave open, which their counts tell, so only that many facts are read for it."""
     shown = facts.filter(F.col("value").isNotNull())
     if "record_type" in facts.columns:
         shown = shown.filter(~F.coalesce(F.col("record_type").isin(*HIDDEN), F.lit(False)))
-    found = strongest(related(shown, targets))
+    targets = kept(targets)
     own = targets.filter("record_id is not null").select("target_id", "record_id")
-    out_ = own if barred is None else own.unionByName(barred.select("target_id", "record_id"))
-    found = found.join(out_, ["target_id", "record_id"], "left_anti")
+    out_ = kept((own if barred is None else own.unionByName(barred.select("target_id", "record_id"))).distinct())
+    few = out_.count() <= FEW
+    found = related(shown, targets, seed)
+    if targets.count() != targets.select("target_id").distinct().count():
+        found = strongest(found)
+    found = _without(found, out_, few)
+    if foils is not None:
+        foils = kept(foils.select("target_id", "record_id").distinct())
+
+    def ordered(df: DataFrame) -> DataFrame:
+        """df with later: whether a fact is no foil."""
+        if foils is None:
+            return df.withColumn("later", F.lit(True))
+        some = foils.withColumn("foil", F.lit(True))
+        return df.join(F.broadcast(some) if foils.count() <= FEW else some, ["target_id", "record_id"], "left").withColumn("later", F.col("foil").isNull()).drop("foil")
+
+    found = kept(selection.top_by(ordered(found), ["target_id", "tier"], limit, "later", "h", "record_id"))
     others, last = [t for t in TIERS if t != "OTHER_SAME_DOMAIN"], TIERS["OTHER_SAME_DOMAIN"]
     counts = found.groupBy("target_id").agg(*[F.count_if(F.col("tier") == t).alias(t) for t in others])
     # The cycle that fills the list, and what the last tier gives until then.
     given = lambda c: sum((F.least(F.coalesce(t, F.lit(0)), c * TIERS[t]) for t in others), c * last)
     cycle = F.get(F.filter(F.sequence(F.lit(1), F.lit(-(-limit // last))), lambda c: given(c) >= limit), F.lit(0))
     quota = targets.select("target_id", "domain").distinct().join(counts, "target_id", "left").select("target_id", "domain", F.least(F.lit(limit), cycle * last).alias("need"))
-    taken = found.select("target_id", "record_id").unionByName(out_)
-    rest = _last_tier(shown, quota, taken, seed)
-    if foils is not None:  # those of the last tier are in whatever buckets they fell
-        own_foils = foils.select("target_id", "record_id").join(shown.select("record_id", "domain"), "record_id").join(quota, ["target_id", "domain"], "left_semi").select("target_id", "record_id")
-        rest = rest.unionByName(own_foils.join(taken, ["target_id", "record_id"], "left_anti")).distinct()
-    rest = rest.withColumn("tier", F.lit("OTHER_SAME_DOMAIN"))
-    rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
-    weight = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])
-    both = found.unionByName(rest).withColumn("tier_rank", rank[F.col("tier")]).withColumn("weight", weight[F.col("tier")])
-    both = both.withColumn("h", core.order_key(seed, F.col("target_id"), F.col("record_id")))
-    first = F.lit(False)
-    if foils is not None:
-        both = both.join(foils.select("target_id", "record_id", F.lit(True).alias("foil")).distinct(), ["target_id", "record_id"], "left")
-        first = F.coalesce("foil", F.lit(False))
-    ordered = selection.interleave(both.withColumn("later", ~first), ["target_id"], "tier_rank", "weight", "later", "h", limit=limit)
-    return ordered.select("target_id", "record_id", "tier", "position")
+    rest = ordered(_last_tier(shown, targets, quota, out_, few, foils, seed)).withColumn("tier", F.lit("OTHER_SAME_DOMAIN"))
+    both = found.unionByName(rest).withColumn("tier_rank", _rank()).withColumn("weight", _weight())
+    return selection.interleave(both, ["target_id"], "tier_rank", "weight", "later", "h", "record_id", limit=limit).select("target_id", "record_id", "tier", "position")
+
+
+def interleaved(facts: DataFrame, targets: DataFrame, limit: int, seed: str = "distractors") -> DataFrame:
+    """target_id, record_id, tier, cycle, position: the first limit related facts by weighted round-robin over tiers."""
+    found = selection.top_by(related(facts, targets, seed), ["target_id", "tier"], limit, "h", "record_id")
+    ranked = found.withColumn("tier_rank", _rank()).withColumn("weight", _weight())
+    return selection.interleave(ranked, ["target_id"], "tier_rank", "weight", "h", "record_id", limit=limit).select("target_id", "record_id", "tier", "cycle", "position")
 
 
 def equivalents(facts: DataFrame) -> DataFrame:

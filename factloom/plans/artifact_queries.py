@@ -9,7 +9,7 @@ from factloom.functions import core
 from factloom.operators import selection
 from factloom.plans import grading
 from factloom.plans.registry import query
-from factloom.plans.stream_queries import shared_folder
+from factloom.sources.shared import shared_folder
 from factloom.sources import envelope, tables
 from factloom.sources.envelope import FACTS_SQL, read
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.plans import validate
 from factloom.plans.context_queries import TOKENS
 from factloom.plans.registry import ORACLE_SQL, QUERIES
-from factloom.plans.stream_queries import shared_folder
+from factloom.sources.shared import shared_folder
 from factloom.sources.envelope import read
 
 TIERS = ("WRONG_VERSION", "WRONG_PERIOD", "WRONG_ENTITY", "WRONG_FIELD", "WRONG_UNIT", "NEAR_MATCH_VALUE")

@@ -39,6 +39,25 @@ def condition_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conditions.matches(facts, open_).groupBy(F.col("condition.target_id").alias("target_id")).agg(F.count("*").alias("n"))
 
 
+@query(f"""{WITH}, h AS (SELECT f.*, (extract(hour FROM ts) // 6)::VARCHAR AS band, floor(f.value / 20)::INT::VARCHAR AS step FROM event_facts f JOIN (SELECT event_id, ts FROM events) e ON f.record_id = 'events_' || e.event_id),
+c AS (SELECT a.*, k FROM targets t JOIN h a ON a.record_id = t.record_id, range(3) AS r(k))
+SELECT c.entity_id || '.' || k AS target_id, count(*)::BIGINT AS n FROM c JOIN h b ON b.band = c.band AND
+  CASE k WHEN 0 THEN b.entity_id = c.entity_id WHEN 1 THEN b.period = c.period AND b.concept = c.concept AND b.step = c.step ELSE b.step = c.step AND b.period = c.period END
+GROUP BY 1""")
+def condition_metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions that name entries of a fact's metadata, with and without keys beside them."""
+    facts, targets = _targets(spark, sf_dir)
+    ts = read(spark, sf_dir, "events").select(F.concat(F.lit("events_"), F.col("event_id").cast("string")).alias("record_id"), "ts")
+    entries = F.create_map(F.lit("band"), F.floor(F.hour("ts") / 6).cast("string"), F.lit("step"), F.floor(F.col("value") / 20).cast("string"))
+    facts = facts.join(ts, "record_id").withColumn("metadata", entries).drop("ts")
+    own = facts.join(targets.select("record_id"), "record_id", "left_semi")
+    none, band = F.lit(None).cast("string"), F.map_filter("metadata", lambda k, v: k == "band")
+    keys = lambda *named: [F.col(k) if k in named else none.alias(k) for k in conditions.KEYS]
+    named = lambda k: F.concat("entity_id", F.lit(f".{k}")).alias("target_id")
+    conds = own.select(named(0), *keys("entity_id"), band.alias("metadata")).unionByName(own.select(named(1), *keys("concept", "period"), "metadata")).unionByName(own.select(named(2), *keys("period"), "metadata"))
+    return conditions.matches(facts, conds).groupBy(F.col("condition.target_id").alias("target_id")).agg(F.count("*").alias("n"))
+
+
 def _barred(facts: DataFrame, targets: DataFrame, absent: DataFrame | None = None) -> DataFrame:
     conds = targets.select("target_id", "entity_id", "concept", "period", *[F.lit(None).cast("string").alias(c) for c in ("unit", "version")])
     return distractors.forbidden(facts, targets, conds, absent)
@@ -80,7 +99,7 @@ def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDERED = f"""{RELATED}, w AS (SELECT * FROM (VALUES ('WRONG_VERSION', 0, 2), ('WRONG_UNIT', 1, 2), ('WRONG_SERIES_VARIANT', 2, 2), ('WRONG_PERIOD', 3, 3), ('WRONG_ENTITY', 4, 3), ('WRONG_FIELD', 5, 3), ('NEAR_MATCH_VALUE', 6, 2)) v(tier, r, weight)),
-i AS (SELECT target_id, record_id, tier, r, weight, row_number() OVER (PARTITION BY target_id, tier ORDER BY md5('distractors|' || target_id || '|' || record_id)) AS n FROM c JOIN w USING (tier)),
+i AS (SELECT target_id, record_id, tier, r, weight, row_number() OVER (PARTITION BY target_id, tier ORDER BY xor(('0x' || substr(md5('distractors|' || target_id), 1, 15))::BIGINT, ('0x' || substr(md5('distractors|' || record_id), 1, 15))::BIGINT), record_id) AS n FROM c JOIN w USING (tier)),
 o AS (SELECT target_id, record_id, tier, (n - 1) // weight AS cycle, (row_number() OVER (PARTITION BY target_id ORDER BY (n - 1) // weight, r, n))::INT AS position FROM i)"""
 
 
@@ -88,11 +107,7 @@ o AS (SELECT target_id, record_id, tier, (n - 1) // weight AS cycle, (row_number
 def tier_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted round-robin over the related tiers, the first 60 of each target (the limit is the feature)."""
     facts, targets = _targets(spark, sf_dir)
-    rank = F.create_map(*[F.lit(x) for kv in distractors.RANK.items() for x in kv])
-    weight = F.create_map(*[F.lit(x) for kv in distractors.TIERS.items() for x in kv])
-    c = distractors.related(facts, targets).withColumn("r", rank[F.col("tier")]).withColumn("weight", weight[F.col("tier")])
-    c = c.withColumn("h", core.order_key("distractors", F.col("target_id"), F.col("record_id")))
-    return selection.interleave(c, ["target_id"], "r", "weight", "h", limit=60).select("target_id", "record_id", "tier", "cycle", "position")
+    return distractors.interleaved(facts, targets, 60)
 
 
 @query("""WITH d AS (SELECT o_orderkey, 'R' || upper(substr(sha256('disp|orders_' || o_orderkey), 1, 6)) AS short, 'R' || upper(substr(sha256('disp|orders_' || o_orderkey), 1, 8)) AS long FROM orders)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +9,10 @@ from factloom.operators import selection
 from factloom.plans.registry import query
 from factloom.sources import tables
 from factloom.sources.envelope import read
+from factloom.sources.shared import shared_folder
 from factloom.streaming import log
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own where that is unset and
-    there is but one machine."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
-        named = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def stream_append_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6, 2.15: events as a stream that comes twice, appended once each."""

@@ -191,8 +191,9 @@ def gold_block(t: Tables) -> DataFrame:
 def _leaking(t: Tables, answerable: bool) -> DataFrame:
     """family_id, nominal, record_id of placed records that satisfy a condition of their family."""
     c = t["families"].filter(F.col("answerable") == answerable).select("family_id", F.explode("conditions").alias("c")).select("family_id", "c.*")
-    placed = t["placements"].filter("side <> 'gold'").join(t["facts"].select("record_id", *conditions.KEYS), "record_id").alias("f")
-    return placed.join(c.alias("c"), (F.col("f.family_id") == F.col("c.family_id")) & conditions.satisfied("f", "c")).select("f.family_id", "f.nominal", "f.record_id").distinct()
+    metadata = "metadata" in c.columns and "metadata" in t["facts"].columns
+    placed = t["placements"].filter("side <> 'gold'").join(t["facts"].select("record_id", *conditions.KEYS, *(["metadata"] if metadata else [])), "record_id").alias("f")
+    return placed.join(c.alias("c"), (F.col("f.family_id") == F.col("c.family_id")) & conditions.satisfied("f", "c", metadata=metadata)).select("f.family_id", "f.nominal", "f.record_id").distinct()
 
 
 @check("S", "unanswerable leakage")

@@ -99,6 +99,36 @@ def test_open_conditions_match_by_whatever_they_name(spark):
     assert got == want
 
 
+def test_conditions_ask_for_metadata(spark):
+    schema = "record_id string, entity_id string, concept string, period string, unit string, version string, metadata map<string,string>"
+    rows = [(f"r{i:02}", f"E{i % 3}", f"c{i % 2}", "p", "u", "v", None if i % 7 == 0 else {"basis": "real" if i % 2 else "nominal", "arm": str(i % 4)} | ({"none": None} if i % 5 == 0 else {})) for i in range(60)]
+    facts = spark.createDataFrame(rows, schema)
+    wanted = [
+        ("E1", None, {"basis": "real"}), ("E1", None, {"basis": "nominal", "arm": "2"}), (None, None, {"basis": "real"}), (None, "c1", {}), (None, None, {"missing": "x"}), ("E2", None, {"missing": None}), (None, None, {"basis": None}), (None, None, None), ("E1", None, {"basis": "real"}),
+    ]
+    conds = spark.createDataFrame([(str(k), e, c, None, None, None, m) for k, (e, c, m) in enumerate(wanted)], "target_id string, entity_id string, concept string, period string, unit string, version string, metadata map<string,string>")
+    got = sorted((r.condition.target_id, r.record_id) for r in conditions.matches(facts, conds).collect())
+    holds = lambda f, e, c, m: (e is None or f[1] == e) and (c is None or f[2] == c) and all((f[6] or {}).get(k) == v for k, v in (m or {}).items())
+    assert got == sorted((str(k), f[0]) for f in rows for k, w in enumerate(wanted) if holds(f, *w))
+    assert len({r for t, r in got if t == "0"}) < sum(f[1] == "E1" for f in rows)
+
+
+def test_conditions_plan_no_nested_loop(spark):
+    facts = spark.createDataFrame([("r", "E", "c", "p", "u", "v")], "record_id string, entity_id string, concept string, period string, unit string, version string")
+    plan = conditions.matches(facts, facts.withColumnRenamed("record_id", "target_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_candidates_of_targets_with_one_id_take_the_strongest_relation(spark):
+    rows = [(f"r{i:03}", "d", f"E{i % 20}", f"c{i % 3}", "u", f"CY{2000 + i % 10}", "v", float(i % 50)) for i in range(200)]
+    facts = spark.createDataFrame(rows, "record_id string, domain string, entity_id string, concept string, unit string, period string, version string, value double")
+    targets = facts.filter("record_id in ('r001', 'r002')").withColumn("target_id", F.lit("T"))
+    got = distractors.candidates(facts, targets, 150).collect()
+    assert len(got) == 150 and len({r.record_id for r in got}) == 150 and not {r.record_id for r in got} & {"r001", "r002"}
+    want = {r.record_id: r.tier for r in distractors.strongest(distractors.related(facts, targets)).collect()}
+    assert all(want.get(r.record_id, "OTHER_SAME_DOMAIN") == r.tier for r in got)
+
+
 def test_interleave_equals_round_robin(spark):
     import random
 
