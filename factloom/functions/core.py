@@ -137,6 +137,13 @@ def token_count(c: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(1), F.floor(F.char_length(x) / 4)))
 
 
+def count_tokens(text: str | None) -> int:
+    """token_count of one text, for code that runs within a group."""
+    import regex
+
+    return sum(max(1, len(x) // 4) for x in regex.findall(TOKEN.removeprefix("(?U)"), text or ""))
+
+
 def norm_text(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"\s+", " "))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import core
 from factloom.operators import conditions, distractors, selection
-from factloom.plans import packing
+from factloom.plans import audit, packing
 from factloom.plans.registry import query
 from factloom.sources import envelope
 from factloom.sources.envelope import FACTS_SQL, read
@@ -154,16 +154,45 @@ def cumulative_token_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "tokens", start.alias("start"), F.sum("tokens").over(w).alias("total"))
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates and gold of each target, with tokens and texts, and the texts of all facts."""
     facts, targets = _targets(spark, sf_dir)
     text = core.render_record(core.display_id("pack", F.col("record_id")), [(c, F.col(c)) for c in ("entity_id", "concept", "period", "unit", "value", "version")], [])
     texts = facts.select("record_id", text.alias("text")).withColumn("tokens", core.token_count(F.col("text")))
     chosen = distractors.candidates(facts, targets, max(LENGTHS) // 24 + 256, barred=_barred(facts, targets))
-    cand = chosen.join(texts.select("record_id", "tokens"), "record_id").select(F.col("target_id").alias("family_id"), "record_id", "position", "tokens")
-    gold = targets.select(F.col("target_id").alias("family_id"), "record_id", F.lit(0).alias("ord")).join(texts.select("record_id", "tokens"), "record_id")
+    cand = chosen.join(texts, "record_id").select(F.col("target_id").alias("family_id"), "record_id", "position", "tokens", "text")
+    question = F.concat(F.lit("What is the value of "), F.col("concept"), F.lit(" of "), F.col("entity_id"), F.lit(" on "), F.col("period"), F.lit("?"))
+    gold = targets.select(F.col("target_id").alias("family_id"), "record_id", F.lit(0).alias("ord"), question.alias("question")).join(texts, "record_id")
+    return cand, gold, texts
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cand, gold, texts = _pieces(spark, sf_dir)
     return packing.pack(cand, gold, LENGTHS), texts
 
 
+#: Tokens that a prompt may have: the instructions, the question and the context.
+PROMPT_BUDGET = 1500
+
+
+def plain_prompt(context: str, question: str) -> str:
+    """audit.prompt, for code that runs within a group."""
+    return f"<|system|>\n{audit.SYSTEM}\n<|user|>\n{context or ''}\n\nQuestion: {question or ''}\n<|assistant|>\n"
+
+
+@query()
+def pack_within_prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts whose rendered prompts keep within a budget lose records of their heavier side until they do. Each row has
+    the tokens of the context and of the prompt as they are counted again from the joined texts."""
+    cand, gold, texts = _pieces(spark, sf_dir)
+    packed = packing.pack(cand, gold, LENGTHS, fill=0.6, budget=PROMPT_BUDGET, count=core.count_tokens, prompt=plain_prompt)
+    joined = packed.join(texts.select("record_id", "text"), "record_id", "left").groupBy("family_id", "nominal", "status", F.col("tokens").alias("context_tokens"))
+    whole = joined.agg(F.count("text").alias("n_records"), F.array_join(F.array_sort(F.collect_list(F.struct("position", "text"))).getField("text"), "\n").alias("context"))
+    text = audit.prompt(F.col("context"), F.col("question"))
+    out = whole.join(gold.select("family_id", "question"), "family_id")
+    return out.select("family_id", "nominal", "status", "context_tokens", "n_records", F.when(F.col("status") == "OK", core.token_count(text)).alias("prompt_tokens"), F.when(F.col("status") == "OK", F.sha2("context", 256)).alias("context_sha256"))
+
+
 @query()
 def pack_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each target's packed contexts of three lengths, one row for each placed record."""

@@ -196,6 +196,79 @@ def test_growth_equals_brute_force_nests_and_centres():
     assert [s for _, s, *_ in packing.grow([], 200, [100], 0.5, 0.05, 0.9)] == ["PROMPT_BUDGET_EXCEEDED"]
 
 
+def brute_budget(sizes, gold, lengths, target, tolerance, fill, measure, budget):
+    """Growth and shrinking one record at a time, each time over whole lists."""
+    pending, before, after, ended, out = list(range(len(sizes))), [], [], False, []
+    weigh = lambda side: sum(sizes[i] for i in side)
+    for nominal in lengths:
+        if ended:
+            out.append((nominal, "POOL_EXHAUSTED", 0, [], 0))
+            continue
+        while True:
+            room, apart = nominal - gold - weigh(before) - weigh(after), abs(weigh(before) - weigh(after))
+            near = [i for i in pending[: packing.WINDOW] if sizes[i] <= room] or [i for i in pending if sizes[i] <= room][:1]
+            if not near:
+                break
+            best = min(near, key=lambda i: (abs(sizes[i] - apart), i))
+            pending.remove(best)
+            (before if weigh(before) <= weigh(after) else after).append(best)
+        for k, most in ((0, nominal), (1, budget)):
+            while measure(before[::-1], after)[k] > most and before + after:
+                side = before if before and (weigh(before) >= weigh(after) or not after) else after
+                pending.insert(0, side.pop())
+        tokens, prompt = measure(before[::-1], after)
+        off = tokens and abs((weigh(before) + gold / 2) / tokens - target) > tolerance + 1e-9
+        status = "PROMPT_BUDGET_EXCEEDED" if prompt > budget or tokens > nominal else "POOL_EXHAUSTED" if tokens < fill * nominal else "POSITION_TOLERANCE_UNSATISFIABLE" if off else "OK"
+        ended = status in ("PROMPT_BUDGET_EXCEEDED", "POOL_EXHAUSTED")
+        out.append((nominal, status, tokens, [*before[::-1], *after], len(before)) if status == "OK" else (nominal, status, tokens, [], 0))
+    return out
+
+
+def test_shrinking_under_a_prompt_budget_equals_brute_force():
+    import random
+
+    rng, seen = random.Random(9), set()
+    for _ in range(400):
+        sizes = [rng.randrange(1, rng.choice([5, 30, 90])) for _ in range(rng.randrange(0, 70))]
+        gold, apart = rng.randrange(0, 40), rng.choice([0, 1, 3])
+        calls = []
+
+        def measure(before, after):
+            calls.append(1)
+            whole = gold + sum(sizes[i] + apart for i in [*before, *after])  # more than the records' own tokens
+            return whole, whole + 25
+
+        args = sizes, gold, [100, 250, 500], 0.5, rng.choice([0.05, 0.3]), rng.choice([0.3, 0.8]), measure, rng.choice([60, 180, 300, 1000])
+        want, plain = brute_budget(*args), len(calls)
+        calls.clear()
+        got = list(packing.grow(*args))
+        assert got == want and len(calls) <= plain + 3 * 8  # a bisection each length, not a probe each record
+        seen |= {s for _, s, *_ in got}
+        for nominal, status, tokens, records, n in got:
+            assert status != "OK" or (tokens <= nominal and measure(records[:n], records[n:])[1] <= args[-1])
+    assert seen == {"OK", "POOL_EXHAUSTED", "PROMPT_BUDGET_EXCEEDED", "POSITION_TOLERANCE_UNSATISFIABLE"}
+
+
+def test_packs_keep_prompts_within_their_budget(spark):
+    rows = [("f", f"r{i:02}", i, core.count_tokens(t := f"record {i} holds value {i * 37}"), t) for i in range(60)]
+    cand = spark.createDataFrame(rows, "family_id string, record_id string, position int, tokens long, text string")
+    gold = spark.createDataFrame([("f", "g", 0, core.count_tokens("gold is 5"), "gold is 5", "What is gold?")], "family_id string, record_id string, ord int, tokens long, text string, question string")
+    prompt = lambda context, question: f"system text. {context} Question: {question}"
+    out = packing.pack(cand, gold, (60, 120), fill=0.5, tolerance=0.3, budget=90, count=core.count_tokens, prompt=prompt).collect()
+    texts = {r[1]: r[4] for r in rows} | {"g": "gold is 5"}
+    for nominal in (60, 120):
+        own = sorted((r for r in out if r.nominal == nominal), key=lambda r: r.position)
+        context = "\n".join(texts[r.record_id] for r in own)
+        assert own[0].status == "OK" and own[0].tokens == core.count_tokens(context) <= nominal and core.count_tokens(prompt(context, "What is gold?")) <= 90
+    assert {r.record_id for r in out if r.nominal == 60} <= {r.record_id for r in out if r.nominal == 120}
+
+
+def test_count_tokens_equals_its_column(spark):
+    texts = ["", "a b", "élan vital, 12.5%", "日本語テキスト", "x" * 30, "a_b-c\nd", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(core.token_count(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [core.count_tokens(t) for t in texts]
+
+
 def test_trimming_goes_in_turn_from_both_ends(spark):
     import random
 
