@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.plans import templates, validate
-from factloom.sources import adapters, tables
+from factloom.sources import adapters, payloads, tables
 
 
 def raw(spark, *payloads, url="u"):
@@ -69,6 +69,57 @@ def test_corrupt_payload_file_raises(spark, tmp_path):
     assert json.loads(adapters.raw_payloads(spark, str(tmp_path)).first().payload) == {"results": []}
 
 
+def write_envelopes(folder, *contents):
+    folder.mkdir(parents=True)
+    for k, payload in enumerate(contents):
+        (folder / f"p{k}.json").write_text(json.dumps({"request_url": f"u{k}", "retrieved_at": "t", "payload": payload}, indent=1))
+
+
+def test_payload_source_reads_whole_files_and_lines(spark, tmp_path, monkeypatch):
+    write_envelopes(tmp_path / "fda" / "deep", {"results": []}, "a,b\n1,2", [1, {"x": None}])
+    (tmp_path / "fda" / "_SUCCESS").write_text("")
+    got = {r.request_url: r.payload for r in payloads.raw(spark, str(tmp_path / "fda")).collect()}
+    assert json.loads(got["u0"]) == {"results": []} and got["u1"] == "a,b\n1,2" and json.loads(got["u2"]) == [1, {"x": None}]
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "part-0.txt").write_text("\n".join(json.dumps({"request_url": f"u{k}", "retrieved_at": "t", "payload": "é" * 90_000}) for k in range(30)) + "\n\n")
+    rows = payloads.raw(spark, f"file:{lines}", lines=True).collect()
+    assert sorted(r.request_url for r in rows) == sorted(f"u{k}" for k in range(30)) and {r.payload for r in rows} == {"é" * 90_000} and len({r.path for r in rows}) == 30
+    reader = payloads.PayloadReader({"path": str(tmp_path / "fda")})
+    assert [len(b.files) for b in reader.partitions()] == [3]
+    monkeypatch.setattr(payloads, "BUNDLE", 1)
+    assert [len(b.files) for b in reader.partitions()] == [1, 1, 1]
+    (tmp_path / "none").mkdir()
+    assert payloads.raw(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="no payloads"):
+        payloads.raw(spark, str(tmp_path / "missing")).collect()
+
+
+def test_payload_source_names_a_corrupt_file(spark, tmp_path):
+    write_envelopes(tmp_path / "fda", {"results": []})
+    (tmp_path / "fda" / "bad.json").write_text("{not json at all")
+    with pytest.raises(Exception, match="corrupt raw payload .*bad.json"):
+        payloads.load(spark, str(tmp_path), "FDA").collect()
+
+
+def test_registry_and_gates(spark, tmp_path):
+    assert payloads.available() == ["CLINICAL_TRIALS", "FDA", "FRED", "SEC", "WORLD_BANK"]
+    write_envelopes(tmp_path / "sec", company(1))
+    with pytest.raises(PermissionError, match="contact"):
+        payloads.load(spark, str(tmp_path), "SEC")
+    with pytest.raises(PermissionError, match="catalog"):
+        payloads.load(spark, str(tmp_path), "FRED")
+    with pytest.raises(KeyError, match="no adapter of domain X"):
+        payloads.load(spark, str(tmp_path), "X")
+    assert payloads.load(spark, str(tmp_path), "SEC", contact="a@b.c", concepts=("Revenues",)).count() == 5
+    payloads.register("OWN", lambda raw, **_: raw.select("payload"))
+    try:
+        write_envelopes(tmp_path / "own", "x")
+        assert payloads.load(spark, str(tmp_path), "OWN").first().payload == "x"
+    finally:
+        del payloads.REGISTRY["OWN"]
+
+
 @pytest.mark.parametrize("name", list(templates.TEMPLATES))
 def test_every_template_yields_families(facts, name):
     rows = templates.TEMPLATES[name][2](facts, 3, "s").collect()
