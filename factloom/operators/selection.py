@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.core import order_key
+from factloom.sources.shared import kept
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in the given order; order must leave no ties to be the same at every run."""
@@ -139,3 +144,75 @@ def agreement(old: DataFrame, new: DataFrame, keys: list[str], before: str, afte
     """by, n, agree, lost, won: outcomes of two runs on the keys that both have."""
     both, a, b = old.join(new, keys), F.col(before), F.col(after)
     return both.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a == b).alias("agree"), F.count_if(a & ~b).alias("lost"), F.count_if(~a & b).alias("won"))
+
+
+def positions(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df with position, from 1, in the given order; order must leave no ties to be the same at every run.
+
+    Rows are sorted in ranges, numbered within theirs, and moved on by the number of rows in the ranges before, of which
+    there is one count each: no task sees more than a range. The sorted rows are written once."""
+    at = F.monotonically_increasing_id()  # the partition in the upper bits, the place within it in the lower 33
+    placed = kept(df.orderBy(*order).select("*", at.alias("_at")))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    n = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = n.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
+    return placed.join(F.broadcast(before), part == F.col("_part")).select(*df.columns, (place + F.col("_before") + 1).alias("position"))
+
+
+def unique_ids(df: DataFrame, key: str, seed: str, digits: int = 10, step: int = 2, most: int = 64) -> DataFrame:
+    """key and unique_id of each key of df: R and so many digits of its SHA-256 that no smaller key has the same id; an error
+    where most digits don't do. Only keys that still collide are looked at again."""
+    digest = F.upper(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"), 256))
+    left, out = df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_h", digest), None
+    while True:
+        if digits > most:
+            raise ValueError(f"ids of {most} digits still collide")
+        rank = F.row_number().over(Window.partitionBy(F.substring("_h", 1, digits)).orderBy(key))
+        ranked = kept(left.withColumn("_r", rank))
+        own = ranked.filter("_r = 1").select(key, F.concat(F.lit("R"), F.substring("_h", 1, digits)).alias("unique_id"))
+        out, left = own if out is None else out.unionByName(own), ranked.filter("_r > 1").drop("_r")
+        if left.isEmpty():
+            return out
+        digits += step
+
+
+def coverage_sample(df: DataFrame, key: str, kind: str, domain: str, answerable: str, total: int, seed: str, least: int = 2) -> DataFrame:
+    """key, pick: total rows, coverage first and balance second. In seeded order one row of every kind is picked, then one of
+    every domain without any, then rows that can't be answered until there are least; the rest, by turns, are of the
+    domain and kind picked least so far (their sum, then the kind), the smallest key first. Rows without a key are left out.
+
+    All of this asks for no more than total rows of each stratum (kind, domain, answerable) in either order, which Spark
+    picks; only those come to the driver."""
+    h = order_key(seed, F.col(key))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(domain).alias("domain"), F.coalesce(F.col(answerable), F.lit(False)).alias("ok"), h.alias("h"))
+    strata = ["kind", "domain", "ok"]
+    some = top_by(rows, strata, total, "h", "key").unionByName(top_by(rows, strata, 2 * total, "key")).distinct().collect()
+    groups: dict[tuple, list] = {}
+    for r in some:
+        groups.setdefault((r.kind, r.domain, r.ok), []).append(r)
+    by_hash = {g: sorted(rs, key=lambda r: (r.h, r.key)) for g, rs in groups.items()}
+    by_key = {g: sorted(rs, key=lambda r: r.key) for g, rs in groups.items()}
+    used: dict = {}
+
+    def first(ordered: dict, wanted, cost) -> bool:
+        """Picks the unused row of least cost among the strata that are wanted."""
+        best = min((x for g, rs in ordered.items() if wanted(*g) for x in ((cost(g, r), g, r) for r in rs if r.key not in used)), key=lambda x: x[0], default=None)
+        if best is None or len(used) >= total:
+            return False
+        used[best[2].key] = best[1]
+        return True
+
+    text = lambda v: (v is not None, str(v))
+    seeded = lambda g, r: (r.h, r.key)
+    for k in sorted({g[0] for g in groups}, key=text):
+        first(by_hash, lambda kind, domain, ok, k=k: kind == k, seeded)
+    for d in sorted({g[1] for g in groups}, key=text):
+        if d not in {g[1] for g in used.values()}:
+            first(by_hash, lambda kind, domain, ok, d=d: domain == d, seeded)
+    while sum(not g[2] for g in used.values()) < least and first(by_hash, lambda kind, domain, ok: not ok, seeded):
+        pass
+    while True:
+        kinds, domains = Counter(g[0] for g in used.values()), Counter(g[1] for g in used.values())
+        if not first(by_key, lambda *g: True, lambda g, r: (domains[g[1]] + kinds[g[0]], kinds[g[0]], r.key)):
+            break
+    return df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(used, 1)], f"{key} {df.schema[key].dataType.simpleString()}, pick int")

@@ -6,6 +6,7 @@ of fixed size come to the driver."""
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.core import rank_key
 from factloom.operators.selection import few_values
 
 
@@ -89,23 +91,61 @@ def holm(df: DataFrame, p: str, keys: list[str] | None = None) -> DataFrame:
     return r.withColumn("_s", step).withColumn("p_holm", F.when(F.col(p).isNotNull(), F.max("_s").over(at.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)))).drop("_r", "_m", "_s")
 
 
-def bootstrap(df: DataFrame, cluster: str, condition: str, outcome: Column, reps: int, seed: str = "boot", buckets: int = 1000) -> DataFrame:
+# Multipliers and increment of the splitmix64 generator.
+MIX, GOLDEN = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), 0x9E3779B97F4A7C15
+#: The upper 32 bits from which on a Poisson(1) draw is 1, 2 and so on, up to 8.
+EDGES = [math.ceil(e * 2**32) for e in accumulate(math.exp(-1) / math.factorial(k) for k in range(8))]
+#: Clusters of a partition, and repetitions of a block, in bootstraps.
+CLUSTERS, BLOCK = 20_000, 500
+
+
+def poisson_draws(keys: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """Poisson(1) draws of each key in each repetition, from the counter key + rep * GOLDEN mixed to 64 bits: its upper half
+    against the distribution's sums. No state, so draws are the same wherever they are made."""
+    x = keys.astype(np.uint64)[:, None] + reps.astype(np.uint64)[None, :] * np.uint64(GOLDEN)
+    for shift, factor in zip((30, 27), MIX):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros(u.shape, np.uint8)
+    for edge in EDGES:
+        out += u >= np.uint32(edge)
+    return out
+
+
+def bootstrap(df: DataFrame, cluster: str, condition: str, outcome: Column, reps: int = 10_000, seed: str = "boot") -> DataFrame:
     """condition, rate, low, high: percentile interval of the rate under resampling of clusters.
 
-    A cluster's number of draws in a repetition is Poisson(1) by its hash (the limit of the multinomial draw for many
+    A cluster's number of draws in a repetition is Poisson(1) by its key (the limit of the multinomial draw for many
     clusters), so repetitions need no list of clusters and each cluster's row is drawn where it lies. Clusters are first
-    summed by condition, and repetitions are summed before the shuffle."""
-    own = df.groupBy(cluster, condition).agg(F.count("*").alias("den"), F.count_if(outcome).alias("num"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col(cluster).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    draws, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 9):
-        total += term
-        draws = draws + F.when(u >= total, 1).otherwise(0)
-        term /= k
-    drawn = own.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", draws).filter("w > 0")
-    each = drawn.groupBy(condition, "rep").agg((F.sum(F.col("num") * F.col("w")) / F.sum(F.col("den") * F.col("w"))).alias("rate"))
+    summed by condition; a task multiplies the matrices of its clusters' sums and draws, a block of repetitions at a
+    time, and gives a row for each condition and repetition. Rows without a cluster or a condition are left out."""
+    own = df.filter(F.col(cluster).isNotNull() & F.col(condition).isNotNull()).groupBy(cluster, condition).agg(F.count("*").alias("den"), F.count_if(outcome).alias("num"))
+    keyed = own.select(F.col(condition).cast("string").alias("condition"), rank_key(seed, F.col(cluster)).alias("key"), "den", "num")
+
+    def run(batches):
+        held = [batch.to_pandas() for batch in batches]
+        if not held:
+            return
+        pdf = pd.concat(held)
+        names, at = np.unique(pdf["condition"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        keys, place = np.unique(pdf["key"].to_numpy(), return_inverse=True)
+        sums = np.zeros((2 * len(names), len(keys)))
+        np.add.at(sums, (2 * at, place), pdf["num"].to_numpy(np.float64))
+        np.add.at(sums, (2 * at + 1, place), pdf["den"].to_numpy(np.float64))
+        for first in range(0, reps, BLOCK):
+            numbers = np.arange(first, min(first + BLOCK, reps))
+            out = np.zeros((len(sums), len(numbers)))
+            for i in range(0, len(keys), 2048):
+                out += sums[:, i : i + 2048] @ poisson_draws(keys[i : i + 2048], numbers).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, len(numbers)).tolist(), pa.string()), pa.array(np.tile(numbers, len(names)), pa.int32()), pa.array(out[0::2].ravel()), pa.array(out[1::2].ravel())], ["condition", "rep", "num", "den"])
+
+    spark = df.sparkSession
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.select("key").distinct().count() // CLUSTERS)))
+    drawn = keyed.repartition(parts, "key").mapInArrow(run, "condition string, rep int, num double, den double")
+    each = drawn.groupBy("condition", "rep").agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0.0))).alias("rate"))
+    ends = each.groupBy(F.col("condition").alias("_name")).agg(F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"))
     point = own.groupBy(condition).agg((F.sum("num") / F.sum("den")).alias("rate"))
-    return each.groupBy(condition).agg(F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high")).join(point, condition).select(condition, "rate", "low", "high")
+    return point.join(ends, F.col(condition).cast("string") == F.col("_name"), "left").select(condition, "rate", "low", "high")
 
 
 def transitions(df: DataFrame, cluster: str, rank: str, outcome: Column, ladder: int) -> DataFrame:
@@ -133,15 +173,22 @@ def ols(df: DataFrame, y: Column, xs: dict[str, Column]) -> dict[str, float]:
     return dict(zip(names, beta.tolist())) | {"r2": float(1 - rest / (at("y", "y") - sy**2 / n)), "n": float(n)}
 
 
-def gee_logit(df: DataFrame, cluster: str, y: str, xs: list[str], exchangeable: bool = True, steps: int = 25, tol: float = 1e-8) -> pd.DataFrame:
-    """name, coef, se, z, p, odds_ratio, low, high: logistic GEE with sandwich errors.
+def gee_logit(df: DataFrame, cluster: str, y: str, xs: list[str], exchangeable: bool = True, steps: int = 50, tol: float = 1e-8) -> pd.DataFrame:
+    """name, coef, se, z, p, odds_ratio, low, high: logistic GEE with sandwich errors; attrs has alpha (the common
+    correlation), scale, converged and separated (names).
 
     Rows stand sorted by cluster; each step sums the clusters' score and information matrices in segments of batches, and
-    then over tasks in Spark; a few numbers come to the driver, which takes the Newton step and updates the common correlation."""
+    then over tasks in Spark; a few numbers come to the driver, which takes the Newton step and updates the common
+    correlation: products of residuals, over pairs less the number of coefficients and over the scale (squared residuals
+    over rows less the coefficients).
+
+    Where data don't tell a coefficient (a group whose outcomes are all alike, columns that depend on each other) the
+    information has a direction of next to nothing: all coefficients with a part in it are null, the others keep their
+    values. A fit that has not settled after steps gives nulls alone."""
     names, k = ["intercept", *xs], len(xs) + 1
     data = df.select(F.xxhash64(cluster, F.col(cluster).cast("string")).alias("_c"), F.col(y).cast("double").alias("_y"), *[F.col(f"`{x}`").cast("double").alias(x) for x in xs]).dropna()
     data = data.repartition("_c").sortWithinPartitions("_c").persist()
-    size = k + 2 * k * k + 3
+    size = k + 2 * k * k + 4
 
     def sums(beta: np.ndarray, alpha: float) -> np.ndarray:
         def add(c: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -156,7 +203,7 @@ def gee_logit(df: DataFrame, cluster: str, y: str, xs: list[str], exchangeable:
             share = alpha / (1 + (n - 1) * alpha)
             inner = lambda z: (z - np.repeat(share[:, None] * total(z), n, axis=0)) / (1 - alpha)
             u = total(w * inner(e[:, None]))
-            return np.concatenate([u.sum(axis=0), (w.T @ inner(w)).ravel(), (u.T @ u).ravel(), [(total(e) ** 2 - total(e * e)).sum() / 2, (n * (n - 1)).sum() / 2, len(c)]])
+            return np.concatenate([u.sum(axis=0), (w.T @ inner(w)).ravel(), (u.T @ u).ravel(), [(total(e) ** 2 - total(e * e)).sum() / 2, (n * (n - 1)).sum() / 2, len(c), (e * e).sum()]])
 
         def run(batches):
             held, out = None, np.zeros(size)
@@ -176,26 +223,52 @@ def gee_logit(df: DataFrame, cluster: str, y: str, xs: list[str], exchangeable:
         each = data.mapInArrow(run, ", ".join(f"c{i} double" for i in range(size)))
         return np.array(each.agg(*[F.sum(f"c{i}") for i in range(size)]).first(), float)
 
-    beta, alpha = np.zeros(k), 0.0
+    beta, alpha, scale, converged, known = np.zeros(k), 0.0, 1.0, False, np.ones(k, bool)
     try:
         for _ in range(steps):
             s = sums(beta, alpha)
-            step = np.linalg.solve(s[k : k + k * k].reshape(k, k), s[:k])
-            now = float(np.clip(s[-3] / max(s[-2], 1), -0.9, 0.95)) if exchangeable else alpha
-            beta, moved, alpha = beta + step, max(np.abs(step).max(), abs(now - alpha)), now
-            if moved < tol:
+            info, pairs, n = s[k : k + k * k].reshape(k, k), s[-3], s[-2]
+            known, inverse = identified(info)
+            step = inverse @ s[:k]
+            scale = s[-1] / max(n - k, 1)
+            # Correlations below -1 / (m - 1) are none for clusters of m rows.
+            now = float(np.clip(s[-4] / scale / max(pairs - k, 1), -0.9, 0.95)) if exchangeable and scale > 0 and pairs > k else 0.0
+            beta = np.clip(beta + step, -LARGE, LARGE)
+            known = known & (np.abs(beta) < LARGE)
+            moved, alpha = max(np.abs(step[known]).max(initial=0), abs(now - alpha)), now
+            if moved < tol or n == 0:
+                converged = n > 0
                 break
         s = sums(beta, alpha)
     finally:
         data.unpersist()
-    bread = np.linalg.inv(s[k : k + k * k].reshape(k, k))
-    se = np.sqrt(np.diag(bread @ s[k + k * k : k + 2 * k * k].reshape(k, k) @ bread))
-    z = beta / se
-    out = pd.DataFrame({"name": names, "coef": beta, "se": se, "z": z, "p": [math.erfc(abs(x) / math.sqrt(2)) for x in z], "odds_ratio": np.exp(beta), "low": np.exp(beta - 1.959963984540054 * se), "high": np.exp(beta + 1.959963984540054 * se)})
-    out.attrs.update(alpha=alpha, covariance=(bread @ s[k + k * k : k + 2 * k * k].reshape(k, k) @ bread))
+    known, bread = identified(s[k : k + k * k].reshape(k, k))
+    known = known & (np.abs(beta) < LARGE) & converged
+    covariance = bread @ s[k + k * k : k + 2 * k * k].reshape(k, k) @ bread
+    se = np.sqrt(np.maximum(np.diag(covariance), 0))
+    known = known & (se > 0) & np.isfinite(se)
+    z = np.divide(beta, se, out=np.zeros(k), where=known)
+    with np.errstate(over="ignore"):
+        columns = {"coef": beta, "se": se, "z": z, "p": np.array([math.erfc(abs(x) / math.sqrt(2)) for x in z]), "odds_ratio": np.exp(beta), "low": np.exp(beta - 1.959963984540054 * se), "high": np.exp(beta + 1.959963984540054 * se)}
+    out = pd.DataFrame({"name": names} | {c: pd.Series([float(x) if ok else None for x, ok in zip(v, known)], dtype=float if known.all() else object) for c, v in columns.items()})
+    out.attrs.update(alpha=alpha, scale=scale, covariance=covariance, converged=bool(converged), separated=[n for n, ok in zip(names, known) if not ok])
     return out
 
 
+#: Coefficients of this size mean odds that no data tell; directions of less than FLAT of the information's greatest one are none.
+LARGE, FLAT = 15.0, 1e-7
+
+
+def identified(info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which coefficients the information tells, its inverse over the directions that it has)."""
+    own = np.sqrt(np.maximum(np.diag(info), 1e-300))
+    values, vectors = np.linalg.eigh(info / np.outer(own, own))  # of one scale, so that rare groups aren't taken for none
+    kept = values > FLAT * max(values.max(initial=0), 1e-300)
+    told = (np.abs(vectors[:, ~kept]) < 1e-3).all(axis=1) & (own**2 > FLAT * (own**2).max(initial=0))
+    half = vectors[:, kept] / np.sqrt(values[kept])
+    return told, (half @ half.T) / np.outer(own, own)
+
+
 def dummies(df: DataFrame, column: str, base, values: list | None = None) -> tuple[DataFrame, list[str]]:
     """df with a 0/1 column for each value but base of a column of few values, and their names."""
     values = [v for v in (few_values(df, column) if values is None else values) if v is not None and v != base]
@@ -236,9 +309,13 @@ def chi2_sf(x: float, df: int) -> float:
     return lead * h
 
 
-def wald(fit: pd.DataFrame, names: list[str]) -> tuple[float, int, float]:
-    """(chi-squared, degrees of freedom, p) of the joint test that the named coefficients are zero."""
-    at = [fit["name"].tolist().index(n) for n in names]
-    b, cov = fit["coef"].to_numpy()[at], fit.attrs["covariance"][np.ix_(at, at)]
-    chi = float(b @ np.linalg.solve(cov, b))
-    return chi, len(at), chi2_sf(chi, len(at))
+def wald(fit: pd.DataFrame, names: list[str]) -> tuple[float | None, int, float | None]:
+    """(chi-squared, degrees of freedom, p) of the joint test that the named coefficients are zero; of those that the data
+    tell nothing about it has nothing to say, and without any others it is null."""
+    at = [i for i in (fit["name"].tolist().index(n) for n in names) if fit["coef"].iloc[i] is not None]
+    if not at:
+        return None, 0, None
+    b, cov = fit["coef"].to_numpy()[at].astype(float), fit.attrs["covariance"][np.ix_(at, at)]
+    chi = float(b @ np.linalg.pinv(cov, hermitian=True) @ b)
+    rank = int(np.linalg.matrix_rank(cov, hermitian=True))
+    return chi, rank, chi2_sf(chi, rank)

@@ -151,16 +151,19 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.holm(_paired(spark, sf_dir), "p").select("event_type", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
 
 
-_POISSON = [1 - sum(0.36787944117144233 / f for f in fs) for fs in ([1], [1, 1], [1, 1, 2], [1, 1, 2, 6], [1, 1, 2, 6, 24], [1, 1, 2, 6, 24, 120], [1, 1, 2, 6, 24, 120, 720], [1, 1, 2, 6, 24, 120, 720, 5040])]
-_DRAWS = " + ".join(f"(u >= {1 - q!r})::INT" for q in _POISSON)
+_WRAP = 1 << 64
+_STEPS = [f"x1 AS (SELECT event_type, rep, num, den, (key::UHUGEINT + rep::UHUGEINT * {stats.GOLDEN}) % {_WRAP} AS x0 FROM c, range(0, 10000) r(rep))"]
+for _i, (_shift, _factor) in enumerate(zip((30, 27), stats.MIX)):
+    _STEPS.append(f"x{_i + 2} AS (SELECT event_type, rep, num, den, (xor(x{_i}, x{_i} >> {_shift}) * {_factor}) % {_WRAP} AS x{_i + 1} FROM x{_i + 1})")
 
 
-@query(f"""WITH {SCORED}, d AS (SELECT event_type, rep, bad, {_DRAWS} AS w FROM (SELECT s.*, rep, ('0x' || substr(md5('boot|' || rep || '|' || user_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM scored s, range(0, 200) r(rep))),
-e AS (SELECT event_type, rep, sum(bad::INT * w) / sum(w) AS rate FROM d GROUP BY ALL HAVING sum(w) > 0)
-SELECT event_type, (SELECT avg(bad::INT) FROM scored s WHERE s.event_type = e.event_type) AS rate, quantile_cont(rate, 0.025) AS low, quantile_cont(rate, 0.975) AS high FROM e GROUP BY 1""")
+@query(f"""WITH {SCORED}, c AS (SELECT event_type, ('0x' || substr(md5('boot|' || user_id), 1, 15))::BIGINT AS key, count_if(bad) AS num, count(*) AS den FROM scored GROUP BY event_type, user_id), {', '.join(_STEPS)},
+d AS (SELECT event_type, rep, num, den, xor(x2, x2 >> 31) >> 32 AS u FROM x3), w AS (SELECT event_type, rep, num, den, {' + '.join(f'(u >= {e})::INT' for e in stats.EDGES)} AS w FROM d),
+e AS (SELECT event_type, rep, sum(num * w) / nullif(sum(den * w), 0) AS rate FROM w GROUP BY ALL)
+SELECT event_type, (SELECT sum(num) / sum(den) FROM c WHERE c.event_type = e.event_type) AS rate, quantile_cont(rate, 0.025) AS low, quantile_cont(rate, 0.975) AS high FROM e GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster bootstrap of rates, 200 repetitions."""
-    return stats.bootstrap(_scored(spark, sf_dir), "user_id", "event_type", F.col("bad"), 200)
+    """Cluster bootstrap of rates, 10,000 repetitions."""
+    return stats.bootstrap(_scored(spark, sf_dir), "user_id", "event_type", F.col("bad"))
 
 
 @query(f"""WITH {SCORED}, k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS r FROM {TYPES}), s AS (SELECT u.user_id, string_agg(coalesce(s.bad::INT::VARCHAR, '-'), '' ORDER BY k.r) AS states FROM (SELECT DISTINCT user_id FROM scored) u CROSS JOIN k LEFT JOIN scored s ON s.user_id = u.user_id AND s.event_type = k.event_type GROUP BY 1)
@@ -222,11 +225,13 @@ def gee_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir)
     types = selection.few_values(s, "event_type")
     d = s.select("user_id", F.col("bad").cast("double").alias("y"), F.array_position(F.array(*map(F.lit, types)), F.col("event_type")).cast("double").alias("rank"))
-    return spark.createDataFrame(stats.gee_logit(d, "user_id", "y", ["rank"]))
+    fit = stats.gee_logit(d, "user_id", "y", ["rank"])
+    return spark.createDataFrame([tuple(r) for r in fit.itertuples(index=False)], "name string, " + ", ".join(f"{c} double" for c in fit.columns[1:]))
 
 
 def _with_wald(spark: SparkSession, fit, names: list[str]) -> DataFrame:
-    """A fit's rows, and one for the joint test of the named coefficients: chi-squared as coef, its freedom as se."""
+    """A fit's rows, and one for the joint test of the named coefficients: chi-squared as coef, its freedom as se. What the
+    data don't tell is null."""
     chi, freedom, p = stats.wald(fit, names)
     rows = [(r.name, r.coef, r.se, r.p) for r in fit[["name", "coef", "se", "p"]].itertuples(index=False)]
     return spark.createDataFrame([*rows, ("joint", chi, float(freedom), p)], "name string, coef double, se double, p double")

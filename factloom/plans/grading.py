@@ -156,14 +156,63 @@ def _scan(text: str) -> tuple[str | None, str | None]:
     return first, None if inside or broken or not 0 < len(open_) <= CLOSERS else text + "".join(reversed(open_))
 
 
+def _strict(text: Column) -> Column:
+    """What recover gives for a response that plainly is an object of the right shape, else null: of one pair of braces, with a
+    text or null as answer, a list of texts as evidence, fewer than LISTED ids, and nothing that only one of two JSON
+    parsers takes."""
+    v = F.try_parse_json(text)
+    kind = lambda field: F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+    get = lambda field, kind: F.try_variant_get(v, f"$.{field}", kind)
+    shaped = kind("answer").isin("STRING", "VOID") & kind("selected_evidence").isin("ARRAY<STRING>", "ARRAY<VOID>") & (kind("insufficient_evidence") == "BOOLEAN")
+    plain = text.rlike(r"^\{[^{}]*\}$") & (F.size(F.regexp_extract_all(text, F.lit(SHOWN_ID.pattern), F.lit(1))) < LISTED)
+    whole = F.struct(get("answer", "string").alias("answer"), get("selected_evidence", "array<string>").alias("selected_evidence"), get("insufficient_evidence", "boolean").alias("insufficient_evidence"), F.lit("strict").alias("method"), F.lit(False).alias("degenerate"))
+    return F.when(F.coalesce(plain & shaped, F.lit(False)), whole)
+
+
 def recovered(raw: Column) -> Column:
-    """recover as an Arrow-batched UDF: a balanced scan has no native form."""
+    """recover: plain objects in the JVM, as VARIANT; what is left in Arrow batches, as a balanced scan has no native form."""
 
     @F.pandas_udf(JSON_SCHEMA)
-    def run(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([recover(v) for v in x], columns=["answer", "selected_evidence", "insufficient_evidence", "method", "degenerate"])
+    def run(x: pd.Series, skip: pd.Series) -> pd.DataFrame:
+        none = dict.fromkeys(("answer", "selected_evidence", "insufficient_evidence", "method", "degenerate"))
+        return pd.DataFrame([none if s else recover(v) for v, s in zip(x, skip)], columns=list(none), dtype=object)
+
+    strict = _strict(F.trim(raw))
+    left = strict.isNull()
+    return F.coalesce(strict, run(F.when(left, raw), ~left))
 
-    return run(raw)
+
+def structure_checks(joined: DataFrame, limit: int = 512) -> DataFrame:
+    """joined (raw_output_text, question_type, generated_tokens) with what a response's form tells: r (see recovered), usable,
+    hit_limit, missing_answer_field, answer_first, expected_evidence, n_selected, repeated_evidence, evidence_violation.
+
+    The number of records that a rule asks for: none of an abstention, two of a calculation, else one. More than two, one
+    of them twice, or another number is a violation; of a response that can't be used nothing is expected."""
+    raw = F.coalesce("raw_output_text", F.lit(""))
+    df = joined.withColumn("r", recovered(F.col("raw_output_text")))
+    usable, chosen = F.col("r.method").isNotNull(), F.coalesce("r.selected_evidence", F.array().cast("array<string>"))
+    abstains = F.coalesce("r.insufficient_evidence", F.lit(False)) | F.coalesce(F.col("r.answer") == "INSUFFICIENT_EVIDENCE", F.lit(False))
+    expected = F.when(usable, F.when(abstains, 0).when(F.col("question_type") == "RETRIEVAL_CALCULATION", 2).otherwise(1))
+    repeated = usable & (F.size(chosen) != F.size(F.array_distinct(chosen)))
+    return df.withColumns({
+        "usable": usable, "hit_limit": F.coalesce(F.col("generated_tokens") == limit, F.lit(False)), "missing_answer_field": ~raw.contains('"answer"'), "answer_first": F.ltrim(raw).startswith('{"answer"') | F.ltrim(raw).startswith('{\n  "answer"'),
+        "expected_evidence": expected, "n_selected": F.size(chosen), "repeated_evidence": repeated, "evidence_violation": usable & ((F.size(chosen) != expected) | (F.size(chosen) > 2) | repeated),
+    })
+
+
+def format_transitions(results: DataFrame, family: str, label: str, labels: list[str], failed: Column) -> DataFrame:
+    """How each family's responses fail along a ladder of labels, shortest first: one row a family, with whether it fails or
+    succeeds at every label, succeeds at the first and fails later, the first failure, and the labels of either kind. A
+    label without a result is of neither kind."""
+    at = F.array_position(F.array(*map(F.lit, labels)), F.col(label))
+    rungs = results.filter(F.col(label).isin(*labels)).groupBy(family, label).agg(F.bool_or(failed).alias("failed"))
+    x = rungs.groupBy(family).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(label).alias("label"), "failed"))).alias("x"))
+    names = lambda want: F.transform(F.filter("x", lambda s: s["failed"] == want), lambda s: s["label"])
+    bad, good = names(True), names(False)
+    return x.select(
+        family, (F.size(good) == len(labels)).alias("success_everywhere"), (F.size(bad) == len(labels)).alias("fails_everywhere"), (F.array_contains(good, labels[0]) & (F.size(bad) > 0)).alias("short_success_long_failure"),
+        F.get(bad, F.lit(0)).alias("first_failure"), F.array_join(bad, ";").alias("failures"), F.array_join(good, ";").alias("usable"),
+    )
 
 
 def grade_structured(joined: DataFrame) -> DataFrame:

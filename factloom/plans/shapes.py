@@ -286,6 +286,23 @@ def execution_order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", core.order_key("run", F.col("o_orderkey")).alias("h"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5('run|' || o_orderkey), o_orderkey) AS position FROM orders")
+def execution_order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's place in the seeded order of a run."""
+    return selection.positions(read(spark, sf_dir, "orders").select("o_orderkey"), core.order_key("run", F.col("o_orderkey")), "o_orderkey")
+
+
+def _longer(k: int) -> str:
+    """Ids of 2 + 2k digits: of those still open the first of each takes it, the others go on."""
+    return f"i{k} AS (SELECT id, substr(h, 1, {2 + 2 * k}) AS p, row_number() OVER (PARTITION BY substr(h, 1, {2 + 2 * k}) ORDER BY id) AS r FROM d WHERE id IN ({'SELECT id FROM d' if k == 0 else f'SELECT id FROM i{k - 1} WHERE r > 1'}))"
+
+
+@query(f"WITH d AS (SELECT o_orderkey AS id, upper(sha256('disp|' || o_orderkey)) AS h FROM orders), {', '.join(map(_longer, range(8)))} " + " UNION ALL ".join(f"SELECT id AS o_orderkey, 'R' || p AS display_id FROM i{k} WHERE r = 1" for k in range(8)))
+def unique_display_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opaque ids of two digits, two more for whatever still collides, again and again."""
+    return selection.unique_ids(read(spark, sf_dir, "orders"), "o_orderkey", "disp", digits=2).withColumnRenamed("unique_id", "display_id")
+
+
 @query("SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 ORDER BY min(l_orderkey * 10 + l_linenumber), 1 LIMIT 10)")
 def first_groups_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of the first ten groups in order of encounter (the limit is the feature)."""

@@ -129,6 +129,100 @@ def test_candidates_of_targets_with_one_id_take_the_strongest_relation(spark):
     assert all(want.get(r.record_id, "OTHER_SAME_DOMAIN") == r.tier for r in got)
 
 
+def test_unique_ids_lengthen_until_they_are(spark, monkeypatch):
+    import hashlib
+
+    keys = [f"k{i:04}" for i in range(900)]
+    got = {r.k: r.unique_id for r in selection.unique_ids(spark.createDataFrame([(k,) for k in keys + keys[:5] + [None]], "k string"), "k", "s", digits=2).collect()}
+    want: dict = {}
+    for k in keys:
+        h, n = hashlib.sha256(f"s|{k}".encode()).hexdigest().upper(), 2
+        while f"R{h[:n]}" in want.values():
+            n += 2
+        want[k] = f"R{h[:n]}"
+    assert got == want and len({len(v) for v in want.values()}) >= 3  # some collide twice
+    with pytest.raises(ValueError):
+        selection.unique_ids(spark.createDataFrame([(k,) for k in keys], "k string"), "k", "s", digits=2, most=2)
+
+
+def test_positions_number_all_ranges(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7)
+    got = selection.positions(df, F.col("x").desc()).collect()
+    assert {(r.x, r.position) for r in got} == {(999 - i, i + 1) for i in range(1000)} and selection.positions(df.limit(0), "x").count() == 0
+
+
+def test_coverage_comes_before_balance(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(8)
+    for n, total in ((400, 14), (30, 40), (300, 3)):
+        rows = [(f"f{i:03}", rng.choice("abbbbbcdd"), rng.choice(["x"] * 8 + ["y", "z"]), rng.random() > 0.1) for i in range(n)]
+        got = {r.pick: r.f for r in selection.coverage_sample(spark.createDataFrame(rows, "f string, kind string, domain string, ok boolean"), "f", "kind", "domain", "ok", total, "s").collect()}
+        order = sorted(rows, key=lambda r: hashlib.md5(f"s|{r[0]}".encode()).hexdigest())
+        chosen: list = []
+
+        def take(wanted):
+            found = next((r for r in order if r not in chosen and wanted(r)), None)
+            chosen.extend([found] if found else [])
+            return found
+
+        for k in sorted({r[1] for r in rows}):
+            take(lambda r, k=k: r[1] == k)
+        for d in sorted({r[2] for r in rows}):
+            if all(r[2] != d for r in chosen):
+                take(lambda r, d=d: r[2] == d)
+        while sum(not r[3] for r in chosen) < 2 and take(lambda r: not r[3]):
+            pass
+        while len(chosen) < min(total, n):
+            kinds, domains = [r[1] for r in chosen], [r[2] for r in chosen]
+            chosen.append(min((r for r in rows if r not in chosen), key=lambda r: (domains.count(r[2]) + kinds.count(r[1]), kinds.count(r[1]), r[0])))
+        assert [got[i] for i in sorted(got)] == [r[0] for r in chosen[:total]]
+
+
+def test_bootstrap_draws_are_poisson_and_cover(spark):
+    import numpy as np
+
+    draws = stats.poisson_draws(np.arange(3000) * 977, np.arange(400))
+    share = [float((draws == k).mean()) for k in range(5)]
+    assert all(abs(s - math.exp(-1) / math.factorial(k)) < 0.002 for k, s in enumerate(share)) and abs(np.corrcoef(draws[0], draws[1])[0, 1]) < 0.2
+    rows = [(c, k, (c * 37 + i) % 10 < 3 + 2 * (k == "b")) for c in range(200) for k in "ab" for i in range(3)] + [(None, "a", True)]
+    got = {r.k: r for r in stats.bootstrap(spark.createDataFrame(rows, "c int, k string, y boolean"), "c", "k", F.col("y"), 2000).collect()}
+    for k, r in got.items():
+        by = {}
+        for c, kk, y in rows[:-1]:
+            if kk == k:
+                by.setdefault(c, []).append(y)
+        rng, own = np.random.default_rng(1), [(sum(v), len(v)) for v in by.values()]
+        plain = [sum(own[i][0] for i in pick) / sum(own[i][1] for i in pick) for pick in rng.integers(0, len(own), (2000, len(own)))]
+        assert abs(r.low - np.percentile(plain, 2.5)) < 0.01 and abs(r.high - np.percentile(plain, 97.5)) < 0.01 and r.low < r.rate < r.high
+
+
+def test_gee_tells_what_separates_and_what_depends(spark):
+    rows = [(c, g, float((c * 7 + i * 3 + g) % 4 == 0) if g < 2 else 0.0) for c in range(80) for g in range(3) for i in range(2)]
+    df = spark.createDataFrame(rows, "c int, g int, y double")
+    coded, names = stats.dummies(df, "g", 0, [0, 1, 2])
+    fit = stats.gee_logit(coded, "c", "y", names)
+    assert fit.attrs["separated"] == ["g=2"] and fit.attrs["converged"]
+    at = fit.set_index("name")
+    assert at.loc["g=2", "coef"] is None and at.loc["g=2", "p"] is None and abs(at.loc["g=1", "coef"]) < 2 and at.loc["g=1", "se"] > 0
+    assert stats.wald(fit, ["g=2"]) == (None, 0, None) and stats.wald(fit, names)[1] == 1
+    alone, _ = stats.dummies(df.filter("g < 2"), "g", 0, [0, 1])
+    small = stats.gee_logit(alone, "c", "y", ["g=1"]).set_index("name")
+    assert abs(small.loc["g=1", "coef"] - at.loc["g=1", "coef"]) < 0.05
+    twice = stats.gee_logit(alone.withColumn("again", F.col("`g=1`")), "c", "y", ["g=1", "again"])
+    assert set(twice.attrs["separated"]) == {"g=1", "again"}
+
+
+def test_gee_correlation_is_scaled_and_corrected(spark):
+    """Worked by hand on two clusters of two rows and an intercept: mean 1/2, residuals (1, 1) and (1, -1), scale 4 / 3, one
+    pair's product of 1 and one of -1 add up to 0; with (1, 1) and (-1, -1) to 2, over 4 / 3 and 2 - 1 pairs, cut at 0.95."""
+    fit = lambda ys: stats.gee_logit(spark.createDataFrame([(i // 2, y) for i, y in enumerate(ys)], "c int, y double"), "c", "y", [])
+    assert fit([1.0, 1.0, 0.0, 0.0]).attrs["alpha"] == 0.95
+    six = fit([1.0, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0])  # products 1, 1, -1, -1, 1, 1 over 12 / 11 and 5 pairs
+    assert abs(six.attrs["scale"] - 12 / 11) < 1e-6 and abs(six.attrs["alpha"] - 2 / (12 / 11) / 5) < 1e-6
+
+
 def test_interleave_equals_round_robin(spark):
     import random
 
@@ -303,6 +397,22 @@ def test_answer_rules(spark, raw, change, error, halluc):
     assert (r.error_type, r.hallucination) == (error, halluc)
 
 
+def test_recovery_in_the_jvm_equals_the_plain_one(spark):
+    import json
+    import random
+
+    rng, texts = random.Random(2), ["", None, "null", "[]", "{", '{"answer": "x", "selected_evidence": [], "insufficient_evidence": false} and more', '{"answer": 1.50, "selected_evidence": ["R1"], "insufficient_evidence": true}', '{"answer": "a}b", "selected_evidence": [], "insufficient_evidence": false}']
+    parts = ["answer", "selected_evidence", "insufficient_evidence"]
+    for _ in range(300):
+        own = {"answer": rng.choice(["12", None, 5, True, "é\n\"q\"", ["x"]]), "selected_evidence": rng.choice([[], ["R12345678"], ["R12345678"] * rng.randrange(30), [1, "a"], None, "R1"]), "insufficient_evidence": rng.choice([True, False, None, "no"])}
+        text = json.dumps({k: own[k] for k in rng.sample(parts, rng.choice([2, 3, 3, 3, 3]))}, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))
+        texts.append(rng.choice([text, text, f" {text} ", f"```json\n{text}\n```", text.replace("true", "True"), text[:-1], f"so {text} ok", text + text, text.replace(": ", ":")]))
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", grading.recovered(F.col("t")).alias("r")).collect()
+    for r in got:
+        assert r.r.asDict() == grading.recover(texts[r.i]), texts[r.i]
+    assert sum(r.r.method == "strict" for r in got) > 20 and len({r.r.method for r in got}) >= 5
+
+
 def response(answer, ids=("R1",), insufficient=False):
     import json
 

@@ -1,5 +1,6 @@
 """Every query with an oracle gives what DuckDB gives over the same files."""
 
+import math
 import sys
 from pathlib import Path
 
@@ -41,4 +42,5 @@ def test_query_equals_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_oracle_has_rows(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).limit(1).count() == 1
+    rows = catalog.QUERIES[name](spark, DATA).collect()
+    assert rows and all(math.isfinite(v) for r in rows for v in r if isinstance(v, float))
