@@ -14,13 +14,15 @@ SYSTEM = "Answer from the records alone. Reply with one line: ANSWER: <value>, o
 
 def quota_sample(df: DataFrame, key: str, strata: list[str], total: int, seed: str) -> DataFrame:
     """total rows: every stratum of the first column in turn, then of the next, rarest values first by rank within the
-    stratum; the rest by hash. A row's place is its best rank over the strata, so one ordering does all passes."""
-    h = core.order_key(seed, F.col(key))
-    out = df.withColumn("_h", h)
-    for i, s in enumerate(strata):
-        out = out.withColumn(f"_r{i}", F.row_number().over(Window.partitionBy(s).orderBy("_h")))
-    best = F.least(*[F.col(f"_r{i}") for i in range(len(strata))]) if len(strata) > 1 else F.col("_r0")
-    return out.withColumn("_best", best).orderBy("_best", "_h").limit(total).drop("_h", "_best", *[f"_r{i}" for i in range(len(strata))])
+    stratum; the rest by hash. A row's place is its best rank over the strata, so one ordering does all passes. key tells rows
+    apart. No stratum gives more than total rows, and Spark cuts them off before the shuffle."""
+    rows = df.withColumn("_h", core.order_key(seed, F.col(key)))
+    ranked = None
+    for s in strata:
+        own = selection.ranked(selection.top_by(rows, [s], total, "_h"), [s], "_rank", "_h")
+        ranked = own if ranked is None else ranked.unionByName(own)
+    best = ranked.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns]), "_rank").alias("_row"), F.min("_rank").alias("_best"))
+    return best.orderBy("_best", "_row._h").limit(total).select("_row.*").drop("_h")
 
 
 def round_robin(df: DataFrame, group: str, kind: str, n: int, *order: Column | str) -> DataFrame:
@@ -57,6 +59,29 @@ def rendered(instances: DataFrame, limit: int, reserve: int) -> DataFrame:
     return out.withColumn("prompt_margin", F.col("prompt_budget") - F.col("prompt_tokens"))
 
 
+def rerendered(frozen: DataFrame, now: DataFrame, key: str, kinds: dict[str, str], limit: int, reserve: int) -> DataFrame:
+    """now (key, context, question, question_type) rendered again, incrementally: key, status (kept, changed or new),
+    question_type after reclassification by kinds, input_sha256, prompt_sha256, prompt_tokens, prompt_margin.
+
+    frozen has the same columns of an earlier call. Only rows whose inputs have another hash than there are rendered and
+    counted; the others keep what they have, but their margin follows the present limit. A prompt over its budget is an error
+    that names its row."""
+    raw = F.to_json(F.struct("context", "question"), {"ignoreNullFields": "false"})
+    budget, was = F.lit(limit - reserve).cast("long"), F.col("question_type")
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[was], was) if kinds else was
+    rows = now.withColumn("input_sha256", F.sha2(raw, 256)).withColumn("question_type", named)
+    old = frozen.select(F.col(key), F.col("input_sha256").alias("_old"), F.col("prompt_sha256").alias("_sha"), F.col("prompt_tokens").alias("_tokens"))
+    both = rows.join(old, key, "left")
+    same = F.col("_old").eqNullSafe(F.col("input_sha256"))
+    text = F.when(~same, prompt(F.col("context"), F.col("question")))  # null, so neither hashed nor counted, where nothing changed
+    out = both.select(
+        key, F.when(same, "kept").when(F.col("_old").isNull(), "new").otherwise("changed").alias("status"), "question_type", "input_sha256",
+        F.when(same, F.col("_sha")).otherwise(F.sha2(text, 256)).alias("prompt_sha256"), F.when(same, F.col("_tokens")).otherwise(core.token_count(text)).alias("prompt_tokens"),
+    )
+    over = F.raise_error(F.concat(F.lit("prompt budget overflow: "), F.col(key).cast("string"), F.lit(" has "), F.col("prompt_tokens").cast("string"), F.lit(" of "), budget.cast("string"), F.lit(" tokens")))
+    return out.withColumn("prompt_margin", F.when(F.col("prompt_tokens") > budget, over).otherwise(budget - F.col("prompt_tokens")))
+
+
 def budget_report(frozen: DataFrame, again: DataFrame, key: str, group: str) -> DataFrame:
     """Counts again against frozen ones by group: n, mismatches, overflows, least, mean and greatest tokens, their deviation."""
     both = frozen.select(key, group, F.col("prompt_tokens").alias("stated")).join(again.select(key, "prompt_tokens", "prompt_budget"), key)

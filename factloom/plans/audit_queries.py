@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import core
+from factloom.operators import selection
 from factloom.plans import audit
 from factloom.plans.registry import query
+from factloom.sources import versions
 from factloom.sources.envelope import read
+from factloom.sources.shared import kept, shared_folder
 
 
 @query("""WITH h AS (SELECT doc_id, lang, source, md5('audit|' || doc_id) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS a, row_number() OVER (PARTITION BY source ORDER BY h) AS b FROM h)
@@ -53,6 +56,46 @@ def budget_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.budget_report(frozen, again, "doc_id", "lang")
 
 
+_KINDS = {"en": "DIRECT_RETRIEVAL", "de": "BINDING"}
+
+
+def _prompt_sql(text: str) -> str:
+    return f"'<|system|>' || chr(10) || '{audit.SYSTEM}' || chr(10) || '<|user|>' || chr(10) || coalesce({text}, '') || chr(10) || chr(10) || 'Question: ' || coalesce(source, '') || chr(10) || '<|assistant|>' || chr(10)"
+
+
+_TOKENS = r"coalesce(list_sum(list_transform(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda x: greatest(1, length(x) // 4))), 0)::BIGINT"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, text, CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || ' revised' ELSE text END AS now, CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} ELSE lang END AS question_type FROM documents),
+p AS (SELECT doc_id, question_type, CASE WHEN doc_id % 11 = 0 THEN 'new' WHEN now IS DISTINCT FROM text THEN 'changed' ELSE 'kept' END AS status, {_prompt_sql('now')} AS t FROM d)
+SELECT doc_id, status, question_type, sha256(t) AS prompt_sha256, {_TOKENS.format(t='t')} AS prompt_tokens, 1000000 - {_TOKENS.format(t='t')} AS prompt_margin FROM p""")
+def rerendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of documents of which some have changed or are new, rendered again and reclassified."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("context"), F.col("source").alias("question"), F.col("lang").alias("question_type"))
+    none = spark.createDataFrame([], "doc_id long, input_sha256 string, prompt_sha256 string, prompt_tokens long")
+    first = kept(audit.rerendered(none, d.filter("doc_id % 11 > 0"), "doc_id", {}, 1_010_000, 10_000))
+    now = d.withColumn("context", F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("context", F.lit("")), F.lit(" revised"))).otherwise(F.col("context")))
+    return audit.rerendered(first, now, "doc_id", _KINDS, 1_010_000, 10_000).drop("input_sha256")
+
+
+@query()
+def audit_coverage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 documents, coverage of languages and sources first, balance second (the limit is the feature)."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.col("n_chars") > 300).alias("long"))
+    return selection.coverage_sample(d, "doc_id", "lang", "source", "long", 40, "audit")
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice, 2 AS n_versions FROM orders")
+def replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.15: a table replaced as a whole by a later version, read back through its pointer; a third one is never published."""
+    o, root = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), shared_folder(spark)
+    first = versions.commit(o, root)
+    versions.commit(o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise(F.col("o_totalprice"))), root, replaces=first)
+    versions.stage(o.limit(1), root)
+    gone = versions.discard(spark, root, keep=(first,))
+    return versions.read_version(spark, root).withColumn("n_versions", F.lit(3 - gone))
+
+
 @query("""SELECT coalesce(e.o_orderpriority, a.o_orderpriority) AS o_orderpriority, e.n AS expected, a.n AS actual FROM (SELECT o_orderpriority, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) e
 FULL JOIN (SELECT o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY 1) a USING (o_orderpriority) WHERE e.n IS DISTINCT FROM a.n""")
 def integrity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.plans import templates, validate
-from factloom.sources import adapters, payloads, tables
+from factloom.plans import audit, templates, validate
+from factloom.sources import adapters, payloads, tables, versions
 
 
 def raw(spark, *payloads, url="u"):
@@ -120,6 +120,58 @@ def test_registry_and_gates(spark, tmp_path):
         del payloads.REGISTRY["OWN"]
 
 
+def test_versions_are_replaced_at_once_or_not_at_all(spark, tmp_path, monkeypatch):
+    root, table = f"file://{tmp_path}/t", lambda n: spark.range(n)
+    assert versions.current(spark, root) is None
+    one = versions.commit(table(3), root)
+    pinned = versions.read_version(spark, root)
+    with pytest.raises(FileExistsError):  # the overwrite guard
+        versions.commit(table(9), root)
+    two = versions.commit(table(5), root, replaces=one)
+    assert pinned.count() == 3 and versions.read_version(spark, root).count() == 5 and versions.read_version(spark, root, one).count() == 3
+    late = versions.stage(table(7), root)  # a writer that was overtaken
+    with pytest.raises(FileExistsError):
+        versions.publish(spark, root, late, replaces=one)
+
+    def dies(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):  # a writer killed between the two steps
+        m.setattr(versions, "publish", dies)
+        versions.commit(table(8), root, replaces=two)
+    assert versions.current(spark, root) == two and versions.read_version(spark, root).count() == 5
+    half = versions.stage(table(4), root)
+    (tmp_path / "t" / half / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        versions.publish(spark, root, half, replaces=two)
+    assert versions.discard(spark, root) == 4 and versions.read_version(spark, root).count() == 5
+
+
+def test_rerendering_counts_only_what_changed(spark):
+    schema = "k int, context string, question string, question_type string"
+    rows = [(1, "a b", "q", "OLD"), (2, "c", "q", "X"), (3, None, None, "OLD")]
+    none = spark.createDataFrame([], "k int, input_sha256 string, prompt_sha256 string, prompt_tokens long")
+    first = audit.rerendered(none, spark.createDataFrame(rows, schema), "k", {}, 200, 20)
+    # A planted hash and count show that a kept row isn't rendered again.
+    frozen = first.withColumn("prompt_sha256", F.lit("planted")).withColumn("prompt_tokens", F.lit(7).cast("long"))
+    again = {r.k: r for r in audit.rerendered(frozen, spark.createDataFrame([(1, "a b", "q", "OLD"), (2, "c d", "q", "X"), (3, None, None, "OLD"), (4, "e", "q", "OLD")], schema), "k", {"OLD": "NEW"}, 100, 20).collect()}
+    assert {k: r.status for k, r in again.items()} == {1: "kept", 2: "changed", 3: "kept", 4: "new"}
+    assert again[1].prompt_sha256 == "planted" and again[1].prompt_margin == 73 and again[2].prompt_sha256 != "planted"
+    assert [again[k].question_type for k in (1, 2, 3, 4)] == ["NEW", "X", "NEW", "NEW"]
+    with pytest.raises(Exception, match="prompt budget overflow: 9 has"):
+        audit.rerendered(none, spark.createDataFrame([(9, "x y z " * 100, "q", "X")], schema), "k", {}, 100, 20).collect()
+
+
+def test_quota_sample_equals_ranks_over_whole_strata(spark):
+    import hashlib
+
+    rows = [(i, "abc"[i % 3], "x" if i < 190 else "y") for i in range(200)]
+    got = audit.quota_sample(spark.createDataFrame(rows, "k int, a string, b string"), "k", ["a", "b"], 15, "s").collect()
+    h = {r[0]: hashlib.md5(f"s|{r[0]}".encode()).hexdigest() for r in rows}
+    best = {r[0]: min(sum(h[o[0]] <= h[r[0]] for o in rows if o[c] == r[c]) for c in (1, 2)) for r in rows}
+    assert {r.k for r in got} == set(sorted(best, key=lambda k: (best[k], h[k]))[:15]) and got[0].asDict().keys() == {"k", "a", "b"}
+
+
 @pytest.mark.parametrize("name", list(templates.TEMPLATES))
 def test_every_template_yields_families(facts, name):
     rows = templates.TEMPLATES[name][2](facts, 3, "s").collect()
