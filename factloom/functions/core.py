@@ -137,6 +137,16 @@ def token_count(c: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(1), F.floor(F.char_length(x) / 4)))
 
 
+def log2_tokens(n: Column) -> Column:
+    """The logarithm to base 2 of a number of tokens; null where there are none."""
+    return F.when(n > 0, F.log2(n.cast("double")))
+
+
+def family_number(family_id: Column) -> Column:
+    """The number at the end of an id such as SEC_0012, or null."""
+    return F.substring_index(family_id, "_", -1).try_cast("int")
+
+
 def count_tokens(text: str | None) -> int:
     """token_count of one text, for code that runs within a group."""
     import regex

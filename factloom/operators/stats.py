@@ -319,3 +319,28 @@ def wald(fit: pd.DataFrame, names: list[str]) -> tuple[float | None, int, float
     chi = float(b @ np.linalg.pinv(cov, hermitian=True) @ b)
     rank = int(np.linalg.matrix_rank(cov, hermitian=True))
     return chi, rank, chi2_sf(chi, rank)
+
+
+def composition(df: DataFrame, cluster: str, outcome: str, among: Column, condition: str, base, values: list | None = None) -> tuple[pd.DataFrame, list[str]]:
+    """(the logistic GEE of outcome on the conditions against base among the rows that hold, names of its coefficients): how what
+    went wrong is made up, rather than how often."""
+    coded, names = dummies(df.filter(F.coalesce(among, F.lit(False))), condition, base, values)
+    return gee_logit(coded, cluster, outcome, names), names
+
+
+def sensitivity(df: DataFrame, cluster: str, condition: str, conditions: list, subsets: dict[str, Column], **outcomes: Column) -> DataFrame:
+    """subset, condition, n, and n_ and rate_ of each outcome, for all rows, for clusters that have every condition, and for each
+    named subset of rows. A row is read once, whatever the number of subsets."""
+    own = df.groupBy(cluster).agg(F.countDistinct(F.when(F.col(condition).isin(*conditions), F.col(condition))).alias("_seen"))
+    whole = {"all": F.lit(True), "complete": F.col("_seen") == len(conditions), **subsets}
+    names = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in whole.items()]))
+    rows = df.join(own, cluster).withColumn("subset", F.explode(names))
+    return rates(rows, ["subset", condition], **outcomes)
+
+
+def by_model(df: DataFrame, model: str, condition: str, conditions: list, outcome: Column) -> DataFrame:
+    """model, n, rate_0 and so on for each condition in order, delta: the last condition's rate less the first one's. Conditions
+    that a model has no rows of are null."""
+    rate = lambda c: F.avg(F.when(F.col(condition) == c, outcome.cast("double")))
+    out = df.groupBy(model).agg(F.count("*").alias("n"), *[rate(c).alias(f"rate_{i}") for i, c in enumerate(conditions)])
+    return out.withColumn("delta", F.col(f"rate_{len(conditions) - 1}") - F.col("rate_0"))

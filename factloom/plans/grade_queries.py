@@ -257,6 +257,40 @@ def gee_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_wald(spark, stats.gee_logit(d, "user_id", "y", [*names, "odd", *both]), both)
 
 
+@query()
+def gee_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a high value is very high, among the high ones, by condition, and the joint Wald test."""
+    s = _scored(spark, sf_dir)
+    types = selection.few_values(s, "event_type")
+    fit, names = stats.composition(s.withColumn("y", F.col("bad").cast("double")), "user_id", "y", F.col("value") > 50, "event_type", types[0], types)
+    return _with_wald(spark, fit, names)
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT user_id, count(DISTINCT event_type) AS k FROM scored GROUP BY 1), s AS (SELECT s.*, k, unnest(list_filter(['all', CASE WHEN k = (SELECT count(*) FROM {TYPES}) THEN 'complete' END, CASE WHEN value > 10 THEN 'answerable' END, CASE WHEN user_id <= 25 THEN 'original' ELSE 'added' END], lambda x: x IS NOT NULL)) AS subset FROM scored s JOIN c USING (user_id))
+SELECT subset, event_type, count(*)::BIGINT AS n, count_if(bad)::BIGINT AS n_bad, avg(bad::INT) AS rate_bad FROM s GROUP BY ALL""")
+def sensitivity_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by condition for all rows, complete clusters, answerable rows, and original and added families."""
+    s = _scored(spark, sf_dir).withColumn("family", F.concat(F.lit("U_"), F.lpad(F.col("user_id").cast("string"), 6, "0")))
+    original = core.family_number(F.col("family")) <= 25
+    return stats.sensitivity(s, "user_id", "event_type", selection.few_values(s, "event_type"), {"answerable": F.col("value") > 10, "original": original, "added": ~original}, bad=F.col("bad"))
+
+
+@query(f"""WITH {SCORED}, k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS r FROM {TYPES}), m AS (SELECT 'model_' || user_id % 3 AS model, r, bad FROM scored JOIN k USING (event_type))
+SELECT model, count(*)::BIGINT AS n, {', '.join(f'avg(bad::INT) FILTER (WHERE r = {i}) AS rate_{i}' for i in range(5))}, avg(bad::INT) FILTER (WHERE r = 4) - avg(bad::INT) FILTER (WHERE r = 0) AS delta FROM m GROUP BY 1""")
+def model_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models by conditions, and how far the last one is from the first."""
+    s = _scored(spark, sf_dir).withColumn("model", F.concat(F.lit("model_"), (F.col("user_id") % 3).cast("string")))
+    return stats.by_model(s, "model", "event_type", selection.few_values(s, "event_type"), F.col("bad"))
+
+
+@query("""SELECT doc_id, CASE WHEN len(text) > 0 THEN log2(len(text)::DOUBLE) END AS log2_chars, (doc_id % 40)::INT AS number, doc_id % 40 <= 25 AS original FROM documents""")
+def log2_and_family_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logarithm of a length, and the number of a family's id against the first families' last one."""
+    d = read(spark, sf_dir, "documents")
+    number = core.family_number(F.concat(F.lit("DOC_X_"), F.lpad((F.col("doc_id") % 40).cast("string"), 4, "0")))
+    return d.select("doc_id", core.log2_tokens(F.char_length("text")).alias("log2_chars"), number.alias("number"), (number <= 25).alias("original"))
+
+
 _PARTS = " || '|' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 13 * i}, 13))::HUGEINT), 0)" for i in range(5))
 
 

@@ -146,9 +146,24 @@ def upsert_retrievals(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def run_config(text: str, env: dict[str, str] | None = None) -> dict:
-    """A JSON configuration with ${NAME:-default} filled in from the environment."""
+    """A YAML (or JSON) configuration with ${NAME:-default} filled in from the environment, wherever texts stand in it; a
+    value that is nothing but one such name is read as YAML again, so numbers stay numbers."""
+    import yaml
+
     env = os.environ if env is None else env
-    return json.loads(re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: env.get(m[1]) or m[2] or "", text))
+    name = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}")
+
+    def filled(v):
+        if isinstance(v, dict):
+            return {k: filled(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [filled(x) for x in v]
+        if not isinstance(v, str):
+            return v
+        out = name.sub(lambda m: env.get(m[1]) or m[2] or "", v)
+        return yaml.safe_load(out) if name.fullmatch(v.strip()) and out else out
+
+    return filled(yaml.safe_load(text)) or {}
 
 
 def config_hash(config: dict, drop: tuple[str, ...] = ()) -> str:

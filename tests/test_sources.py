@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import cli
 from factloom.plans import audit, templates, validate
 from factloom.sources import adapters, payloads, tables, versions
 
@@ -172,6 +173,47 @@ def test_quota_sample_equals_ranks_over_whole_strata(spark):
     assert {r.k for r in got} == set(sorted(best, key=lambda k: (best[k], h[k]))[:15]) and got[0].asDict().keys() == {"k", "a", "b"}
 
 
+def test_configuration_is_yaml_with_names_filled_in():
+    text = "a: ${X:-7}\nb: [1, '${Y}-z']\nc:\n  d: ${Z:-no}\n  e: plain\n  f: ${EMPTY}\n"
+    assert tables.run_config(text, {"Y": "y", "Z": ""}) == {"a": 7, "b": [1, "y-z"], "c": {"d": False, "e": "plain", "f": ""}}
+    assert tables.run_config("a: ${X:-7}", {"X": "3.5"}) == {"a": 3.5} and tables.run_config("", {}) == {} and tables.run_config('{"k": "${X:-v}"}', {}) == {"k": "v"}
+
+
+def test_command_line_runs_stages_from_payloads_to_contexts(spark, tmp_path, capsys, monkeypatch):
+    for i in range(4):
+        write_envelopes(tmp_path / "raw" / "sec" / str(i), company(i))
+    facts = f"file://{tmp_path}/facts"
+    config = tmp_path / "c.yaml"
+    config.write_text(f"root: {tmp_path}/raw\ndomain: ${{DOMAIN:-SEC}}\ncontact: a@b.c\nout: {facts}\n")
+    assert cli.main(["normalize", "--config", str(config)], spark) == 0
+    first = json.loads(capsys.readouterr().out)["version"]
+    assert versions.current(spark, facts) == first and versions.read_version(spark, facts).filter("domain = 'SEC'").count() == 4 * 2 * 5
+    with pytest.raises(SystemExit, match="has a version"):
+        cli.main(["normalize", "--config", str(config)], spark)
+    assert cli.main(["normalize", "--config", str(config), "--replace"], spark) == 0 and versions.current(spark, facts) != first
+    assert cli.main(["generate-questions", "--facts", facts, "--domain", "SEC", "--total", "6", "--out", f"{tmp_path}/q"], spark) == 0
+    assert versions.read_version(spark, f"{tmp_path}/q").count() == 6
+    versions.read_version(spark, facts).withColumn("value", F.col("value_numeric")).write.parquet(f"{tmp_path}/f")
+    spark.read.parquet(f"{tmp_path}/f").limit(2).withColumn("target_id", F.col("record_id")).write.parquet(f"{tmp_path}/t")
+    assert cli.main(["build-contexts", "--facts", f"{tmp_path}/f", "--targets", f"{tmp_path}/t", "--lengths", "200", "400", "--out", f"{tmp_path}/x"], spark) == 0
+    assert {r.nominal for r in versions.read_version(spark, f"{tmp_path}/x").select("nominal").distinct().collect()} == {200, 400}
+    assert cli.main(["stats", "--facts", facts], spark) == 0 and "SEC" in capsys.readouterr().out
+    assert cli.main(["query", "--name", "pricing_summary", "--data", "/root/testdata/sf0.001"], spark) == 0
+    for bad in (["normalize", "--domain", "SEC"], ["nothing"], ["query", "--name", "nothing", "--data", "x"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad, spark)
+    config.write_text("surprise: 1\n")
+    with pytest.raises(SystemExit):
+        cli.main(["stats", "--facts", facts, "--config", str(config)], spark)
+
+
+def test_command_line_validates(spark, tmp_path):
+    for name, df in as_tables(spark, *data()).items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    args = ["validate", "--tables", str(tmp_path), "--checks", "A", "U"]
+    assert cli.main(args, spark) in (0, 1) and cli.main([*args, "--strict"], spark) == 1  # not all question types are there
+
+
 @pytest.mark.parametrize("name", list(templates.TEMPLATES))
 def test_every_template_yields_families(facts, name):
     rows = templates.TEMPLATES[name][2](facts, 3, "s").collect()
