@@ -49,7 +49,7 @@ def matches(facts: DataFrame, conditions: DataFrame, keys: tuple[str, ...] = KEY
     used = ["record_id", *[k for k in keys if k != "record_id"], *(["metadata"] if metadata else [])]
     f = facts.select(F.struct(*used).alias("f"), F.explode(entries(facts, keys, metadata)).alias("e")).select("f", "e.*")
     named = c.filter(F.size("e") > 0).withColumn("id", F.monotonically_increasing_id()).select("id", "condition", F.explode("e").alias("e")).select("id", "condition", "e.*")
-    known = f.select("key", "value").join(named.select("key", "value").distinct(), ["key", "value"], "left_semi").groupBy("key", "value").agg(F.count("*").alias("n"))
+    known = f.groupBy("key", "value").agg(F.count("*").alias("n"))  # summed up before it is shuffled, so no value is too frequent
     n = F.coalesce("n", F.lit(0))
     rarest = named.join(known, ["key", "value"], "left").groupBy("id").agg(F.first("condition").alias("condition"), F.min(n).alias("n"), F.min_by(F.struct("key", "value"), F.struct(n, "key", "value")).alias("e"))
     rarest = rarest.filter("n > 0").select("condition", "e.*")  # an entry that no fact has
