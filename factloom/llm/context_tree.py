@@ -10,7 +10,7 @@ never seen gives 1/2. The sum over a text of log10 of its decisions is its score
 Counting: strings of DEPTH + 1 bytes and words, summed by Spark. Levels of three context bytes and more stay spread, by
 their last three, and are read group by group, so a task holds CHUNK strings or one group. The upper levels come to the
 driver and go to every worker: in UTF-8 with A-Z lowered they have at most 5.6 million nodes of 28 bytes, whatever the
-corpus. Scoring: the most frequent words and strings (at most HOT_WORDS and HOT_GRAMS) go to every worker; all others are
+corpus. Scoring: the most frequent words (of at most HOT_BYTES) and strings (at most HOT_WORDS and HOT_GRAMS) go to every worker; all others are
 looked up by a join.
 
 Null and empty texts score their end symbol alone; a very long text is a block of its own. A null id counts as not held out. Repeated rows are learned and scored
@@ -36,6 +36,8 @@ from factloom.llm.bpe import NONE, PairTable
 from factloom.llm.common import blocks, cut, hand_back, slices
 
 HOT_WORDS, HOT_GRAMS, CHUNK = 1 << 17, 1 << 19, 1 << 16
+#: Bytes of a word that goes to every worker; longer ones are found through the join, however frequent.
+HOT_BYTES = 48
 END, DEPTH, SPREAD = 255, 5, 3
 GROUP = ((1 << (8 * SPREAD)) - 1) << 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -309,7 +311,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
     n_words, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, v = n_words + n_train, kinds + (1 if n_train else 0)
     # Both tables come packed, a few bytes a row; workers make dictionaries of them.
-    hot = spark.sparkContext.broadcast((uuid.uuid4().hex, packed(most(vocabulary, "n", hot_words), "word", "n"), packed(most(model, "seen", hot_grams), "gram", "logp")))
+    hot = spark.sparkContext.broadcast((uuid.uuid4().hex, packed(most(vocabulary.filter(F.octet_length("word") <= HOT_BYTES), "n", hot_words), "word", "n"), packed(most(model, "seen", hot_grams), "gram", "logp")))
 
     def run(batches):
         known, keys, logs = unpacked(*hot.value)
