@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import core
 from factloom.plans import validate
 from factloom.plans.context_queries import TOKENS
 from factloom.plans.registry import ORACLE_SQL, QUERIES
-from factloom.sources.shared import shared_folder
 from factloom.sources.envelope import read
+from factloom.sources.shared import shared_folder
 
 TIERS = ("WRONG_VERSION", "WRONG_PERIOD", "WRONG_ENTITY", "WRONG_FIELD", "WRONG_UNIT", "NEAR_MATCH_VALUE")
 #: Flags of a placement, true where this holds of k, the family's number.
@@ -22,7 +23,7 @@ TABLES_SQL = f"""
 ff AS (SELECT 'o' || o_orderkey AS record_id, {_FACT} UNION ALL SELECT 'o' || (o_orderkey + 10000000) AS record_id, {_FACT} WHERE o_orderkey % 4 = 0),
 cu AS (SELECT o_custkey AS k, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey),
 base AS (SELECT k, a, 'o' || a AS ra, 'o' || b AS rb, x.value AS va, y.value AS vb, x.concept AS ca, x.period AS pa, k % 5 <> 4 AS answerable FROM cu JOIN ff x ON x.record_id = 'o' || a JOIN ff y ON y.record_id = 'o' || b),
-fam0 AS (SELECT k, 'F' || k AS family_id, 'd' AS domain, CASE WHEN k % 50 = 1 THEN ' Asked twice?' ELSE 'What is c of E' || k || '?' END AS question,
+fam0 AS (SELECT k, 'F' || k AS family_id, 'd' AS domain, CASE WHEN k % 50 = 1 THEN ' Asked twice?' ELSE 'What is c of E' || k || CASE k % 61 WHEN 3 THEN ' if missing' WHEN 5 THEN ' rather than a guess' WHEN 9 THEN ', do not infer' ELSE '' END || '?' END AS question,
   CASE k % 5 WHEN 1 THEN 'RETRIEVAL_CALCULATION' WHEN 2 THEN 'TEMPORAL_VERSION' WHEN 4 THEN 'UNANSWERABLE' ELSE 'DIRECT_RETRIEVAL' END AS question_type, CASE WHEN k % 7 = 0 THEN 'OTHER' ELSE 'FRED_VINTAGE_SELECTION' END AS template, answerable,
   CASE WHEN (answerable AND k % 31 <> 0) OR k % 29 = 0 THEN 'x' END AS gold_answer,
   CASE WHEN k % 34 = 0 THEN NULL WHEN k % 38 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN NOT answerable THEN NULL WHEN k % 5 = 1 THEN va + vb ELSE va END + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS gold_num,
@@ -33,7 +34,7 @@ fam AS (SELECT * FROM fam0 UNION ALL SELECT * FROM fam0 WHERE k % 97 = 3),
 ins0 AS (SELECT base.*, n, CASE WHEN answerable THEN ra || '|' || rb ELSE '' END AS own FROM base CROSS JOIN (VALUES (100), (200)) AS v(n)),
 ins1 AS (SELECT *, CASE WHEN answerable THEN own || '|' ELSE '' END || 'o' || (k * 3) AS short FROM ins0),
 ins2 AS (SELECT *, CASE WHEN n = 100 OR k % 19 = 5 THEN short WHEN k % 11 = 0 THEN 'o' || (k * 3 + 1) || CASE WHEN answerable THEN '|' || own ELSE '' END || '|o' || (k * 3 + 2) WHEN k % 13 = 2 THEN 'o' || (k * 3 + 1) || '|o' || (k * 3) || CASE WHEN answerable THEN '|' || own ELSE '' END ELSE 'o' || (k * 3 + 1) || '|' || short || '|o' || (a + 10000000) END AS records FROM ins1),
-ins AS (SELECT k, CASE WHEN k % 99 = 4 THEN 'X' ELSE 'F' END || k AS family_id, n AS nominal, n || 'T' AS label, CASE WHEN k % 27 = 0 AND n = 200 THEN 'Another question?' ELSE 'What is c of E' || k || '?' END AS question,
+ins AS (SELECT k, CASE WHEN k % 99 = 4 THEN 'X' ELSE 'F' END || k AS family_id, n AS nominal, n || 'T' AS label, CASE WHEN k % 27 = 0 AND n = 200 THEN 'Another question?' ELSE 'What is c of E' || k || CASE k % 61 WHEN 3 THEN ' if missing' WHEN 5 THEN ' rather than a guess' WHEN 9 THEN ', do not infer' ELSE '' END || '?' END AS question,
   CASE WHEN k % 28 = 0 AND n = 200 THEN 'y' WHEN answerable THEN 'x' END AS gold_answer, CASE WHEN k % 33 = 0 AND n = 200 THEN ra WHEN k % 36 = 4 THEN ra || '|' || rb ELSE own END AS gold, records, CASE WHEN k % 22 = 0 THEN replace('z' || records, 'zo', 'RBBBBBBB') WHEN k % 24 = 8 THEN replace('z' || records, 'zo', 'Q') WHEN k % 32 = 9 THEN records || '|o' || (k * 3) ELSE records END AS shown,
   {_BLOCK.format('records')} || CASE WHEN k % 21 = 0 THEN '</RECORD>' ELSE '' END AS context, CASE WHEN NOT answerable THEN '' ELSE {_BLOCK.format("ra || '|' || rb")} END || CASE WHEN k % 25 = 0 THEN 'x' ELSE '' END AS gold_block,
   n - 5 + CASE WHEN k % 9 = 0 THEN 10 WHEN k % 10 = 1 THEN -n / 2 ELSE 0 END AS tokens, CASE WHEN k % 14 = 0 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS relative_position, CASE WHEN k % 17 = 3 THEN 50 WHEN n = 200 THEN 100 END AS parent_nominal,
@@ -124,6 +125,7 @@ _SQL: dict[str, list[str]] = {
     "W": [_rows("key", "display ids differ in number", "FROM i WHERE len(display_ids) <> len(record_ids)"), _rows("key", "a display id twice", "FROM i WHERE len(list_distinct(display_ids)) <> len(display_ids)"), _rows("key", "malformed display id", "FROM i WHERE len(list_filter(display_ids, lambda x: NOT regexp_matches(x, '^R[A-Z0-9]{8,}$'))) > 0")],
     "X": [_rows("p.family_id", "a distractor is equivalent to the evidence", "FROM p JOIN ff USING (record_id) WHERE side <> 'gold' AND EXISTS (SELECT 1 FROM p g JOIN ff h USING (record_id) WHERE g.side = 'gold' AND g.family_id = p.family_id AND g.nominal = p.nominal AND h.entity_id = ff.entity_id AND h.concept = ff.concept AND h.unit = ff.unit AND h.version = ff.version AND h.period = ff.period AND h.value = ff.value)")],
     "Y": [_rows("family_id", f"{t} without {f}", f"FROM p WHERE side <> 'gold' AND tier = '{t}' AND NOT ({FLAGS[f]})") for t, f in _MEANS],
+    "Z": [_rows("family_id", "wording gives away answerability", "FROM fa WHERE " + " OR ".join(f"regexp_matches(question, '{p}')" for p in core.LEAK_PATTERNS))],
     "AA": [_rows("key", "over the prompt budget", "FROM i WHERE prompt_tokens > prompt_budget"), _rows("key", "prompt tokens differ when counted again", f"FROM i WHERE prompt_tokens IS NOT NULL AND {TOKENS.replace('text', 'context')} + {TOKENS.replace('text', 'question')} <> prompt_tokens")],
     "AB": [_rows("family_id", "lengths that are neither there nor declared unavailable", "FROM fa LEFT JOIN (SELECT family_id, count(DISTINCT nominal) AS n FROM (SELECT family_id, nominal FROM i UNION ALL SELECT family_id, nominal FROM gone) GROUP BY 1) s USING (family_id) WHERE coalesce(n, 0) <> 3")],
     "AC": [_rows("key", "gold display ids differ from the context's", "FROM i WHERE list_transform(gold_ids, lambda g: display_ids[list_position(record_ids, g)]) <> gold_display_ids")],

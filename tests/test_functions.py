@@ -223,6 +223,21 @@ def test_gee_correlation_is_scaled_and_corrected(spark):
     assert abs(six.attrs["scale"] - 12 / 11) < 1e-6 and abs(six.attrs["alpha"] - 2 / (12 / 11) / 5) < 1e-6
 
 
+def test_equivalents_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    values = [1.0, 1.0 + 8e-10, 1.0 + 1.6e-9, 1.0 + 2.4e-9, 2.0, 0.0, 5e-10, -5e-10, 1e15, 1e15 + 1]  # some chains drift
+    rows = [(f"r{i:03}", "d", rng.choice(["E1", "E2", None]), "c", rng.choice(["u", None]), rng.choice(["CY2020", "CY2020", "CY2021"]), "v", rng.choice([*values, None])) for i in range(160)]
+    rows += [(f"h{i:03}", "d", "HOT", "c", "u", "CY2020", "v", 7.0) for i in range(300)]
+    facts = spark.createDataFrame(rows, "record_id string, domain string, entity_id string, concept string, unit string, period string, version string, value double")
+    got = {tuple(r.record_ids) for r in distractors.equivalents(facts).collect()}
+    same = lambda a, b: a[2:6] == b[2:6] and abs(a[7] - b[7]) <= max(1e-12 * max(abs(a[7]), abs(b[7])), 1e-9)
+    known = [r for r in rows if r[7] is not None]
+    groups = {tuple(sorted(b[0] for b in known if same(a, b))) for a in known}
+    assert got == {g for g in groups if len(g) > 1} and max(map(len, got)) == 300
+
+
 def test_interleave_equals_round_robin(spark):
     import random
 
