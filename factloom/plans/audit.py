@@ -27,12 +27,15 @@ def quota_sample(df: DataFrame, key: str, strata: list[str], total: int, seed: s
 
 def round_robin(df: DataFrame, group: str, kind: str, n: int, *order: Column | str) -> DataFrame:
     """n rows of each group, taking its kinds in turn."""
+    df = selection.top_by(df, [group, kind], n, *order)
     within = F.row_number().over(Window.partitionBy(group, kind).orderBy(*order))
     return selection.top_by(df.withColumn("_w", within), [group], n, "_w", kind).drop("_w")
 
 
 def first_per_stratum(df: DataFrame, strata: list[str], total: int, *order: Column | str) -> DataFrame:
-    """The first row of each stratum, then the best of the others up to total."""
+    """The first row of each stratum, then the best of the others up to total. No stratum gives more, which Spark cuts off
+    before the shuffle."""
+    df = selection.top_by(df, strata, total, *order)
     r = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
     return df.withColumn("_first", r == 1).orderBy(F.desc("_first"), *order).limit(total).drop("_first")
 

@@ -238,6 +238,18 @@ def test_equivalents_equal_all_pairs(spark):
     assert got == {g for g in groups if len(g) > 1} and max(map(len, got)) == 300
 
 
+def test_mcnemar_is_exact_for_few_and_many_pairs(spark):
+    from fractions import Fraction
+
+    pairs = [(b, c) for b in range(0, 26) for c in range(0, 26)] + [(129, 23), (400, 500), (2000, 2100), (0, 900), (3000, 3000), (7, 1200)]
+    got = spark.createDataFrame(pairs, "b long, c long").select("b", "c", stats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()
+    for r in got:
+        n, k = r.b + r.c, min(r.b, r.c)
+        want = min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n)))
+        assert math.isclose(r.p, want, rel_tol=1e-11), (r.b, r.c, r.p, want)
+    assert abs(spark.range(1).select(stats.mcnemar_p(F.lit(500_030_000), F.lit(499_970_000)).alias("p")).first().p - math.erfc((60_000 - 1) / math.sqrt(1e9) / math.sqrt(2))) < 1e-6
+
+
 def test_interleave_equals_round_robin(spark):
     import random
 
