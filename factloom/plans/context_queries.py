@@ -88,6 +88,20 @@ def classify_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distractors.related(facts, targets)
 
 
+_FLAGS = {"entity": "entity_id", "metric": "concept", "period": "period", "unit": "unit", "version": "version"}
+_FLAG_SQL = ", ".join(f"count_if(f.{c} IS NOT DISTINCT FROM t.{c})::BIGINT AS same_{n}, count_if(f.{c} IS DISTINCT FROM t.{c})::BIGINT AS different_{n}" for n, c in _FLAGS.items())
+
+
+@query(f"{WITH} SELECT t.target_id, {_FLAG_SQL}, count_if(CASE WHEN t.value = 0 THEN f.value = 0 ELSE abs(f.value - t.value) / abs(t.value) <= 0.05 END)::BIGINT AS value_within_5_percent FROM event_facts f JOIN targets t ON f.entity_id = t.entity_id AND f.record_id <> t.record_id GROUP BY 1")
+def relation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eleven relations of an entity's other facts to its target, counted."""
+    facts, targets = _targets(spark, sf_dir)
+    f, t = facts.alias("f"), targets.alias("t")
+    both = f.join(t, (F.col("f.entity_id") == F.col("t.entity_id")) & (F.col("f.record_id") != F.col("t.record_id"))).select("t.target_id", distractors.flags("f", "t").alias("m"))
+    names = [f"{kind}_{n}" for n in _FLAGS for kind in ("same", "different")] + ["value_within_5_percent"]
+    return both.groupBy("target_id").agg(*[F.count_if(F.col("m")[n]).alias(n) for n in names])
+
+
 @query(f"{WITH}, {RELATED} SELECT target_id, tier, count(*)::BIGINT AS n FROM c GROUP BY ALL")
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, A3: facts of every tier; the last tier is what the domain has beyond the related ones."""

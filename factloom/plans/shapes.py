@@ -309,3 +309,44 @@ def first_groups_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
     first = li.groupBy("l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")).orderBy("at", "l_partkey").limit(10)
     return li.join(F.broadcast(first.select("l_partkey")), "l_partkey", "left_semi")
+
+
+_LENGTH = "512 * (1 + doc_id % 300)"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_LENGTH} % 1024 = 0 THEN ({_LENGTH} // 1024) || 'K' ELSE ({_LENGTH})::VARCHAR END AS label FROM documents")
+def length_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of contexts as labels."""
+    return read(spark, sf_dir, "documents").select("doc_id", core.length_label(512 * (1 + F.col("doc_id") % 300)).alias("label"))
+
+
+# Messages of failed runs, and their classes for other errors and for errors of a value.
+_FAILURES = (
+    ("CUDA out of memory. Tried to allocate 2 GiB", "CUDA_OOM", "CUDA_OOM"), ("worker ran out of memory", "CPU_OOM", "CPU_OOM"), ("Cannot allocate memory", "CPU_OOM", "CPU_OOM"),
+    ("Token budget exceeded: 9000", "GENERATION_ERROR", "TOKEN_BUDGET_FAILURE"), ("cuda device-side assert", "GENERATION_ERROR", "GENERATION_ERROR"),
+)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN CASE WHEN o_orderstatus = 'F' THEN '{v}' ELSE '{o}' END" for i, (_, o, v) in enumerate(_FAILURES)) + " END AS failure FROM orders")
+def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of a run's failure by its message and kind."""
+    o = read(spark, sf_dir, "orders")
+    message = F.element_at(F.array(*[F.lit(m) for m, _, _ in _FAILURES]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return o.select("o_orderkey", core.failure_class(message, F.col("o_orderstatus") == "F").alias("failure"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round_even(l_quantity / 8, 2) AS eighth FROM lineitem")
+def rounded_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves to even, as binary values have them."""
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", core.python_round(F.col("l_quantity") / 8, 2).alias("eighth"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN floor(o_totalprice) WHEN 1 THEN o_totalprice ELSE -floor(o_totalprice * 40) / 32 END AS v, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 4)::INT END AS d FROM orders),
+t AS (SELECT *, format('{:,}', abs(trunc(v))::BIGINT) AS whole, rtrim(lpad(((round(abs(v) * 1000000))::HUGEINT % 1000000)::VARCHAR, 6, '0'), '0') AS part FROM v)
+SELECT o_orderkey, CASE WHEN v < 0 THEN '-' ELSE '' END || whole || CASE WHEN part <> '' THEN '.' || part ELSE '' END AS shown, CASE WHEN d IS NOT NULL THEN 0.5 * pow(10.0, -d) WHEN v = floor(v) THEN 0.5 ELSE 0.0000005 END AS tolerance FROM t""")
+def shown_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as answers show them, and half of the last place shown."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    v = F.when(k % 3 == 0, F.floor(price).cast("double")).when(k % 3 == 1, price).otherwise(-F.floor(price * 40) / 32)
+    places = F.when(k % 4 > 0, (k % 4).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"), places.alias("d")).select("o_orderkey", core.format_value(F.col("v")).alias("shown"), core.tolerance(F.col("v"), F.col("d")).alias("tolerance"))
