@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import selection
-from factloom.plans import grading
+from factloom.plans import grading, packing
 from factloom.plans.registry import query
 from factloom.sources.envelope import read
 
@@ -84,3 +84,27 @@ def format_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = responses(spark, sf_dir).select(F.col("id").alias("o_orderkey"), grading.recovered(F.col("raw_output_text"))["method"].isNull().alias("failed"))
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(r, "o_orderkey")
     return grading.format_transitions(o, "o_custkey", "o_orderpriority", LADDER, F.col("failed"))
+
+
+@query("""WITH i AS (SELECT o_orderkey AS instance_id, o_custkey AS family_id FROM orders WHERE o_orderkey % 9 > 0), f AS (SELECT c_custkey AS family_id, c_mktsegment FROM customer WHERE c_custkey % 10 > 0),
+r AS (SELECT l_orderkey AS instance_id, max_by(l_quantity, l_linenumber::BIGINT * 1000000000 + l_partkey) AS q, count(*) AS attempts FROM lineitem GROUP BY 1)
+SELECT instance_id, q, coalesce(attempts, 0)::BIGINT AS attempts, c_mktsegment, CASE WHEN i.instance_id IS NULL THEN 'no_instance' WHEN r.instance_id IS NULL THEN 'no_result' WHEN f.family_id IS NULL THEN 'no_family' ELSE 'joined' END AS status
+FROM i FULL JOIN r USING (instance_id) LEFT JOIN f USING (family_id)""")
+def results_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of several attempts with their instances and families, and what has no partner."""
+    instances = read(spark, sf_dir, "orders").filter("o_orderkey % 9 > 0").select(F.col("o_orderkey").alias("instance_id"), F.col("o_custkey").alias("family_id"))
+    families = read(spark, sf_dir, "customer").filter("c_custkey % 10 > 0").select(F.col("c_custkey").alias("family_id"), "c_mktsegment")
+    results = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("instance_id"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("attempt"), F.col("l_quantity").alias("q"))
+    return grading.join_results(instances, results, families).select("instance_id", "q", "attempts", "c_mktsegment", "status")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 4 <> 3 AND text IS NOT NULL)
+SELECT c.conv_id::VARCHAR AS family_id, count(*)::BIGINT AS n, coalesce(string_agg('T' || c.turn, ',' ORDER BY c.turn) FILTER (WHERE t.turn IS NULL), '') AS missing FROM conversations c LEFT JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn GROUP BY 1""")
+def missing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of conversations put together, and the records that they name but that have no text."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("family_id"), F.col("turn").cast("int").alias("position"), "text")
+    key = F.concat("family_id", F.lit("/T"), F.col("position").cast("string")).alias("record_id")
+    placed = c.select("family_id", F.lit(1).alias("nominal"), F.lit("OK").alias("status"), F.lit(1).alias("tokens"), key, F.lit("before").alias("side"), "position", F.lit(0).alias("gold_start"), F.lit(0).alias("gold_tokens"))
+    out = packing.instances(placed, c.filter("position % 4 <> 3").select(key, "text"))
+    missing = F.transform("missing_ids", lambda x: F.substring_index(x, "/", -1))
+    return out.select("family_id", F.size("record_ids").cast("long").alias("n"), F.array_join(missing, ",").alias("missing"))
