@@ -176,6 +176,10 @@ def unique_ids(df: DataFrame, key: str, seed: str, digits: int = 10, step: int =
         digits += step
 
 
+#: Kinds by domains of a coverage sample; more are an error.
+STRATA = 5000
+
+
 def coverage_sample(df: DataFrame, key: str, kind: str, domain: str, answerable: str, total: int, seed: str, least: int = 2) -> DataFrame:
     """key, pick: total rows, coverage first and balance second. In seeded order one row of every kind is picked, then one of
     every domain without any, then rows that can't be answered until there are least; the rest, by turns, are of the
@@ -186,6 +190,8 @@ def coverage_sample(df: DataFrame, key: str, kind: str, domain: str, answerable:
     h = order_key(seed, F.col(key))
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(domain).alias("domain"), F.coalesce(F.col(answerable), F.lit(False)).alias("ok"), h.alias("h"))
     strata = ["kind", "domain", "ok"]
+    if rows.select(strata).distinct().limit(STRATA + 1).count() > STRATA:
+        raise ValueError(f"more than {STRATA} kinds by domains")
     some = top_by(rows, strata, total, "h", "key").unionByName(top_by(rows, strata, 2 * total, "key")).distinct().collect()
     groups: dict[tuple, list] = {}
     for r in some:

@@ -110,8 +110,8 @@ def holm(df: DataFrame, p: str, keys: list[str] | None = None) -> DataFrame:
 MIX, GOLDEN = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), 0x9E3779B97F4A7C15
 #: The upper 32 bits from which on a Poisson(1) draw is 1, 2 and so on, up to 8.
 EDGES = [math.ceil(e * 2**32) for e in accumulate(math.exp(-1) / math.factorial(k) for k in range(8))]
-#: Clusters of a partition, and repetitions of a block, in bootstraps.
-CLUSTERS, BLOCK = 20_000, 500
+#: Clusters of a partition, where there are many, and repetitions of a block, in bootstraps.
+CLUSTERS, BLOCK = 200_000, 500
 
 
 def poisson_draws(keys: np.ndarray, reps: np.ndarray) -> np.ndarray:
@@ -138,24 +138,25 @@ def bootstrap(df: DataFrame, cluster: str, condition: str, outcome: Column, reps
     keyed = own.select(F.col(condition).cast("string").alias("condition"), rank_key(seed, F.col(cluster)).alias("key"), "den", "num")
 
     def run(batches):
-        held = [batch.to_pandas() for batch in batches]
-        if not held:
-            return
-        pdf = pd.concat(held)
-        names, at = np.unique(pdf["condition"].to_numpy(dtype=object).astype(str), return_inverse=True)
-        keys, place = np.unique(pdf["key"].to_numpy(), return_inverse=True)
-        sums = np.zeros((2 * len(names), len(keys)))
-        np.add.at(sums, (2 * at, place), pdf["num"].to_numpy(np.float64))
-        np.add.at(sums, (2 * at + 1, place), pdf["den"].to_numpy(np.float64))
-        for first in range(0, reps, BLOCK):
-            numbers = np.arange(first, min(first + BLOCK, reps))
-            out = np.zeros((len(sums), len(numbers)))
-            for i in range(0, len(keys), 2048):
-                out += sums[:, i : i + 2048] @ poisson_draws(keys[i : i + 2048], numbers).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, len(numbers)).tolist(), pa.string()), pa.array(np.tile(numbers, len(names)), pa.int32()), pa.array(out[0::2].ravel()), pa.array(out[1::2].ravel())], ["condition", "rep", "num", "den"])
-
-    spark = df.sparkSession
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.select("key").distinct().count() // CLUSTERS)))
+        totals: dict[str, np.ndarray] = {}  # of each condition: numerators and denominators by repetition
+        for batch in batches:
+            pdf = batch.to_pandas()
+            names, at = np.unique(pdf["condition"].to_numpy(dtype=object).astype(str), return_inverse=True)
+            keys, place = np.unique(pdf["key"].to_numpy(), return_inverse=True)
+            sums = np.zeros((2 * len(names), len(keys)))
+            np.add.at(sums, (2 * at, place), pdf["num"].to_numpy(np.float64))
+            np.add.at(sums, (2 * at + 1, place), pdf["den"].to_numpy(np.float64))
+            for first in range(0, reps, BLOCK):
+                numbers = np.arange(first, min(first + BLOCK, reps))
+                out = sum(sums[:, i : i + 2048] @ poisson_draws(keys[i : i + 2048], numbers).astype(np.float64) for i in range(0, len(keys), 2048))
+                for k, name in enumerate(names):
+                    totals.setdefault(str(name), np.zeros((2, reps)))[:, first : first + len(numbers)] += out[2 * k : 2 * k + 2]
+        for name, (num, den) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * reps, pa.string()), pa.array(np.arange(reps), pa.int32()), pa.array(num), pa.array(den)], ["condition", "rep", "num", "den"])
+
+    spark, n = df.sparkSession, keyed.select("key").distinct().count()
+    # Few tasks, as each gives a row for each condition and repetition, but enough to share the draws.
+    parts = max(1, -(-n // CLUSTERS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 500))
     drawn = keyed.repartition(parts, "key").mapInArrow(run, "condition string, rep int, num double, den double")
     each = drawn.groupBy("condition", "rep").agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0.0))).alias("rate"))
     ends = each.groupBy(F.col("condition").alias("_name")).agg(F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import core
 from factloom.operators import calc, selection
+from factloom.sources.shared import kept
 
 Template = Callable[[DataFrame, int, str], DataFrame]
 TEMPLATES: dict[str, tuple[str, str, Template]] = {}
@@ -400,7 +401,7 @@ def generate(facts: DataFrame, domain: str, total: int, seed: str = "families",
             parts = offer if parts is None else parts.unionByName(offer)
     if parts is None:
         raise ValueError(f"no templates of domain {domain}")
-    once = selection.first_by(parts, ["question"], "template", "family_id")
+    once = selection.first_by(kept(parts), ["question"], "template", "family_id")  # total rows a template at most, written once
     turn = F.row_number().over(Window.partitionBy("template").orderBy(core.order_key(seed, F.col("question"))))
     place = F.row_number().over(Window.partitionBy("question_type").orderBy("_turn", "template"))
     placed = once.withColumn("_turn", turn).withColumn("_place", place).withColumn("_over", F.col("_place") > F.col("_quota"))
