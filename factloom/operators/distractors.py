@@ -74,6 +74,14 @@ def completed(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(None).cast("string").alias(c) for c in OPTIONAL if c not in df.columns])
 
 
+def spread(df: DataFrame, split: int = 64 << 20) -> DataFrame:
+    """df dealt over all cores where it is so small that Spark would read it in fewer tasks: each of its rows meets many
+    others, so the work of a small table isn't small. Large tables are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def related(facts: DataFrame, targets: DataFrame, seed: str | None = None) -> DataFrame:
     """target_id, record_id, tier of the facts of a target's domain above the last tier; with a seed also h, a number that
     orders the facts of a target.
@@ -82,7 +90,7 @@ def related(facts: DataFrame, targets: DataFrame, seed: str | None = None) -> Da
     doesn't for questions without an answer. A target without a record_id has but a value: facts near it, of any unit,
     are near matches, and nothing else is related. No cross product: facts of the same entity, of the same measure and
     period, and of a near value each come by an equi-join, and the three are disjoint."""
-    f, t = completed(facts), completed(targets)
+    f, t = spread(completed(facts)), spread(completed(targets))
     if "near_allowed" not in t.columns:
         t = t.withColumn("near_allowed", F.lit(True))
     key = F.coalesce("family", "concept")
