@@ -245,13 +245,13 @@ def grade_structured(joined: DataFrame) -> DataFrame:
     return _outcomes(df.withColumn("answer_correct", valid & F.coalesce(correct, F.lit(False))), rules)
 
 
-def join_results(instances: DataFrame, results: DataFrame, families: DataFrame, key: str = "instance_id", family: str = "family_id", attempt: str = "attempt") -> DataFrame:
+def join_results(instances: DataFrame, results: DataFrame, families: DataFrame, key: str = "instance_id", family: str = "family_id", attempt: str = "attempt", place: tuple[str, ...] = ()) -> DataFrame:
     """One row for each instance, and for each result of none: the columns of instances, results and families, and status.
 
-    Of several results of an instance the last attempt counts, and attempts tells their number. status is joined, no_result,
+    Of several results of an instance the last attempt counts, of equal attempts the first by place, and attempts tells their number. status is joined, no_result,
     no_family, or no_instance for the last attempt of a key that no instance has."""
     n = results.groupBy(key).agg(F.count("*").alias("attempts"))
-    last = selection.first_by(results, [key], F.col(attempt).desc()).join(n, key).withColumn("_answered", F.lit(True))
+    last = selection.first_by(results, [key], F.col(attempt).desc(), *place).drop(*place).join(n, key).withColumn("_answered", F.lit(True))
     both = instances.withColumn("_asked", F.lit(True)).join(last, key, "full_outer").join(families.withColumn("_known", F.lit(True)), family, "left")
     status = F.when(F.col("_asked").isNull(), "no_instance").when(F.col("_answered").isNull(), "no_result").when(F.col("_known").isNull(), "no_family").otherwise("joined")
     return both.withColumn("status", status).withColumn("attempts", F.coalesce("attempts", F.lit(0))).drop("_asked", "_answered", "_known")
