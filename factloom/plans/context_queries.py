@@ -11,6 +11,7 @@ from factloom.plans import audit, packing
 from factloom.plans.registry import query
 from factloom.sources import envelope
 from factloom.sources.envelope import FACTS_SQL, read
+from factloom.sources.shared import kept
 
 WITH = f"WITH {FACTS_SQL}, targets AS (SELECT entity_id AS target_id, * FROM event_facts QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY version::BIGINT) = 1)"
 LENGTHS = (512, 1024, 2048)
@@ -106,7 +107,7 @@ def relation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, A3: facts of every tier; the last tier is what the domain has beyond the related ones."""
     facts, targets = _targets(spark, sf_dir)
-    n = distractors.related(facts, targets).groupBy("target_id", "tier").agg(F.count("*").alias("n"))
+    n = kept(distractors.related_counts(facts, targets))
     total = facts.count()
     other = targets.select("target_id").join(n.groupBy("target_id").agg(F.sum("n").alias("m")), "target_id", "left").select("target_id", F.lit("OTHER_SAME_DOMAIN").alias("tier"), (F.lit(total - 1) - F.coalesce("m", F.lit(0))).alias("n"))
     return n.unionByName(other.filter("n > 0"))

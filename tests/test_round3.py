@@ -56,3 +56,12 @@ def test_first_related_facts_are_those_of_all_pairs(spark, monkeypatch):
     want = without(distractors.strongest(all_))
     drawn = distractors.first_related(facts, targets, 5, "s", without, several=True).localCheckpoint()
     assert first(distractors.strongest(drawn)) == first(want) and drawn.count() < want.count()
+
+
+def test_related_facts_are_counted_without_pairs(spark):
+    values = [0.0, -1.0, 1.0, 1.049, 1.05, 1.051, 0.953, 0.95, 0.949, 1e9, 1.04e9, -1.03, None]
+    rows = [(f"r{i:03}", "d" if i % 7 else "e", None if i % 19 == 0 else f"E{i % 23}", f"c{i % 3}", "u" if i % 4 else None, f"p{i % 4}", "v", values[i * 5 % 13]) for i in range(300)]
+    facts = spark.createDataFrame(rows, FACT).localCheckpoint()
+    targets = facts.filter("record_id < 'r040'").withColumn("target_id", F.col("record_id"))
+    want = {(r.target_id, r.tier): r["count"] for r in distractors.related(facts, targets).groupBy("target_id", "tier").count().collect()}
+    assert {(r.target_id, r.tier): r.n for r in distractors.related_counts(facts, targets).collect()} == want
