@@ -5,7 +5,8 @@
     load(spark, root, "SEC", contact="team@example.org")                            # facts
 
 A partition reads files of about BUNDLE bytes in all, at least one, through the file system of their URI. A file is one
-envelope (request_url, retrieved_at, payload), or one on each line with the option lines.
+envelope (request_url, retrieved_at, payload), or one on each line with the option lines; files of lines of more than BUNDLE
+bytes are split, so that no task has a whole large one.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ ENVELOPE = "request_url string, retrieved_at string, payload string, _corrupt_re
 
 
 class Bundle(InputPartition):
-    def __init__(self, files: list[str]):
-        self.files = files
+    """Whole files, or the lines that begin in a range of the bytes of one file."""
+
+    def __init__(self, files: list[str], start: int = 0, end: int | None = None):
+        self.files, self.start, self.end = files, start, end
 
 
 def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -46,29 +49,49 @@ class PayloadReader(DataSourceReader):
             raise FileNotFoundError(f"no payloads at {self.path}")
         found = [root] if system.get_file_info(root).is_file else pyarrow.fs.FileSelector(root, recursive=True)
         infos = system.get_file_info(found)
-        out, size = [], BUNDLE
+        out, size, split = [], BUNDLE, []
         for info in sorted(infos, key=lambda i: i.path):
             if info.is_file and info.base_name.endswith(SUFFIXES) and not info.base_name.startswith(("_", ".")):
+                if self.lines and (info.size or 0) > BUNDLE:
+                    split += [Bundle([info.path], at, min(at + BUNDLE, info.size)) for at in range(0, info.size, BUNDLE)]
+                    continue
                 if size >= BUNDLE:
                     out, size = [*out, []], 0
                 out[-1].append(info.path)
                 size += info.size or 0
-        return [Bundle(files) for files in out] or [Bundle([])]
+        return [Bundle(files) for files in out] + split or [Bundle([])]
 
     def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
         system, _ = _file_system(self.path)
         for file in partition.files:
-            with system.open_input_stream(file) as stream:
-                if not self.lines:
+            if not self.lines:
+                with system.open_input_stream(file) as stream:
                     yield self._batch([file], [stream.read().decode()])
-                    continue
-                left, n = b"", 0
-                while block := stream.read(1 << 20):
-                    *whole, left = (left + block).split(b"\n")
-                    yield self._batch([f"{file}#{n + k:09d}" for k in range(len(whole))], [x.decode() for x in whole])
-                    n += len(whole)
-                if left:
-                    yield self._batch([f"{file}#{n:09d}"], [left.decode()])
+                continue
+            with system.open_input_file(file) as stream:
+                yield from self._lines(file, stream, partition.start, partition.end)
+
+    def _lines(self, file: str, stream: pa.NativeFile, start: int, end: int | None) -> Iterator[pa.RecordBatch]:
+        """Lines that begin at start or later and before end, each named by the byte at which it begins."""
+        at, left = max(0, start - 1), b""
+        stream.seek(at)
+        skip = start > 0  # up to the end of the line that began before
+        while block := stream.read(1 << 20):
+            *whole, left = (left + block).split(b"\n")
+            paths, texts = [], []
+            for line in whole:
+                if not skip:
+                    if end is not None and at >= end:
+                        break
+                    paths.append(f"{file}#{at:015d}")
+                    texts.append(line.decode())
+                skip, at = False, at + len(line) + 1
+            if paths:
+                yield self._batch(paths, texts)
+            if end is not None and at >= end:
+                return
+        if left and not skip and (end is None or at < end):
+            yield self._batch([f"{file}#{at:015d}"], [left.decode()])
 
     @staticmethod
     def _batch(paths: list[str], texts: list[str]) -> pa.RecordBatch:

@@ -65,3 +65,17 @@ def test_related_facts_are_counted_without_pairs(spark):
     targets = facts.filter("record_id < 'r040'").withColumn("target_id", F.col("record_id"))
     want = {(r.target_id, r.tier): r["count"] for r in distractors.related(facts, targets).groupBy("target_id", "tier").count().collect()}
     assert {(r.target_id, r.tier): r.n for r in distractors.related_counts(facts, targets).collect()} == want
+
+
+def test_large_files_of_lines_are_split(tmp_path, monkeypatch):
+    from factloom.sources import payloads
+
+    lines = ["é" * (i * 7 % 23 + 1) + str(i) for i in range(500)]
+    for end in ("", "\n"):
+        (tmp_path / "a.jsonl").write_text("\n".join(lines) + end)
+        for size in (1 << 20, 1000, 64, 1):
+            monkeypatch.setattr(payloads, "BUNDLE", size)
+            reader = payloads.PayloadReader({"path": str(tmp_path), "lines": "true"})
+            parts = reader.partitions()
+            got = sorted((p, t) for part in parts for batch in reader.read(part) for p, t in zip(*[c.to_pylist() for c in batch.columns]))
+            assert [t for _, t in got] == lines and len({p for p, _ in got}) == 500 and (len(parts) > 1) == (size < 1 << 20)
