@@ -79,3 +79,14 @@ def test_large_files_of_lines_are_split(tmp_path, monkeypatch):
             parts = reader.partitions()
             got = sorted((p, t) for part in parts for batch in reader.read(part) for p, t in zip(*[c.to_pylist() for c in batch.columns]))
             assert [t for _, t in got] == lines and len({p for p, _ in got}) == 500 and (len(parts) > 1) == (size < 1 << 20)
+
+
+def test_near_values_are_those_of_all_pairs(spark):
+    inf = float("inf")
+    values = [0.0, -0.0, 1.0, 1.05, 0.95, 0.9499, 1.0501, -1.0, -1.04, 2.0, 1e-300, 1.04e-300, 1e300, 9.6e299, inf, -inf, float("nan"), None, *[1.003**i for i in range(100)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, value double").repartition(3)
+    got = conditions.near(df.select(F.col("id").alias("a"), F.col("value").alias("v")), df.select(F.col("id").alias("b"), F.col("value").alias("w")), "v", "w")
+    finite = [(i, v) for i, v in enumerate(values) if v is not None and abs(v) < inf]
+    want = {(i, j) for i, v in finite for j, w in finite if (v == 0 if w == 0 else abs(v - w) / abs(w) <= 0.05)}
+    rows = [tuple(r)[:4] for r in got.select("a", "b").collect()]
+    assert set(rows) == want and len(rows) == len(want)
