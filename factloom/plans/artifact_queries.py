@@ -19,10 +19,7 @@ def stage_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts written by domain, in order of their ids within each file."""
     folder = shared_folder(spark)
     tables.write_domains(envelope.facts(spark, sf_dir), folder)
-    back = spark.read.parquet(folder).withColumns({"file": F.input_file_name(), "place": F.monotonically_increasing_id()})
-    runs = back.groupBy("domain", "file").agg(F.array_sort(F.collect_list(F.struct("place", "record_id"))).alias("r"), F.count("*").alias("n"), F.min("record_id").alias("a"), F.max("record_id").alias("b"))
-    ordered = F.array_sort(F.transform("r", lambda x: x["record_id"])) == F.transform("r", lambda x: x["record_id"])
-    return runs.groupBy("domain").agg(F.sum("n").alias("n"), F.min("a").alias("first_id"), F.max("b").alias("last_id"), F.bool_and(ordered).alias("sorted"))
+    return tables.sorted_files(spark, folder, "record_id", "domain").select("domain", "n", F.col("first").alias("first_id"), F.col("last").alias("last_id"), "sorted")
 
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations) AND turn = 1")

@@ -6,8 +6,12 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +98,35 @@ def write_domains(facts: DataFrame, path: str) -> None:
     facts.repartitionByRange("domain", "record_id").sortWithinPartitions("domain", "record_id").write.mode("overwrite").partitionBy("domain").parquet(path)
 
 
+def sorted_files(spark: SparkSession, path: str, key: str, by: str) -> DataFrame:
+    """by, n, first, last, sorted of a table of files: whether each file's rows stand in order of a text key, by its bytes. A
+    task tells of the rows of a file in each batch their place, their least, greatest, first and last key and whether they
+    are in order; only these are shuffled. Files go by 64-bit hashes of their paths, as a path is longer than a row."""
+    file = F.xxhash64("_metadata.file_path")
+    back = spark.read.parquet(path).select(F.col(by), file.alias("file"), F.col("_metadata.row_index").alias("place"), F.col(key).alias("key"))
+    schema = "file long, place long, n long, least string, greatest string, head string, tail string, ordered boolean"
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            file, place, out = batch["file"].to_numpy(), batch["place"].to_numpy(), []
+            cuts = ((np.diff(place) != 1) | (np.diff(file) != 0)).nonzero()[0] + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if b > a:
+                    keys = batch["key"][a:b]
+                    ordered, ends = pc.all(pc.greater_equal(keys[1:], keys[:-1])).as_py(), pc.min_max(keys)
+                    values = (int(file[a]), int(place[a]), int(b - a), ends["min"].as_py(), ends["max"].as_py(), keys[0].as_py(), keys[-1].as_py(), ordered)
+                    out.append(dict(zip(arrow.names, values)))
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    found = back.select("file", "place", "key").mapInArrow(runs, schema)
+    before = F.lag("tail").over(Window.partitionBy("file").orderBy("place"))
+    found = found.withColumn("ordered", F.coalesce("ordered", F.lit(True)) & F.coalesce(F.col("head") >= before, F.lit(True)))
+    files = found.groupBy("file").agg(F.sum("n").alias("n"), F.min("least").alias("first"), F.max("greatest").alias("last"), F.bool_and("ordered").alias("sorted"))
+    return files.join(back.select("file", by).distinct(), "file").groupBy(by).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.bool_and("sorted").alias("sorted"))
+
+
 def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
     """A table whose files hold ranges of keys, so that a lookup reads one row group."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)

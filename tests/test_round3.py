@@ -90,3 +90,19 @@ def test_near_values_are_those_of_all_pairs(spark):
     want = {(i, j) for i, v in finite for j, w in finite if (v == 0 if w == 0 else abs(v - w) / abs(w) <= 0.05)}
     rows = [tuple(r)[:4] for r in got.select("a", "b").collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_files_are_found_sorted_without_lists_of_their_rows(spark, tmp_path):
+    from factloom.sources import tables
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for change, want in ((None, True), ("k005", False), ("k006", False), ("k007", False), ("k039", False)):
+            ids = [f"k{i:03}" for i in range(40)]
+            df = spark.createDataFrame([(d, "k000" if d == "b" and k == change else k) for d in "ab" for k in ids], "d string, k string").coalesce(1)
+            df.write.mode("overwrite").partitionBy("d").parquet(str(tmp_path / "t"))
+            out = tables.sorted_files(spark, str(tmp_path / "t"), "k", "d")
+            assert {tuple(r) for r in out.collect()} == {("a", 40, "k000", "k039", True), ("b", 40, "k000", "k038" if change == "k039" else "k039", want)}
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
