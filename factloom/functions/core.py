@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -154,14 +156,19 @@ def count_tokens(text: str | None) -> int:
     return sum(max(1, len(x) // 4) for x in regex.findall(TOKEN.removeprefix("(?U)"), text or ""))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def norm_text(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"\s+", " "))
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def to_number(c: Column) -> Column:
     """Commas, a leading dollar and a trailing percent sign do not count."""
     plain = F.regexp_replace(F.regexp_replace(F.replace(F.trim(c), F.lit(","), F.lit("")), r"^\$", ""), r"%$", "")
-    return F.when(plain.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
+    return once(plain, lambda p: F.when(p.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), p.try_cast("double")))
 
 
 def to_date(c: Column) -> Column:
@@ -179,12 +186,15 @@ def parse_answer_line(c: Column) -> Column:
 
 def normalize_answer(value: Column, kind: Column) -> Column:
     """(kind, num, txt): numbers for numeric kinds, ISO days for dates, else the normalised text. Percents keep their scale."""
-    norm = norm_text(value)
     numeric = kind.isin("NUMERIC", "PERCENT", "INTEGER")
-    insufficient = norm == INSUFFICIENT
-    num = F.when(numeric & ~insufficient, to_number(value))
-    txt = F.when(insufficient, F.lit(INSUFFICIENT)).when(numeric, F.lit(None)).when(kind == "DATE", F.coalesce(to_date(value).cast("string"), norm)).otherwise(norm)
-    return F.struct(F.when(insufficient, F.lit("INSUFFICIENT_EVIDENCE")).otherwise(kind).alias("kind"), num.alias("num"), txt.alias("txt"))
+
+    def named(norm: Column) -> Column:
+        insufficient = norm == INSUFFICIENT
+        num = F.when(numeric & ~insufficient, to_number(value))
+        txt = F.when(insufficient, F.lit(INSUFFICIENT)).when(numeric, F.lit(None)).when(kind == "DATE", F.coalesce(to_date(value).cast("string"), norm)).otherwise(norm)
+        return F.struct(F.when(insufficient, F.lit("INSUFFICIENT_EVIDENCE")).otherwise(kind).alias("kind"), num.alias("num"), txt.alias("txt"))
+
+    return once(norm_text(value), named)
 
 
 def answers_equal(model: Column, gold: Column, kind: Column, tol: Column) -> Column:

@@ -25,8 +25,9 @@ DISTRACTOR_ERRORS = ("WRONG_ENTITY", "WRONG_PERIOD", "WRONG_VERSION", "WRONG_FIE
 def context_match(records: Column, model: Column, kind: Column, tol: Column) -> Column:
     """The first record, by position, whose value equals the model's answer; null if none or no usable answer."""
     usable = (F.coalesce(model["txt"], F.lit("")) != core.INSUFFICIENT) & (model["num"].isNotNull() | model["txt"].isNotNull())
-    hits = F.filter(records, lambda r: core.answers_equal(core.normalize_answer(r["value"], kind), model, kind, tol))
-    return F.when(usable & (F.size(hits) > 0), F.element_at(hits, 1))
+    normal = F.transform(records, lambda r: F.struct(r.alias("r"), core.normalize_answer(r["value"], kind).alias("n")))
+    hits = F.filter(F.when(usable, normal), lambda x: core.answers_equal(x["n"], model, kind, tol))
+    return F.get(hits, F.lit(0))["r"]
 
 
 def alternate_rounding(model: Column, gold: Column, tol: Column, raw: Column, rounded: Column, decimals: Column) -> Column:
@@ -105,8 +106,8 @@ LITERALS = {"True": "true", "False": "false", "None": "null"}
 
 def degenerate(text: str) -> bool:
     """Whether a response does nothing but list ids."""
-    n = Counter(SHOWN_ID.findall(text))
-    return n.total() >= LISTED and (n.total() >= MANY or max(n.values()) >= OFTEN)
+    ids = SHOWN_ID.findall(text)
+    return len(ids) >= LISTED and (len(ids) >= MANY or max(Counter(ids).values()) >= OFTEN)
 
 
 def recover(raw: str | None) -> dict:
@@ -130,9 +131,12 @@ def recover(raw: str | None) -> dict:
         return found
     if empty["degenerate"]:
         return empty
-    fence, (whole, closed) = FENCE.fullmatch(text), _scan(text)
+    fence = FENCE.fullmatch(text)
+    if found := shaped(fence and fence[1], "fence"):
+        return found
+    whole, closed = _scan(text)
     plain = re.sub(rf":\s*({'|'.join(LITERALS)})\b", lambda m: ": " + LITERALS[m[1]], text)
-    for s, method in ((fence and fence[1], "fence"), (whole, "first_object"), (plain, "literals"), (closed, "closers")):
+    for s, method in ((whole, "first_object"), (plain, "literals"), (closed, "closers")):
         if found := shaped(s, method):
             return found
     return empty
@@ -161,26 +165,28 @@ def _strict(text: Column) -> Column:
     """What recover gives for a response that plainly is an object of the right shape, else null: of one pair of braces, with a
     text or null as answer, a list of texts as evidence, fewer than LISTED ids, and nothing that only one of two JSON
     parsers takes."""
-    v = F.try_parse_json(text)
-    kind = lambda field: F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-    get = lambda field, kind: F.try_variant_get(v, f"$.{field}", kind)
-    shaped = kind("answer").isin("STRING", "VOID") & kind("selected_evidence").isin("ARRAY<STRING>", "ARRAY<VOID>") & (kind("insufficient_evidence") == "BOOLEAN")
     plain = text.rlike(r"^\{[^{}]*\}$") & (F.size(F.regexp_extract_all(text, F.lit(SHOWN_ID.pattern), F.lit(1))) < LISTED)
-    whole = F.struct(get("answer", "string").alias("answer"), get("selected_evidence", "array<string>").alias("selected_evidence"), get("insufficient_evidence", "boolean").alias("insufficient_evidence"), F.lit("strict").alias("method"), F.lit(False).alias("degenerate"))
-    return F.when(F.coalesce(plain & shaped, F.lit(False)), whole)
+
+    def taken(v: Column) -> Column:
+        kind = lambda field: F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+        get = lambda field, kind: F.try_variant_get(v, f"$.{field}", kind)
+        shaped = kind("answer").isin("STRING", "VOID") & kind("selected_evidence").isin("ARRAY<STRING>", "ARRAY<VOID>") & (kind("insufficient_evidence") == "BOOLEAN")
+        whole = F.struct(get("answer", "string").alias("answer"), get("selected_evidence", "array<string>").alias("selected_evidence"), get("insufficient_evidence", "boolean").alias("insufficient_evidence"), F.lit("strict").alias("method"), F.lit(False).alias("degenerate"))
+        return F.when(F.coalesce(shaped, F.lit(False)), whole)
+
+    return core.once(F.when(plain, F.try_parse_json(text)), taken)
 
 
 def recovered(raw: Column) -> Column:
     """recover: plain objects in the JVM, as VARIANT; what is left in Arrow batches, as a balanced scan has no native form."""
 
     @F.pandas_udf(JSON_SCHEMA)
-    def run(x: pd.Series, skip: pd.Series) -> pd.DataFrame:
-        none = dict.fromkeys(("answer", "selected_evidence", "insufficient_evidence", "method", "degenerate"))
-        return pd.DataFrame([none if s else recover(v) for v, s in zip(x, skip)], columns=list(none), dtype=object)
+    def run(x: pd.Series) -> pd.DataFrame:
+        none = recover(None)
+        return pd.DataFrame([none if v is None else recover(v) for v in x], columns=list(none), dtype=object)
 
     strict = _strict(F.trim(raw))
-    left = strict.isNull()
-    return F.coalesce(strict, run(F.when(left, raw), ~left))
+    return F.coalesce(strict, run(F.when(strict.isNull(), raw)))
 
 
 def structure_checks(joined: DataFrame, limit: int = 512) -> DataFrame:
