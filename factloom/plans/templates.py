@@ -53,11 +53,12 @@ def _meta(key: str) -> Column:
 
 
 def _conditions(*records: str) -> Column:
-    return F.array(*[F.col(r).cast("struct<record_id:string,entity_id:string,entity_name:string,concept:string,concept_label:string,value:string,value_numeric:double,unit:string,period:string,version:string>") for r in records])
+    """Field by field, so that joins carry only what is used of a record."""
+    return F.array(*[F.struct(*[F.col(f"{r}.{c}").cast("string").alias(c) for c in ("entity_id", "concept", "period", "unit", "version")]) for r in records]).cast(f"array<{KEY}>")
 
 
-def _families(df: DataFrame, name: str, n: int, seed: str, key: list[Column], question: Column, evidence: list[str], roles: list[str], operation: str | None = None, gold: Column | None = None, kind: str = "NUMERIC", unit: Column | None = None, decimals: int | None = None, foils: Column | None = None, text: Column | None = None, absent: dict[str, Column] | None = None, operand: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Families of candidate rows: one of each key in seeded order, the first n of those."""
+def _families(df: DataFrame, name: str, n: int, seed: str, key: list[Column], question: Column, evidence: list[str], roles: list[str], operation: str | None = None, gold: Column | None = None, kind: str = "NUMERIC", unit: Column | None = None, decimals: int | None = None, foils: Column | None = None, text: Column | None = None, absent: dict[str, Column] | None = None, operand: Callable[[Column], Column] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """Families of candidate rows: one of each key in seeded order, the first n of those; more: columns that are added."""
     domain, qtype, _ = TEMPLATES[name]
     none = F.lit(None)
     ids = F.array(*[F.col(f"{e}.record_id") for e in evidence]) if evidence else F.array().cast("array<string>")
@@ -71,14 +72,14 @@ def _families(df: DataFrame, name: str, n: int, seed: str, key: list[Column], qu
         F.lit(domain).alias("domain"), F.lit(name).alias("template"), F.lit(qtype).alias("question_type"), question.alias("question"), F.lit(bool(evidence)).alias("answerable"), answer.cast("string").alias("gold_answer"),
         (rounded if evidence and text is None else none).cast("double").alias("gold_num"), F.lit(kind if evidence else "INSUFFICIENT_EVIDENCE").alias("answer_type"), (unit if unit is not None else none).cast("string").alias("unit"), (core.tolerance(rounded, F.lit(decimals).cast("int")) if evidence and text is None else none).cast("double").alias("tolerance"), ids.alias("gold_ids"),
         F.lit(operation).cast("string").alias("operation"), (F.map_from_arrays(F.array(*map(F.lit, roles)), ids) if operation else none).cast("map<string,string>").alias("operand_ids"), operands.cast("map<string,double>").alias("operands"), (result if operation else none).cast("double").alias("raw_result"), F.lit(decimals).cast("int").alias("round_decimals"),
-        F.transform(_conditions(*evidence), lambda r: F.struct(*[r[c].alias(c) for c in ("entity_id", "concept", "period", "unit", "version")])).cast(f"array<{KEY}>").alias("conditions") if evidence else F.array(F.struct(*[(absent or {}).get(c, none).cast("string").alias(c) for c in ("entity_id", "concept", "period", "unit", "version")])).cast(f"array<{KEY}>").alias("conditions"),
-        (foils if foils is not None else F.array().cast("array<string>")).alias("foil_ids"), (absent or {}).get("entity_id", none).cast("string").alias("missing_entity"), (absent or {}).get("period", none).cast("string").alias("missing_period"), (F.array(absent["concept"]) if absent else F.array()).cast("array<string>").alias("aliases"), "_key", "_h",
+        _conditions(*evidence).alias("conditions") if evidence else F.array(F.struct(*[(absent or {}).get(c, none).cast("string").alias(c) for c in ("entity_id", "concept", "period", "unit", "version")])).cast(f"array<{KEY}>").alias("conditions"),
+        (foils if foils is not None else F.array().cast("array<string>")).alias("foil_ids"), (absent or {}).get("entity_id", none).cast("string").alias("missing_entity"), (absent or {}).get("period", none).cast("string").alias("missing_period"), (F.array(absent["concept"]) if absent else F.array()).cast("array<string>").alias("aliases"), "_key", "_h", *[c.alias(k) for k, c in (more or {}).items()],
     )
     out = out.filter("not answerable or gold_answer is not null")
     if operation:
         out = out.filter("raw_result is not null")
-    first = selection.first_by(out, ["_key"], "_h", "question")
-    return first.orderBy("_h", "question").limit(n).withColumn("family_id", F.concat(F.lit(domain + "_"), F.upper(F.substring("_h", 1, 10)))).drop("_key", "_h")
+    first = selection.first_keys(out, "_key", n, "_h", "question")
+    return first.orderBy("_h", "question").withColumn("family_id", F.concat(F.lit(domain + "_"), F.upper(F.substring("_h", 1, 10)))).drop("_key", "_h")
 
 
 def _pair(a: DataFrame, b: DataFrame, on: Column, left: str = "a", right: str = "b", how: str = "inner") -> DataFrame:
@@ -147,7 +148,8 @@ def sec_quarter_vs_annual_frame(facts: DataFrame, n: int, seed: str) -> DataFram
 def sec_filing_version_selection(facts: DataFrame, n: int, seed: str) -> DataFrame:
     f = _facts(facts, "SEC").filter("value_numeric is not null and period_end <> ''")
     order = F.struct(F.coalesce(_meta("filed"), F.lit("")), F.col("record_id"))
-    g = f.groupBy("entity_id", "concept", "unit", "period_start", "period_end").agg(F.countDistinct("value_numeric").alias("nv"), F.countDistinct(_meta("accn")).alias("na"), F.max_by(_record(), order).alias("a"), F.min_by(_record(), order).alias("b")).filter("nv >= 2 and na >= 2 and a.value_numeric <> b.value_numeric")
+    differ = lambda c: F.min(c) != F.max(c)  # noqa: E731  two distinct values, without a row for each count
+    g = f.groupBy("entity_id", "concept", "unit", "period_start", "period_end").agg(differ(F.col("value_numeric")).alias("nv"), differ(_meta("accn")).alias("na"), F.max_by(_record(), order).alias("a"), F.min_by(_record(), order).alias("b")).filter("nv and na and a.value_numeric <> b.value_numeric")
     return _families(g, "SEC_FILING_VERSION_SELECTION", n, seed, [F.col("a.entity_id")], _q("Several filings of ", F.col("a.entity_name"), " state ", F.col("a.concept_label"), " for the period ending ", F.col("period_end"), ". What does the one filed last (", F.col("a.version"), ") state?"), ["a"], ["target"], unit=F.col("a.unit"), foils=F.array("b.record_id"))
 
 
@@ -182,12 +184,11 @@ def fda_direct_product_attribute(facts: DataFrame, n: int, seed: str) -> DataFra
 @template("FDA", "RETRIEVAL_CALCULATION")
 def fda_product_count(facts: DataFrame, n: int, seed: str) -> DataFrame:
     f = _facts(facts, "FDA").filter("concept = 'product.dosage_form'").withColumn("app", _meta("application_number"))
-    g = f.groupBy("app").agg(F.array_sort(F.collect_list(_record())).alias("all"), F.countDistinct("entity_id").alias("n")).filter("n between 2 and 12").withColumn("a", F.element_at("all", 1))
-    out = _families(g, "FDA_PRODUCT_COUNT", n, seed, [F.col("app")], _q("How many products are listed under application ", F.col("app"), "?"), ["a"], ["first"], gold=F.col("n").cast("double"), kind="INTEGER", unit=F.lit("products"))
-    ids = g.select(F.col("a.record_id").alias("first"), F.col("all.record_id").alias("every"), F.col("n").alias("total"))
+    g = f.groupBy("app").agg(F.array_sort(F.collect_list(_record())).alias("all"), F.size(F.collect_set("entity_id")).alias("n")).filter("n between 2 and 12").withColumn("a", F.element_at("all", 1))
+    out = _families(g, "FDA_PRODUCT_COUNT", n, seed, [F.col("app")], _q("How many products are listed under application ", F.col("app"), "?"), ["a"], ["first"], gold=F.col("n").cast("double"), kind="INTEGER", unit=F.lit("products"), more={"every": F.col("all.record_id"), "total": F.col("n")})
     # every product is evidence and operand of the count
-    out = out.join(ids, F.element_at("gold_ids", 1) == F.col("first")).withColumn("gold_ids", F.col("every")).withColumn("operation", F.lit("count")).withColumn("operand_ids", F.map_from_arrays(F.transform("every", lambda x, i: F.concat(F.lit("item_"), i.cast("string"))), F.col("every"))).withColumn("operands", F.transform_values("operand_ids", lambda k, v: F.lit(1.0))).withColumn("raw_result", F.col("total").cast("double"))
-    return out.drop("first", "every", "total")
+    out = out.withColumn("gold_ids", F.col("every")).withColumn("operation", F.lit("count")).withColumn("operand_ids", F.map_from_arrays(F.transform("every", lambda x, i: F.concat(F.lit("item_"), i.cast("string"))), F.col("every"))).withColumn("operands", F.transform_values("operand_ids", lambda k, v: F.lit(1.0))).withColumn("raw_result", F.col("total").cast("double"))
+    return out.drop("every", "total")
 
 
 @template("FDA", "RETRIEVAL_CALCULATION")
