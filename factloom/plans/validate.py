@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import core
-from factloom.operators import calc, conditions, distractors
+from factloom.operators import calc, conditions, distractors, selection
+from factloom.sources.shared import kept
 
 Tables = dict[str, DataFrame]
 CHECKS: dict[str, tuple[str, str, Callable[[Tables], DataFrame]]] = {}
@@ -282,10 +283,12 @@ def violations(t: Tables, checks: list[str] | None = None) -> DataFrame:
 
 
 def report(t: Tables, checks: list[str] | None = None) -> DataFrame:
-    """check_id, name, severity, n_failed, truncated, failures (at most CAP, by key): a row for each check."""
-    v = violations(t, checks)
-    some = v.withColumn("r", F.row_number().over(Window.partitionBy("check_id").orderBy("key", "problem")))
-    failed = some.groupBy("check_id").agg(F.count("*").alias("n_failed"), F.array_sort(F.collect_list(F.when(F.col("r") <= CAP, F.struct("key", "problem")))).alias("failures"))
+    """check_id, name, severity, n_failed, truncated, failures (at most CAP, by key): a row for each check.
+
+    Violations are written once; each task counts its own and gives CAP of a check at most, so no task sees all of a check."""
+    v = kept(violations(t, checks).select("check_id", "key", "problem"))
+    shown = selection.top_by(v, ["check_id"], CAP, "key", "problem").groupBy("check_id").agg(F.array_sort(F.collect_list(F.struct("key", "problem"))).alias("failures"))
+    failed = v.groupBy("check_id").agg(F.count("*").alias("n_failed")).join(shown, "check_id")
     names = v.sparkSession.createDataFrame([(c, n, s) for c, (n, s, _) in CHECKS.items() if checks is None or c in checks], "check_id string, name string, severity string")
     out = names.join(failed, "check_id", "left")
     return out.select("check_id", "name", "severity", F.coalesce("n_failed", F.lit(0)).alias("n_failed"), (F.coalesce("n_failed", F.lit(0)) > CAP).alias("truncated"), F.coalesce("failures", F.array().cast("array<struct<key:string,problem:string>>")).alias("failures"))

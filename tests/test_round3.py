@@ -172,3 +172,24 @@ def test_records_of_counted_products_and_of_filings_are_grouped_once(spark, tmp_
     for name in ("FDA_PRODUCT_COUNT", "SEC_FILING_VERSION_SELECTION", "SEC_YOY_GROWTH_PERCENT"):
         templates.TEMPLATES[name][2](f, 5, "s").collect()
     assert len(plans) == 3 and not any("Expand" in p or "Window" in p for p in plans)
+
+
+def test_violations_are_counted_and_shown_without_a_task_for_each_check(spark, monkeypatch):
+    from factloom.plans import validate
+
+    n = {"one": 1000, "none": 0, "few": 3}
+    bad = lambda k: lambda t: t["x"].filter(F.col("id") < n[k]).select(F.format_string("k%05d", 2000 - F.col("id")).alias("key"), F.lit("p").alias("problem"))
+    monkeypatch.setattr(validate, "CHECKS", {k: (k, "error", bad(k)) for k in n})
+    out = validate.report({"x": spark.range(1500).repartition(4)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = {r.check_id: r for r in out.collect()}
+    want = {k: [f"k{i:05}" for i in range(2001 - v, 2001)][: validate.CAP] for k, v in n.items()}
+    assert {k: (r.n_failed, r.truncated, [f.key for f in r.failures]) for k, r in got.items()} == {k: (n[k], n[k] > validate.CAP, want[k]) for k in n}
+    assert "WindowGroupLimit" in plan  # tasks send CAP rows of a check at most
+
+
+def test_facts_are_sorted_once_for_equivalents(spark):
+    rows = [(f"r{i:02}", "d", f"E{i % 4}", "c", "u", "CY2020", "v", float(i % 8 // 4)) for i in range(40)]
+    out = distractors.equivalents(spark.createDataFrame(rows, FACT))
+    assert sorted(r.record_ids for r in out.collect()) == sorted([f"r{i:02}" for i in range(40) if i % 8 == k] for k in range(8))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
