@@ -65,8 +65,8 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """docs: text, train. Returns word (binary) or gram (long), n (in training texts): one row for each that occurs in
+def count(docs: DataFrame, strings: bool = True) -> DataFrame:
+    """docs: text, train; strings: whether those are counted, or words only. Returns word (binary) or gram (long), n (in training texts): one row for each that occurs in
     some training text (words) or in any text (grams), and for each worker's task."""
 
     def run(batches):
@@ -95,13 +95,14 @@ def count(docs: DataFrame) -> DataFrame:
                         continue
                     if learn:
                         words.update(b" ".join(data).split())
-                    k, n = np.unique(grams_of(data)[0], return_counts=True)
-                    keys.append(k)
-                    counts.append(n if learn else np.zeros(len(n), np.int64))
+                    if strings:
+                        k, n = np.unique(grams_of(data)[0], return_counts=True)
+                        keys.append(k)
+                        counts.append(n if learn else np.zeros(len(n), np.int64))
                 if sum(map(len, keys)) > 2_000_000:
                     k, n = merged(keys, counts)
                     keys[:], counts[:] = [k], [n]
-                if len(words) > 200_000 or len(keys[0]) > 1_000_000:
+                if len(words) > 200_000 or (keys and len(keys[0]) > 1_000_000):
                     yield from flush()
         yield from flush()
 
@@ -298,20 +299,26 @@ def unpacked(name: str, words: list[tuple[bytes, bytes]], grams: list[tuple[byte
     return _UNPACKED[name]
 
 
-def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+def _model(counted: DataFrame) -> DataFrame:
+    """gram, seen, logp of every string counted."""
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = cut(counted.filter("gram is not null").select("gram", "n", (F.col("n") + F.col("seen")).alias("seen")).repartition(parts, F.col("gram").bitwiseAND(GROUP)).sortWithinPartitions(F.col("gram").bitwiseAND(GROUP)))
+    return cut(fit_grams(grams))
+
+
+def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS, words_only: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; the last two, and the context
+    trees that they come from, not with words_only."""
     spark = docs.sparkSession
     held = held_out(F.col("doc_id"))
-    counted = cut(count(docs.select("text", (~held).alias("train"))).groupBy("word", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("seen")))
+    counted = cut(count(docs.select("text", (~held).alias("train")), not words_only).groupBy("word", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("seen")))
     vocabulary = counted.filter("word is not null").select("word", "n")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grams = cut(counted.filter("gram is not null").select("gram", "n", (F.col("n") + F.col("seen")).alias("seen")).repartition(parts, F.col("gram").bitwiseAND(GROUP)).sortWithinPartitions(F.col("gram").bitwiseAND(GROUP)))
-    model = cut(fit_grams(grams))
+    model = None if words_only else _model(counted)
     n_train = docs.filter(~held).count()
     n_words, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, v = n_words + n_train, kinds + (1 if n_train else 0)
     # Both tables come packed, a few bytes a row; workers make dictionaries of them.
-    hot = spark.sparkContext.broadcast((uuid.uuid4().hex, packed(most(vocabulary.filter(F.octet_length("word") <= HOT_BYTES), "n", hot_words), "word", "n"), packed(most(model, "seen", hot_grams), "gram", "logp")))
+    hot = spark.sparkContext.broadcast((uuid.uuid4().hex, packed(most(vocabulary.filter(F.octet_length("word") <= HOT_BYTES), "n", hot_words), "word", "n"), [(b"", b"")] if model is None else packed(most(model, "seen", hot_grams), "gram", "logp")))
 
     def run(batches):
         known, keys, logs = unpacked(*hot.value)
@@ -324,12 +331,14 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
                 found = [list(map(get, t)) for t in tokens]
                 rare = [[w for w, x in zip(t, f) if x is None] if None in f else [] for t, f in zip(tokens, found)]
                 base = [sum(f) if not r else sum(x for x in f if x is not None) for f, r in zip(found, rare)]
-                codes, n = grams_of(data)
-                ends = np.cumsum(n)
-                at = keys.find(codes)
-                hit = at != NONE
-                scores = np.add.reduceat(logs[np.minimum(at, len(logs) - 1)], ends - n)  # NONE takes the 0 at the end
-                miss = np.split(codes[~hit].astype(np.int64), np.cumsum(np.add.reduceat((~hit).astype(np.int64), ends - n))[:-1])
+                scores, miss = np.zeros(len(data)), [[]] * len(data)
+                if not words_only:
+                    codes, n = grams_of(data)
+                    ends = np.cumsum(n)
+                    at = keys.find(codes)
+                    hit = at != NONE
+                    scores = np.add.reduceat(logs[np.minimum(at, len(logs) - 1)], ends - n)  # NONE takes the 0 at the end
+                    miss = np.split(codes[~hit].astype(np.int64), np.cumsum(np.add.reduceat((~hit).astype(np.int64), ends - n))[:-1])
                 rows = list(range(n_row, n_row + len(data)))
                 n_row += len(data)
                 yield pa.RecordBatch.from_arrays(
@@ -341,14 +350,19 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAM
     scored = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, schema))
     by_word = scored.select("row", F.explode("rare_words").alias("word")).groupBy("word", "row").count()
     rare = by_word.join(vocabulary, "word").groupBy("row").agg(F.sum("count").alias("n_rare"), F.sum(F.col("count") * (F.log10(F.col("n") + 0.5) - math.log10(0.5))).alias("more"))
-    more_grams = scored.select("row", F.explode("rare_grams").alias("gram")).join(model.select("gram", "logp"), "gram").groupBy("row").agg(F.sum("logp").alias("gram_score"))
-    out = scored.drop("rare_words", "rare_grams").join(rare, "row", "left").join(more_grams, "row", "left")
+    out = scored.drop("rare_words", "rare_grams").join(rare, "row", "left")
+    if not words_only:
+        more_grams = scored.select("row", F.explode("rare_grams").alias("gram")).join(model.select("gram", "logp"), "gram").groupBy("row").agg(F.sum("logp").alias("gram_score"))
+        out = out.join(more_grams, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     n_tokens = F.col("n_words") + 1
     # The words looked up by join count as unknown first (log10 of 0.5); those found add the difference.
     base = F.col("base") + (F.col("n_words") - F.col("n_hot")) * math.log10(0.5) + F.coalesce("more", F.lit(0.0)) + math.log10(n_train + 0.5) - n_tokens * math.log10(total + 0.5 * (v + 1))
+    columns = ["doc_id", "held_out", n_tokens.cast("long").alias("n_tokens"), (F.col("n_hot") + zero("n_rare") + (1 if n_train else 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score")]
+    if words_only:
+        return out.select(*columns)
     whole = F.col("score") + F.coalesce("gram_score", F.lit(0.0))
-    return out.select("doc_id", "held_out", n_tokens.cast("long").alias("n_tokens"), (F.col("n_hot") + zero("n_rare") + (1 if n_train else 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"), (-whole * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+    return out.select(*columns, whole.alias("score"), (-whole * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 #: held_out, n_tokens, n_known, train_tokens and base_score in DuckDB; CRC-32 bit by bit.

@@ -193,3 +193,16 @@ def test_facts_are_sorted_once_for_equivalents(spark):
     out = distractors.equivalents(spark.createDataFrame(rows, FACT))
     assert sorted(r.record_ids for r in out.collect()) == sorted([f"r{i:02}" for i in range(40) if i % 8 == k] for k in range(8))
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_alone_ask_for_no_context_trees(spark, monkeypatch):
+    from factloom.llm import context_tree
+
+    texts = ["The cat sat", None, "", "a cat, a dog " * 9, "rare Words here", "the end"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    whole = context_tree.score(docs, hot_words=2)
+    columns = whole.columns[:6]
+    want = sorted(map(tuple, whole.select(*columns).collect()))
+    monkeypatch.setattr(context_tree, "fit_grams", None)
+    got = context_tree.score(docs, hot_words=2, words_only=True)
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == want
