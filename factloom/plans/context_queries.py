@@ -109,7 +109,7 @@ def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, targets = _targets(spark, sf_dir)
     n = kept(distractors.related_counts(facts, targets))
     total = facts.count()
-    other = targets.select("target_id").join(n.groupBy("target_id").agg(F.sum("n").alias("m")), "target_id", "left").select("target_id", F.lit("OTHER_SAME_DOMAIN").alias("tier"), (F.lit(total - 1) - F.coalesce("m", F.lit(0))).alias("n"))
+    other = targets.select("target_id").join(n.groupBy("target_id").agg(F.sum("n").alias("m")).hint("merge"), "target_id", "left").select("target_id", F.lit("OTHER_SAME_DOMAIN").alias("tier"), (F.lit(total - 1) - F.coalesce("m", F.lit(0))).alias("n"))
     return n.unionByName(other.filter("n > 0"))
 
 
