@@ -11,7 +11,7 @@ from factloom.plans import audit, packing
 from factloom.plans.registry import query
 from factloom.sources import envelope
 from factloom.sources.envelope import FACTS_SQL, read
-from factloom.sources.shared import kept
+from factloom.sources.shared import kept, large
 
 WITH = f"WITH {FACTS_SQL}, targets AS (SELECT entity_id AS target_id, * FROM event_facts QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY version::BIGINT) = 1)"
 LENGTHS = (512, 1024, 2048)
@@ -173,7 +173,7 @@ def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Candidates and gold of each target, with tokens and texts, and the texts of all facts."""
     facts, targets = _targets(spark, sf_dir)
     text = core.render_record(core.display_id("pack", F.col("record_id")), [(c, F.col(c)) for c in ("entity_id", "concept", "period", "unit", "value", "version")], [])
-    texts = facts.select("record_id", text.alias("text")).withColumn("tokens", core.token_count(F.col("text")))
+    texts = large(facts.select("record_id", text.alias("text")).withColumn("tokens", core.token_count(F.col("text"))))
     chosen = distractors.candidates(facts, targets, max(LENGTHS) // 24 + 256, barred=_barred(facts, targets))
     cand = chosen.join(texts, "record_id").select(F.col("target_id").alias("family_id"), "record_id", "position", "tokens", "text")
     question = F.concat(F.lit("What is the value of "), F.col("concept"), F.lit(" of "), F.col("entity_id"), F.lit(" on "), F.col("period"), F.lit("?"))

@@ -27,9 +27,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
+#: Bytes of files up to which Spark may broadcast what stands in them.
+ROOM = 1 << 20
+
+
+def large(df: DataFrame) -> DataFrame:
+    """df, which is shuffled and not broadcast where it is joined, if it is read of more than ROOM bytes. Spark takes the size of
+    compressed files for that of their rows, which are many times as large on the driver and in every executor."""
+    return df.hint("merge") if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > ROOM else df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written once and read again from the shared folder. A table, as the constraints that a checkpoint carries along
     can refer to columns that a union doesn't have."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return large(df.sparkSession.read.schema(df.schema).parquet(path))
